@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import op02_bpe, op04_substrings
+from lodestone.llm import op02_bpe, op03_lines, op04_substrings, op05_simhash, op07_decontaminate, op08_secrets, op09_quality
+from lodestone.llm import op10_language as ppm
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,10 +25,38 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op02_bpe.encode_digests(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op03_lines.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = op04_substrings.dedup_substrings(table(spark, sf_dir, "documents"), 35)
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op05_simhash.near_duplicates(table(spark, sf_dir, "documents"), distance=4, shingle=4)
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op07_decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op08_secrets.digests(op08_secrets.scan(table(spark, sf_dir, "documents")))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op09_quality.judge(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "quality", "kept")
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return ppm.predict(docs, ppm.learn(docs))
+
+
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_bpe, op4_substrings)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_bpe, op3_lines, op4_substrings, op5_simhash, op7_decontaminate, op8_secrets, op9_quality, op10_language)}
 SQL: dict[str, str] = {}
