@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import op02_bpe, op03_lines, op04_substrings, op05_simhash, op07_decontaminate, op08_secrets, op09_quality
+from lodestone.llm import op01_tokens, op02_bpe, op03_lines, op04_substrings, op05_simhash, op06_html, op07_decontaminate, op08_secrets, op09_quality, shared
 from lodestone.llm import op10_language as ppm
 
 
@@ -21,6 +21,13 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared.scratch(spark, "tokens")
+    op01_tokens.write_store(table(spark, sf_dir, "documents"), path, tokenizer("word_bpe_49k.json"), end_id=1)
+    found = shared.written(op01_tokens.read_store(spark, path, ids=False), "places")
+    return op01_tokens.with_starts(found).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op02_bpe.encode_digests(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
@@ -38,6 +45,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op05_simhash.near_duplicates(table(spark, sf_dir, "documents"), distance=4, shingle=4)
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op06_html.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = op07_decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
@@ -58,5 +69,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_bpe, op3_lines, op4_substrings, op5_simhash, op7_decontaminate, op8_secrets, op9_quality, op10_language)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_tokens, op2_bpe, op3_lines, op4_substrings, op5_simhash, op6_html, op7_decontaminate, op8_secrets, op9_quality, op10_language)}
 SQL: dict[str, str] = {}
