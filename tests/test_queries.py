@@ -5,7 +5,7 @@ import os
 import pytest
 from compare import connection, same
 
-from lodestone import registry
+from lodestone import registry, registry_text  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
