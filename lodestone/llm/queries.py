@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import op01_tokens, op02_bpe, op03_lines, op04_substrings, op05_simhash, op06_html, op07_decontaminate, op08_secrets, op09_quality, shared
+from lodestone.llm import op01_tokens, op02_bpe, op03_lines, op04_substrings, op05_simhash, op06_html, op07_decontaminate, op08_secrets, op09_quality, oracles, shared
 from lodestone.llm import op10_language as ppm
 
 
@@ -70,4 +70,4 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_tokens, op2_bpe, op3_lines, op4_substrings, op5_simhash, op6_html, op7_decontaminate, op8_secrets, op9_quality, op10_language)}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op3_lines": oracles.LINES, "op4_substrings": oracles.SUBSTRINGS, "op7_decontaminate": oracles.DECONTAMINATE}

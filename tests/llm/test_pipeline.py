@@ -6,9 +6,9 @@ import pytest
 
 import corpus_pipeline
 from lodestone.llm import op03_lines, op07_decontaminate
-from lodestone.llm.queries import QUERIES
+from lodestone.llm.queries import QUERIES, SQL
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("TEST_SF", "/root/testdata/sf0.001")
 
 
 @pytest.fixture
@@ -60,3 +60,14 @@ def test_query(spark, name):
     out = QUERIES[name](spark, SF)
     name = "pages" if name == "op6_html" else "documents"
     assert out.count() == spark.read.parquet(f"{SF}/{name}.parquet").count()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+@pytest.mark.parametrize("name", SQL)
+def test_sql(spark, name):
+    import sys
+
+    sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(__file__))))
+    from compare import connection, same
+
+    same(QUERIES[name](spark, SF), connection(SF), SQL[name])
