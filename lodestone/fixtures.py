@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestone.ship import ship
 from lodestone.vault import Vault
 
 #: View -> SQL, in order of their use of one another.
@@ -119,4 +120,4 @@ class Fixture(dict):
 
 
 def vault(spark: SparkSession, sf_dir: str) -> Vault:
-    return Vault(spark, Fixture(spark, sf_dir))
+    return Vault(ship(spark), Fixture(spark, sf_dir))

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.ship import ship
+
 #: Fixed patterns, first hit wins: kind of URL -> pattern of its id.
 URLS: list[tuple[str, str]] = [
     ("video", r"[?&]v=([A-Za-z0-9_-]{11})"),
@@ -255,6 +257,7 @@ def semantic_cuts(parts: list[str], vectors: list[list[float]], most: int, least
 
 def semantic_chunks(docs: DataFrame, embed: Callable[[list[str]], list[list[float]]] = bag_embedder, most: int = 600, least: int = 100, threshold: float = 0.4, group: int = 3) -> DataFrame:
     """(video_id, chunk_index, text, first_sentence, end_sentence) of rows (video_id, text); none for under six sentences."""
+    ship(docs.sparkSession)
     split = docs.select("video_id", sentences(F.col("text")).alias("parts")).filter(F.size("parts") >= 6)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.ship import ship
 from lodestone.vault import Vault
 
 #: Fixed names that are no guests.
@@ -40,6 +41,7 @@ def fuzzy_pairs(guests: DataFrame, cutoff: float = 0.85) -> DataFrame:
     Two names with a ratio of at least the cutoff share their first or their last two letters, or a word, in
     nearly all cases; pairs are made within those blocks only, by joins on a block's key.
     """
+    ship(guests.sparkSession)
     flipped = F.regexp_replace("canonical_name", r"^([^,]+),\s*(.+)$", "$2 $1")
     names = guests.select("guest_id", "mention_count", F.lower(F.trim(flipped)).alias("n"))
     keys = F.array_distinct(F.concat(F.array(F.concat(F.lit("<"), F.substring("n", 1, 3)), F.concat(F.lit(">"), F.substring("n", -3, 3))), F.split("n", r"\s+")))
