@@ -29,6 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 
 from lodestone.llm import shared
+from lodestone.ship import ship
 
 # Fixed pattern: words with the space before them, then white space as the usual byte-level pattern cuts it.
 _UNITS = re.compile(r" ?[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+(?![^ \t\n\r\x0b\x0c])|[ \t\n\r\x0b\x0c]")
@@ -223,6 +224,7 @@ def _encoded(docs: DataFrame, path: str, id_column: str, text_column: str, wante
 
 def decode_ids(ids: DataFrame, tokenizer: str, id_column: str = "doc_id", ids_column: str = "ids") -> DataFrame:
     """(doc_id, text) of rows with token ids, by the id-to-piece table of the vocabulary (its size is the vocabulary's)."""
+    ship(ids.sparkSession)
     named = ids.select(ids[id_column].alias("doc_id"), ids[ids_column].alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

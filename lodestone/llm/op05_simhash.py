@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import shared
 from lodestone.llm.words import U, Words, mix, xxh64
+from lodestone.ship import ship
 
 SHINGLE, DISTANCE, HOT = 4, 4, 50_000
 
@@ -54,6 +55,7 @@ def fingerprints_of(texts: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, fingerprint long) of each row."""
+    ship(docs.sparkSession)
     named = docs.select(docs[id_column].alias("doc_id"), docs[text_column].cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +180,7 @@ def _links(ring: Ring, keys: np.ndarray, prints: np.ndarray, probe: np.ndarray)
 
 def near_links(prints: DataFrame, distance: int = DISTANCE, hot: int = HOT) -> DataFrame:
     """(u, v) links whose components are those of fingerprints at most `distance` bits apart. prints: distinct fingerprints."""
-    spark = prints.sparkSession
+    spark = ship(prints.sparkSession)
     ring = Ring(distance)
     buckets = 4 * shared.partitions(spark)
 

@@ -25,6 +25,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lodestone.ship import ship
+
 # Fixed lists of element names and of words in class names, ids and roles.
 RAW = ("script", "style", "template", "noscript", "title", "textarea", "iframe", "svg", "math", "select", "button", "object", "canvas", "audio", "video")
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
@@ -234,6 +236,7 @@ def main_text(page: str | None) -> str:
 
 def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of each row."""
+    ship(pages.sparkSession)
     named = pages.select(pages[id_column].alias("page_id"), pages[url_column].alias("url"), pages[html_column].cast("string").alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import shared
 from lodestone.llm.words import U, mix
+from lodestone.ship import ship
 
 ORDER, SAMPLE = 5, 1500
 UNKNOWN = "und"
@@ -166,6 +167,7 @@ def learn(docs: DataFrame, order: int = ORDER, sample: int = SAMPLE, id_column:
     """A model of the documents that are not held out and have a language."""
     if not 0 <= order <= 6:
         raise ValueError("an order from 0 to 6 is asked for")
+    ship(docs.sparkSession)
     own = docs.select(docs[id_column].alias("doc_id"), docs[text_column].cast("string").alias("text"), docs[lang_column].cast("string").alias("lang"))
     own = own.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
     counts = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -194,7 +196,7 @@ def predict(docs: DataFrame, model: Model | None, id_column: str = "doc_id", tex
     """(doc_id, held_out, lang_pred, score) of each row; with carry, the columns of docs, then lang_pred and score."""
     kept = docs.columns if carry else []
     named = docs.select(*[docs[c] for c in kept], docs[id_column].alias("__id"), docs[text_column].cast("string").alias("__text"))
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = ship(docs.sparkSession).sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value

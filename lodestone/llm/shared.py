@@ -24,6 +24,8 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestone.ship import ship
+
 BLOCK_BYTES = 6 << 20
 ENVELOPE = "bucket int, block long, message binary"
 REPLY = "block long, bucket int, reply binary"
@@ -87,7 +89,7 @@ def load(payload: bytes) -> pa.Table:
 
 def pack(df: DataFrame, columns: list[str], name: str, target: int = BLOCK_BYTES) -> DataFrame:
     """The named columns as blocks (block long, payload binary), written once and bucketed by block."""
-    spark = df.sparkSession
+    spark = ship(df.sparkSession)
 
     def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute  # noqa: F401  pa.compute is a module of its own
