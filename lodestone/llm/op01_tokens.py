@@ -34,6 +34,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.llm.words import U, mix
+from lodestone.ship import ship
 
 MAGIC = b"LODETOK1"
 SHARD_IDS = 4 << 20
@@ -53,7 +55,8 @@ _TAIL = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
 class WordEncoder:
     """Ids of texts by words. For vocabularies whose pre-tokenizer drops white space and whose words end in </w>."""
 
-    MOST = 600_000
+    #: Words that a worker remembers, and words of letters alone; beyond that it starts anew.
+    MOST, MOST_LETTERS = 800_000, 1_500_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -77,7 +80,7 @@ class WordEncoder:
         return _ENCODERS[path]
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
 
     def _learn(self, pieces: list[str]) -> None:
         """Words of letters alone are one pre-token each: many go into one text, cut after each word's end."""
@@ -92,7 +95,7 @@ class WordEncoder:
     def meet(self, words: set[str]) -> None:
         if len(self.words) > self.MOST:
             self.words = {"": b""}
-        if len(self.letters) > self.MOST:
+        if len(self.letters) > self.MOST_LETTERS:
             self.letters = {}
         new = [w for w in words if w not in self.words]
         split: dict[str, tuple[str, str]] = {}
@@ -101,7 +104,7 @@ class WordEncoder:
                 split[word] = (word.lower() if word.isascii() else word, "")
             elif (m := _TAIL.fullmatch(word)) and m[1].isalpha():
                 split[word] = (m[1].lower() if m[1].isascii() else m[1], m[2])
-        self._learn(sorted({a for a, _ in split.values()} - self.letters.keys()))
+        self._learn([a for a in {a for a, _ in split.values()} if a not in self.letters])
         for word in new:
             if word in split:
                 head, tail = split[word]
@@ -113,9 +116,15 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        self.meet(set().union(*split))
-        known = self.words
-        return [b"".join([known[w] for w in words]) for words in split]
+        found = list(map(self.words.get, chain.from_iterable(split)))
+        if None in found:
+            every = list(chain.from_iterable(split))
+            gaps = [i for i, x in enumerate(found) if x is None]
+            self.meet({every[i] for i in gaps})
+            for i in gaps:
+                found[i] = self.words[every[i]]
+        ends = list(accumulate(map(len, split)))
+        return [b"".join(found[a:b]) for a, b in zip([0, *ends], ends)]
 
 
 class PerfectHash:
@@ -230,6 +239,7 @@ class Shard:
 
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 1, id_column: str = "doc_id", text_column: str = "text") -> None:
     """Encodes docs and writes a store of shards in ascending order of document ids."""
+    ship(docs.sparkSession)
     named = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,6 +269,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int | None =
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
+    ship(spark)
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("content")
 
 
