@@ -32,6 +32,8 @@ from lodestone.llm.words import U, Words, mix, xxh64
 from lodestone.ship import ship
 
 SHINGLE, DISTANCE, HOT = 4, 4, 50_000
+#: For similar texts: least similarity of their shingles; words a shingle and bits apart of candidates' SimHashes.
+SIMILARITY, FEATURES, WIDE = 0.8, 2, 7
 
 
 def fingerprints_of(texts: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
@@ -141,7 +143,7 @@ def _breadth(values: np.ndarray, distance: int) -> tuple[list[np.ndarray], list[
     return a, b
 
 
-def _links(ring: Ring, keys: np.ndarray, prints: np.ndarray, probe: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _links(ring: Ring, keys: np.ndarray, prints: np.ndarray, probe: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray]:
     order = np.lexsort((probe, keys))
     keys, prints, probe = keys[order], prints[order], probe[order]
     cuts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]))
@@ -175,11 +177,19 @@ def _links(ring: Ring, keys: np.ndarray, prints: np.ndarray, probe: np.ndarray)
         b += y
     if not a:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    return forest(np.concatenate(a), np.concatenate(b))
+    u, v = np.concatenate(a), np.concatenate(b)
+    if pairs:
+        both = np.unique(np.stack((np.minimum(u, v), np.maximum(u, v)), 1), axis=0)
+        return both[:, 0], both[:, 1]
+    return forest(u, v)
 
 
-def near_links(prints: DataFrame, distance: int = DISTANCE, hot: int = HOT) -> DataFrame:
-    """(u, v) links whose components are those of fingerprints at most `distance` bits apart. prints: distinct fingerprints."""
+def near_links(prints: DataFrame, distance: int = DISTANCE, hot: int = HOT, pairs: bool = False) -> DataFrame:
+    """(u, v) links whose components are those of fingerprints at most `distance` bits apart. prints: distinct fingerprints.
+
+    With pairs, links are pairs at most `distance` apart: all of them, but for runs of many equal keys, which give a
+    pair for each fingerprint that a breadth-first search reaches.
+    """
     spark = ship(prints.sparkSession)
     ring = Ring(distance)
     buckets = 4 * shared.partitions(spark)
@@ -233,7 +243,7 @@ def near_links(prints: DataFrame, distance: int = DISTANCE, hot: int = HOT) -> D
             keys.append(np.frombuffer(k, "<u8"))
             values.append(np.frombuffer(p, "<u8"))
             probe.append(np.unpackbits(np.frombuffer(q, np.uint8), count=len(keys[-1])).astype(bool))
-        u, v = _links(ring, np.concatenate(keys), np.concatenate(values), np.concatenate(probe))
+        u, v = _links(ring, np.concatenate(keys), np.concatenate(values), np.concatenate(probe), pairs)
         return pa.table({"u": u.view(np.int64), "v": v.view(np.int64)})
 
     return prints.select("fingerprint").mapInArrow(emit, "bucket int, message binary").groupBy("bucket").applyInArrow(link, "u long, v long")
@@ -272,9 +282,76 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SH
     return found.join(classes, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of docs that stay: of each component the row with the least doc_id (one of its repeated rows)."""
-    classes = near_duplicates(docs, distance, shingle)
-    stay = classes.groupBy("component_id").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    one = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.select(*docs.columns)
+def shingle_sets(texts: list[bytes], shingle: int) -> list[np.ndarray]:
+    """Sorted distinct hashes of each text's shingles, A-Z in lower case; a shorter text is one shingle."""
+    words = Words(texts, lower=True)
+    values = words.hashes()
+    out = []
+    for a, b in zip(words.first.tolist(), words.first[1:].tolist()):
+        n = min(shingle, b - a)
+        hashed = np.zeros(b - a - n + 1 if n else 0, np.uint64)
+        for k in range(n):
+            hashed = mix(hashed * U(31) + values[a + k : a + k + len(hashed)] + U(1))
+        out.append(np.unique(hashed))
+    return out
+
+
+def bounded(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """df, to be broadcast if it has at most that many rows (of a few numbers each)."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def similar_links(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = 5, features: int = FEATURES, distance: int = WIDE) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, least) of texts that some document before them has too, and (u, v) links of documents whose sets of shingles are similar.
+
+    Five-word shingles of texts with a similarity of 0.8 give SimHashes about 10 bits apart, too far to find without
+    comparing nearly all. Words by twos change less: their SimHashes are some 6 bits apart then. So candidates are
+    texts whose SimHashes of two-word shingles are at most `distance` bits apart, by pigeonring, and the exact
+    similarity of their sets of shingles decides.
+    """
+    spark = ship(docs.sparkSession)
+    found = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    hashed = found.select(F.struct("doc_id", F.xxhash64("text").alias("h"), F.length("text").alias("n")).alias("doc_id"), "text")
+    prints = shared.written(fingerprints(hashed, features).select("doc_id.*", "fingerprint"), "texts")
+    texts = shared.written(prints.groupBy("fingerprint", "h", "n").agg(F.min("doc_id").alias("least")), "distinct")
+    same = prints.join(texts, ["fingerprint", "h", "n"]).filter("doc_id <> least").select("doc_id", "least")
+    nodes = texts.groupBy("fingerprint").agg(F.min("least").alias("head"))
+    inside = texts.join(nodes, "fingerprint").filter("least <> head").select(F.col("head").alias("u"), F.col("least").alias("v"))
+    near = near_links(nodes, distance, pairs=True).filter("u <> v").distinct()
+    head = lambda c: nodes.select(F.col("fingerprint").alias(c), F.col("head").alias(f"{c}_doc"))
+    across = near.join(head("u"), "u").join(head("v"), "v").select(F.col("u_doc").alias("u"), F.col("v_doc").alias("v"))
+    pairs = shared.written(inside.union(across), "candidates")
+    wanted = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                sets = shingle_sets(part["text"].cast(pa.binary()).to_pylist(), shingle)
+                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["doc_id", "set"])
+
+    kind = found.schema["doc_id"].dataType.simpleString()
+    sets = found.join(bounded(wanted), "doc_id", "left_semi").mapInArrow(run, f"doc_id {kind}, set array<long>")
+    sets = shared.written(sets.dropDuplicates(["doc_id"]), "sets")
+    side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("set").alias(f"{c}_set"))
+    common = F.size(F.array_intersect("u_set", "v_set"))
+    union = F.size("u_set") + F.size("v_set") - common
+    return same, pairs.join(side("u"), "u").join(side("v"), "v").filter((union == 0) | (common >= similarity * union)).select("u", "v")
+
+
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = 5, features: int = FEATURES, distance: int = WIDE) -> DataFrame:
+    """The rows of docs that stay: of each component of similar documents the row with the least doc_id (one of its repeated rows).
+
+    A row with a null id stays. Texts without words are similar to one another.
+    """
+    same, links = similar_links(docs, similarity, shingle, features, distance)
+    joined = components(links)
+    # equal texts follow the first of them; what isn't the least of its component goes
+    gone = joined.select(F.col("node").alias("doc_id")).union(same.select("doc_id")).distinct()
+    gone = shared.written(gone, "gone")
+    left = docs.join(bounded(gone), "doc_id", "left_anti")
+    repeated = docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    if not repeated.isEmpty():
+        twice = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        left = left.join(repeated, "doc_id", "left_anti").unionByName(twice)
+    return left.select(*docs.columns)
