@@ -30,9 +30,11 @@ their number; an empty table gives an empty store; other columns are ignored.
 from __future__ import annotations
 
 import json
+import mmap
 import os
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import accumulate, chain
 
@@ -204,13 +206,13 @@ class Shard:
         self.size = at
         self.absent = np.unpackbits(np.frombuffer(parts[0], np.uint8), count=self.header["n_docs"]).astype(bool)
         self.doc_ids = np.frombuffer(parts[1], "<i8")
-        self.offsets = np.frombuffer(parts[2], "<u8").astype(np.int64)
+        self.offsets = np.frombuffer(parts[2], "<i8")
         self.hash = PerfectHash(self.header["bits"], np.frombuffer(parts[3], "<u8"))
         self.slots = np.frombuffer(parts[4], "<u4").reshape(-1, 3)
         self.ids = np.frombuffer(parts[5], self.header["dtype"])
 
     @staticmethod
-    def all(content: bytes) -> Iterator[Shard]:
+    def all(content: bytes | memoryview) -> Iterator[Shard]:
         view, at = memoryview(content), 0
         while at < len(view):
             shard = Shard(view[at:])
@@ -237,6 +239,27 @@ class Shard:
         return [self.tokens(int(first[0]) + k) for k in range(int(count[0]))]
 
 
+class TokenStore:
+    """A store in a folder that this machine can map: keyed access touches a shard's index and one payload.
+
+    The range of a key's shard is found by bisection over the shards' first ids, the document in it in constant time.
+    """
+
+    def __init__(self, folder: str):
+        self.shards: list[Shard] = []
+        for name in sorted(n for n in os.listdir(folder) if n.startswith("part-")):
+            with open(os.path.join(folder, name), "rb") as f:
+                if os.fstat(f.fileno()).st_size:
+                    self.shards += Shard.all(memoryview(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)))
+        self.shards = sorted((x for x in self.shards if x.header["n_keys"]), key=lambda x: (x.header["partition"], x.header["shard"]))
+        self.first = [int(x.doc_ids[x.absent.sum()]) for x in self.shards]
+
+    def get(self, doc_id: int) -> list[np.ndarray]:
+        """Ids of each document with this id."""
+        at = bisect_right(self.first, doc_id) - 1
+        return self.shards[at].get(doc_id) if at >= 0 else []
+
+
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 1, id_column: str = "doc_id", text_column: str = "text") -> None:
     """Encodes docs and writes a store of shards in ascending order of document ids."""
     ship(docs.sparkSession)

@@ -48,6 +48,10 @@ def test_store(spark, tmp_path, size, monkeypatch):
     keys = [rows[5][0], rows[7][0], 10_000]
     found = op.lookup(spark, path, keys).collect()
     assert sorted(r.doc_id for r in found) == sorted([keys[0]] * 3 + [keys[1]])
+    store = op.TokenStore(path)
+    for d, t, *_ in rows[:30]:
+        assert [*own.encode(t or "", add_special_tokens=False).ids, 1] in [x.tolist() for x in store.get(d)]
+    assert len(store.get(keys[0])) == 3 and store.get(10_000) == store.get(-10_000) == []
     assert [r.ids for r in found if r.doc_id == keys[1]] == [[*own.encode(rows[7][1], add_special_tokens=False).ids, 1]]
 
 
