@@ -9,6 +9,7 @@ from lodestone.functions import text as X
 from lodestone.functions.triage import rule_triage
 from lodestone.operators import entities as E
 from lodestone.operators import lifecycle as L
+from lodestone.plans import dossier, index
 from lodestone.plans import search as S
 from lodestone.registry import query
 from lodestone.sources import export, metadata
@@ -111,3 +112,10 @@ query("export_guests", "SELECT canonical_name, entity_type, '' AS aliases, menti
 query("export_sessions", "SELECT session_id, string_agg(concat('**', upper(role[1]), role[2:], '**: ', content), chr(10) || chr(10) ORDER BY message_id) AS text FROM chat_messages GROUP BY 1")(lambda v: export.session_markdown(v))
 query("export_claim_notes", "SELECT concat('claims/claim ', cast(claim_id AS string), '.md') AS path FROM claims JOIN videos USING (video_id)")(lambda v: export.notes(v, "claims").select("path"))
 query("export_video_packages")(lambda v: export.video_packages(v))
+query("bm25_indexed", f"SELECT chunk_id, round(score, 6) AS score FROM ({_BM})")(lambda v: index.search((index.postings(_texts(v)), index.lengths(_texts(v))), "Ring", None).select("chunk_id", F.round("score", 6).alias("score")))
+query("bm25_indexed_phrase", f"SELECT chunk_id FROM {_PART} WHERE contains(text, 'small ring')")(lambda v: index.search((index.postings(_texts(v)), index.lengths(_texts(v))), "small ring", None).select("chunk_id"))
+query("postings", f"SELECT term, count(*) AS chunks, cast(sum(n) AS bigint) AS n FROM (SELECT chunk_id, term, count(*) AS n FROM (SELECT chunk_id, unnest({_TOK.format('text')}) AS term FROM {_PART}) GROUP BY 1, 2) GROUP BY 1")(
+    lambda v: index.postings(_texts(v)).groupBy("term").agg(F.count("*").alias("chunks"), F.sum(F.size("positions")).alias("n"))
+)
+query("dossiers", """SELECT name, count(DISTINCT t.video_id) AS videos, count(DISTINCT v.channel_id) AS channels, count(DISTINCT t.chunk_id) AS mentions FROM chunk_topics t JOIN videos v USING (video_id) GROUP BY 1""")(lambda v: dossier.dossiers(v).select("name", "videos", "channels", "mentions"))
+query("dossier_markdown")(lambda v: dossier.dossier_markdown(dossier.dossiers(v)))

@@ -12,6 +12,7 @@ from lodestone.operators import entities as E
 from lodestone.operators import graph as G
 from lodestone.operators import lifecycle as L
 from lodestone.operators import relational as R
+from lodestone.plans import index
 from lodestone.plans import search as S
 from lodestone.plans.query_parser import parse_query
 from lodestone.sources import export, metadata
@@ -199,3 +200,15 @@ def test_streams(spark, tmp_path):
     videos = spark.createDataFrame([("a", "ACCEPTED", "CHUNKED"), ("b", "REJECTED", "CHUNKED"), ("c", "ACCEPTED", "CHUNK_ANALYZED"), ("d", "ACCEPTED", "DONE")], "video_id string, triage_status string, checkpoint_stage string")
     out = stages.step(videos, {"CHUNK_ANALYZED": lambda d: d.withColumn("ok", F.lit(True)), "SUMMARIZED": lambda d: d.withColumn("ok", F.lit(False))})
     assert {r.video_id: r.checkpoint_stage for r in out.collect()} == {"a": "CHUNK_ANALYZED", "b": "CHUNKED", "c": "CHUNK_ANALYZED", "d": "DONE"}
+
+
+def test_index(spark, tmp_path):
+    chunks = spark.createDataFrame([("v1__chunk_0001", "v1", "neural nets are neural nets"), ("v1__chunk_0002", "v1", "nets neural"), ("v2__chunk_0000", "v2", "")], "chunk_id string, video_id string, text string")
+    index.build(chunks, str(tmp_path / "i"))
+    built = index.read(spark, str(tmp_path / "i"))
+    for query in ("neural", "neural nets", "nets neural", "neural nets are neural", "neural neural", "none", "", "v1"):
+        want = {r.chunk_id: (round(r.score, 9), r.f) for r in S.bm25(chunks, query).collect()}
+        assert {r.chunk_id: (round(r.score, 9), r.f) for r in index.search(built, query).collect()} == want, query
+    new = spark.createDataFrame([("v1__chunk_0002", "v1", "other words"), ("v3__chunk_0000", "v3", "neural")], chunks.schema)
+    merged = new.union(chunks.join(new.select("chunk_id"), "chunk_id", "left_anti"))
+    assert sorted(map(str, index.search(index.refreshed(built, new), "neural").collect())) == sorted(map(str, S.bm25(merged, "neural").collect()))
