@@ -34,8 +34,7 @@ VIEWS: dict[str, str] = {
         cast(i * 10 AS double) AS start_timestamp, cast(i * 10 + 10 AS double) AS end_timestamp
         FROM chunk_rows JOIN part ON l_partkey = p_partkey""",
     "chunk_topics": """SELECT concat(cast(l_orderkey AS string), '__chunk_', lpad(cast(i AS string), 4, '0')) AS chunk_id, cast(l_orderkey AS string) AS video_id,
-        w.n AS half, CASE w.n WHEN 1 THEN split(p_name, ' ')[IDX1] ELSE split(p_name, ' ')[IDX2] END AS name, l_discount * 10 AS relevance
-        FROM chunk_rows JOIN part ON l_partkey = p_partkey CROSS JOIN (SELECT 1 AS n UNION ALL SELECT 2 AS n) w""",
+        ROWS_OF(split(p_name, ' ')) AS name, l_discount * 10 AS relevance FROM chunk_rows JOIN part ON l_partkey = p_partkey""",
     "guests": """SELECT s_suppkey AS guest_id, s_name AS canonical_name, CASE WHEN s_suppkey % 5 = 0 THEN 'ORGANIZATION' ELSE 'PERSON' END AS entity_type,
         cast(abs(round(s_acctbal)) AS bigint) AS mention_count FROM supplier""",
     "guest_appearances": """SELECT DISTINCT l_suppkey AS guest_id, cast(l_orderkey AS string) AS video_id FROM lineitem""",
@@ -61,7 +60,7 @@ BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"
 
 
 def _dialect(sql: str, spark: bool) -> str:
-    return sql.replace("IDX1", "0" if spark else "1").replace("IDX2", "1" if spark else "2")
+    return sql.replace("ROWS_OF", "explode" if spark else "unnest")
 
 
 def _uses(sql: str) -> list[str]:
