@@ -20,6 +20,7 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -301,13 +302,160 @@ def bounded(df: DataFrame, rows: int = 500_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def prefix(values: np.ndarray, similarity: float, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first of a set's sorted shingles, in one order for all sets: two sets at least that similar share one of them.
+
+    Sets with Jaccard similarity t share t * n of the n shingles of either, so that the first n - ceil(t * n) + 1 of
+    both cannot be disjoint. Common shingles come last, so that few sets meet by chance; empty sets share the key 0.
+    """
+    n = len(values)
+    if not n:
+        return np.zeros(1, np.uint64)
+    if len(common):
+        place = np.minimum(np.searchsorted(common, values), len(common) - 1)
+        hit = common[place] == values
+        values = np.concatenate((values[~hit], values[hit][np.argsort(rank[place[hit]])]))
+    return values[: n - math.ceil(similarity * n - 1e-9) + 1]
+
+
+def parity(values: np.ndarray) -> bytes:
+    """512 bits: of two sets, those that differ are at most as many as the shingles that only one set has."""
+    return np.packbits((np.bincount((values >> U(55)).astype(np.int64), minlength=512) & 1).astype(np.uint8)).tobytes()
+
+
+def prefix_pairs(keys: np.ndarray, nodes: np.ndarray, labels: np.ndarray, sizes: np.ndarray, bits: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of nodes with one key and two labels that sizes and parity bits (rows of 8 words) don't show to be less similar."""
+    order = np.lexsort((nodes, sizes, keys))
+    keys, nodes, labels, sizes, bits = keys[order], nodes[order], labels[order], sizes[order], bits[order]
+    later = np.searchsorted(keys, keys, side="right") - np.arange(len(keys)) - 1
+    total = np.cumsum(later)
+    odd = (1 - similarity) / (1 + similarity)
+    a, b, at = [], [], 0
+    while at < len(keys):
+        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + 500_000, side="right")))
+        n = later[at:stop]
+        x = np.repeat(np.arange(at, stop), n)
+        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
+        some = (labels[x] != labels[y]) & (sizes[x] >= similarity * sizes[y] - 1e-6)
+        x, y = x[some], y[some]
+        good = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64) <= odd * (sizes[x] + sizes[y]) + 1e-6
+        a.append(nodes[x[good]])
+        b.append(nodes[y[good]])
+        at = stop
+    u, v = np.concatenate(a), np.concatenate(b)
+    both = np.unique(np.stack((np.minimum(u, v), np.maximum(u, v)), 1), axis=0)
+    return both[:, 0], both[:, 1]
+
+
+def shingled(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, set, size, bits) of each row: the hashes of its shingles, their number and parity bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                sets = shingle_sets(part["text"].cast(pa.binary()).to_pylist(), shingle)
+                columns = [part["doc_id"], pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())), pa.array([len(x) for x in sets], pa.int32()), pa.array([parity(x) for x in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "set", "size", "bits"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, set array<long>, size int, bits binary")
+
+
+def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose sets are at least that similar."""
+    side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("set").alias(f"{c}_set"))
+    common = F.size(F.array_intersect("u_set", "v_set"))
+    union = F.size("u_set") + F.size("v_set") - common
+    return pairs.join(side("u"), "u").join(side("v"), "v").filter((union == 0) | (common >= similarity * union)).select("u", "v")
+
+
+def verified(found: DataFrame, pairs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    wanted = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
+    sets = shared.written(shingled(found.join(bounded(wanted), "doc_id", "left_semi"), shingle).dropDuplicates(["doc_id"]), "sets")
+    return alike(pairs, sets, similarity)
+
+
+def common_shingles(found: DataFrame, names: DataFrame, shingle: int, sample: int = 20_000, least: int = 3, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles that a sample of texts often holds, and their ranks. They order prefixes only and change no result."""
+    share = min(1.0, sample / max(1, names.count()))
+    drawn = names.select(F.col("doc").alias("doc_id")).sample(share, 5)
+    sets = shingled(found.join(bounded(drawn), "doc_id", "left_semi"), shingle)
+    counted = sets.select(F.explode("set").alias("s")).groupBy("s").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    table = counted.orderBy(F.desc("n"), "s").limit(most).toArrow()
+    values = table["s"].to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(values)
+    return values[order], -order
+
+
+def prefix_links(found: DataFrame, names: DataFrame, front: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """(u, v) of similar texts that the links `front` leave in two components: with front, the components of all similar pairs.
+
+    found: (doc_id, text); names: (node, doc), the hash of each distinct text and its first document. Every text is
+    filed under its prefix; keys of several texts are kept, and pairs of texts of two components that pass the exact
+    bounds of sizes and parity bits are verified.
+    """
+    spark = ship(found.sparkSession)
+    buckets = 4 * shared.partitions(spark)
+    common, rank = common_shingles(found, names, shingle)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 5000):
+                part = whole.slice(start, 5000)
+                ids, first = np.unique(part["node"].to_numpy(zero_copy_only=False), return_index=True)
+                texts = part["text"].cast(pa.binary()).take(pa.array(first)).to_pylist()
+                held = [prefix(x, similarity, common, rank) for at in range(0, len(texts), 500) for x in shingle_sets(texts[at : at + 500], shingle)]
+                keys, nodes = np.concatenate(held), np.repeat(ids, [len(x) for x in held])
+                bucket = (mix(keys) % U(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                out = [(k, order[a:b]) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+                packed = [shared.join_parts(keys[r].tobytes(), nodes[r].tobytes()) for _, r in out]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array(packed, pa.binary())], ["bucket", "message"])
+
+    def meet(table: pa.Table) -> pa.Table:
+        parts = [shared.split_parts(m) for m in table["message"].to_pylist()]
+        keys, nodes = (np.concatenate([np.frombuffer(p[k], "<i8") for p in parts]) for k in (0, 1))
+        order = np.lexsort((nodes, keys))
+        keys, nodes = keys[order], nodes[order]
+        new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])))
+        keys, nodes = keys[new], nodes[new]
+        again = keys[1:] == keys[:-1]
+        several = np.concatenate(([False], again)) | np.concatenate((again, [False]))
+        return pa.table({"key": keys[several], "node": nodes[several]})
+
+    hashed = found.select(F.xxhash64("text").alias("node"), "text")
+    runs = shared.written(hashed.mapInArrow(emit, "bucket int, message binary").groupBy("bucket").applyInArrow(meet, "key long, node long"), "runs")
+    joined = components(front)
+    label = F.xxhash64(F.coalesce("root", "doc")).alias("label")
+    labels = names.join(joined, names["doc"] == joined["node"], "left").select(names["node"], "doc", label)
+    labelled = shared.written(runs.join(labels, "node"), "labelled")
+    open_ = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("key")
+    active = shared.written(labelled.join(open_, "key", "left_semi"), "active")
+    wanted = active.select(F.col("doc").alias("doc_id")).distinct()
+    sets = shared.written(shingled(found.join(bounded(wanted), "doc_id", "left_semi"), shingle).dropDuplicates(["doc_id"]), "prefix_sets")
+    info = sets.select(F.col("doc_id").alias("doc"), "size", "bits")
+
+    def pair(table: pa.Table) -> pa.Table:
+        key, node, label, size = (table[c].to_numpy() for c in ("key", "node", "label", "size"))
+        bits = np.frombuffer(b"".join(table["bits"].to_pylist()), np.uint64).reshape(-1, 8)
+        u, v = prefix_pairs(key, node, label, size.astype(np.int64), bits, similarity)
+        return pa.table({"u": u, "v": v})
+
+    rows = active.join(info, "doc").select(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket"), "key", "node", "label", "size", "bits")
+    near = rows.groupBy("bucket").applyInArrow(pair, "u long, v long").distinct()
+    doc = lambda c: names.select(F.col("node").alias(c), F.col("doc").alias(f"{c}_doc"))
+    pairs = shared.written(near.join(doc("u"), "u").join(doc("v"), "v").select(F.col("u_doc").alias("u"), F.col("v_doc").alias("v")), "prefix_pairs")
+    return shared.written(alike(pairs, sets, similarity), "prefix_links")
+
+
 def similar_links(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = 5, features: int = FEATURES, distance: int = WIDE) -> tuple[DataFrame, DataFrame]:
     """(doc_id, least) of texts that some document before them has too, and (u, v) links of documents whose sets of shingles are similar.
 
-    Five-word shingles of texts with a similarity of 0.8 give SimHashes about 10 bits apart, too far to find without
-    comparing nearly all. Words by twos change less: their SimHashes are some 6 bits apart then. So candidates are
-    texts whose SimHashes of two-word shingles are at most `distance` bits apart, by pigeonring, and the exact
-    similarity of their sets of shingles decides.
+    SimHashes of two-word shingles at most `distance` bits apart come first: they join most copies at little cost, but
+    miss some (above all added or cut passages) and pass over pairs of crowded keys. prefix_links then finds every
+    similar pair that they left in two components. The exact similarity of the sets decides on both.
     """
     spark = ship(docs.sparkSession)
     found = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -321,22 +469,9 @@ def similar_links(docs: DataFrame, similarity: float = SIMILARITY, shingle: int
     head = lambda c: nodes.select(F.col("fingerprint").alias(c), F.col("head").alias(f"{c}_doc"))
     across = near.join(head("u"), "u").join(head("v"), "v").select(F.col("u_doc").alias("u"), F.col("v_doc").alias("v"))
     pairs = shared.written(inside.union(across), "candidates")
-    wanted = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                sets = shingle_sets(part["text"].cast(pa.binary()).to_pylist(), shingle)
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["doc_id", "set"])
-
-    kind = found.schema["doc_id"].dataType.simpleString()
-    sets = found.join(bounded(wanted), "doc_id", "left_semi").mapInArrow(run, f"doc_id {kind}, set array<long>")
-    sets = shared.written(sets.dropDuplicates(["doc_id"]), "sets")
-    side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("set").alias(f"{c}_set"))
-    common = F.size(F.array_intersect("u_set", "v_set"))
-    union = F.size("u_set") + F.size("v_set") - common
-    return same, pairs.join(side("u"), "u").join(side("v"), "v").filter((union == 0) | (common >= similarity * union)).select("u", "v")
+    front = shared.written(verified(found, pairs, similarity, shingle), "front")
+    names = shared.written(texts.groupBy(F.col("h").alias("node")).agg(F.min("least").alias("doc")), "names")
+    return same, front.union(prefix_links(found, names, front, similarity, shingle))
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = 5, features: int = FEATURES, distance: int = WIDE) -> DataFrame:

@@ -124,3 +124,15 @@ def test_keep_one_of_similar_texts(spark):
     want = similar_classes(docs)
     assert kept.count(None) == 1 and sorted(x for x in kept if x is not None) == sorted(want)
     assert op.keep_one(frame.limit(0)).count() == 0
+
+
+def test_keep_one_finds_added_and_cut_passages(spark):
+    rng = random.Random(9)
+    word = lambda: rng.choice("abcdefgh") + str(rng.randrange(3000))
+    docs = []
+    for k in (30, 100, 300, 1000):
+        for _ in range(15):
+            base = [word() for _ in range(k)]
+            docs += [" ".join(base), " ".join(base + [word() for _ in range(int(k * 0.2))]), " ".join(base[int(k * 0.15) :])]
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in op.keep_one(frame).collect()) == sorted(similar_classes(docs))
