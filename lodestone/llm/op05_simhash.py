@@ -21,7 +21,7 @@ result; other columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +35,8 @@ from lodestone.ship import ship
 SHINGLE, DISTANCE, HOT = 4, 4, 50_000
 #: For similar texts: least similarity of their shingles; words a shingle and bits apart of candidates' SimHashes.
 SIMILARITY, FEATURES, WIDE = 0.8, 2, 7
+#: Partners that a text proposes for a key in the first round of the prefix search; GROWTH times as many in each next one.
+PARTNERS, GROWTH = 8, 16
 
 
 def fingerprints_of(texts: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
@@ -323,14 +325,17 @@ def parity(values: np.ndarray) -> bytes:
     return np.packbits((np.bincount((values >> U(55)).astype(np.int64), minlength=512) & 1).astype(np.uint8)).tobytes()
 
 
-def prefix_pairs(keys: np.ndarray, nodes: np.ndarray, labels: np.ndarray, sizes: np.ndarray, bits: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of nodes with one key and two labels that sizes and parity bits (rows of 8 words) don't show to be less similar."""
+def prefix_pairs(keys: np.ndarray, nodes: np.ndarray, labels: np.ndarray, sizes: np.ndarray, bits: np.ndarray, similarity: float, partners: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs of nodes with one key and two labels that sizes and parity bits (rows of 8 words) don't show to be less similar.
+
+    A node gives at most that many for a key; the last value tells whether any has more.
+    """
     order = np.lexsort((nodes, sizes, keys))
     keys, nodes, labels, sizes, bits = keys[order], nodes[order], labels[order], sizes[order], bits[order]
     later = np.searchsorted(keys, keys, side="right") - np.arange(len(keys)) - 1
     total = np.cumsum(later)
     odd = (1 - similarity) / (1 + similarity)
-    a, b, at = [], [], 0
+    a, b, at, more = [], [], 0, False
     while at < len(keys):
         stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + 500_000, side="right")))
         n = later[at:stop]
@@ -339,12 +344,15 @@ def prefix_pairs(keys: np.ndarray, nodes: np.ndarray, labels: np.ndarray, sizes:
         some = (labels[x] != labels[y]) & (sizes[x] >= similarity * sizes[y] - 1e-6)
         x, y = x[some], y[some]
         good = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64) <= odd * (sizes[x] + sizes[y]) + 1e-6
-        a.append(nodes[x[good]])
-        b.append(nodes[y[good]])
+        x, y = x[good], y[good]
+        first = np.arange(len(x)) - np.searchsorted(x, x) < partners
+        more = more or not first.all()
+        a.append(nodes[x[first]])
+        b.append(nodes[y[first]])
         at = stop
     u, v = np.concatenate(a), np.concatenate(b)
     both = np.unique(np.stack((np.minimum(u, v), np.maximum(u, v)), 1), axis=0)
-    return both[:, 0], both[:, 1]
+    return both[:, 0], both[:, 1], more
 
 
 def shingled(docs: DataFrame, shingle: int) -> DataFrame:
@@ -388,12 +396,24 @@ def common_shingles(found: DataFrame, names: DataFrame, shingle: int, sample: in
     return values[order], -order
 
 
+def _meeting(similarity: float, partners: int) -> Callable[[pa.Table], pa.Table]:
+    def pair(table: pa.Table) -> pa.Table:
+        key, node, label, size = (table[c].to_numpy() for c in ("key", "node", "label", "size"))
+        bits = np.frombuffer(b"".join(table["bits"].to_pylist()), np.uint64).reshape(-1, 8)
+        u, v, more = prefix_pairs(key, node, label, size.astype(np.int64), bits, similarity, partners)
+        return pa.table({"u": u, "v": v, "more": np.full(len(u), bool(more))})
+
+    return pair
+
+
 def prefix_links(found: DataFrame, names: DataFrame, front: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """(u, v) of similar texts that the links `front` leave in two components: with front, the components of all similar pairs.
+    """front with links (u, v) of similar texts that it leaves in two components: the components are those of all similar pairs.
 
     found: (doc_id, text); names: (node, doc), the hash of each distinct text and its first document. Every text is
     filed under its prefix; keys of several texts are kept, and pairs of texts of two components that pass the exact
-    bounds of sizes and parity bits are verified.
+    bounds of sizes and parity bits are verified. In a crowd of near copies these would be nearly all pairs, so each
+    text proposes a few partners first; components grow by those that are similar, and rounds with more partners
+    follow until no text of a key has any left in another component that it did not propose.
     """
     spark = ship(found.sparkSession)
     buckets = 4 * shared.partitions(spark)
@@ -427,27 +447,27 @@ def prefix_links(found: DataFrame, names: DataFrame, front: DataFrame, similarit
 
     hashed = found.select(F.xxhash64("text").alias("node"), "text")
     runs = shared.written(hashed.mapInArrow(emit, "bucket int, message binary").groupBy("bucket").applyInArrow(meet, "key long, node long"), "runs")
-    joined = components(front)
     label = F.xxhash64(F.coalesce("root", "doc")).alias("label")
-    labels = names.join(joined, names["doc"] == joined["node"], "left").select(names["node"], "doc", label)
-    labelled = shared.written(runs.join(labels, "node"), "labelled")
-    open_ = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("key")
-    active = shared.written(labelled.join(open_, "key", "left_semi"), "active")
-    wanted = active.select(F.col("doc").alias("doc_id")).distinct()
-    sets = shared.written(shingled(found.join(bounded(wanted), "doc_id", "left_semi"), shingle).dropDuplicates(["doc_id"]), "prefix_sets")
-    info = sets.select(F.col("doc_id").alias("doc"), "size", "bits")
-
-    def pair(table: pa.Table) -> pa.Table:
-        key, node, label, size = (table[c].to_numpy() for c in ("key", "node", "label", "size"))
-        bits = np.frombuffer(b"".join(table["bits"].to_pylist()), np.uint64).reshape(-1, 8)
-        u, v = prefix_pairs(key, node, label, size.astype(np.int64), bits, similarity)
-        return pa.table({"u": u, "v": v})
-
-    rows = active.join(info, "doc").select(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket"), "key", "node", "label", "size", "bits")
-    near = rows.groupBy("bucket").applyInArrow(pair, "u long, v long").distinct()
     doc = lambda c: names.select(F.col("node").alias(c), F.col("doc").alias(f"{c}_doc"))
-    pairs = shared.written(near.join(doc("u"), "u").join(doc("v"), "v").select(F.col("u_doc").alias("u"), F.col("v_doc").alias("v")), "prefix_pairs")
-    return shared.written(alike(pairs, sets, similarity), "prefix_links")
+    links, partners, sets = front, PARTNERS, None
+    while True:
+        joined = components(links)
+        labels = names.join(joined, names["doc"] == joined["node"], "left").select(names["node"], "doc", label)
+        labelled = shared.written(runs.join(labels, "node"), "labelled")
+        mixed = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("key")
+        active = shared.written(labelled.join(mixed, "key", "left_semi"), "active")
+        if sets is None:  # later rounds have no other texts
+            wanted = active.select(F.col("doc").alias("doc_id")).distinct()
+            sets = shared.written(shingled(found.join(bounded(wanted), "doc_id", "left_semi"), shingle).dropDuplicates(["doc_id"]), "prefix_sets")
+
+        rows = active.join(sets.select(F.col("doc_id").alias("doc"), "size", "bits"), "doc")
+        rows = rows.select(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket"), "key", "node", "label", "size", "bits")
+        near = shared.written(rows.groupBy("bucket").applyInArrow(_meeting(similarity, partners), "u long, v long, more boolean"), "near")
+        pairs = near.select("u", "v").distinct().join(doc("u"), "u").join(doc("v"), "v").select(F.col("u_doc").alias("u"), F.col("v_doc").alias("v"))
+        links = links.union(shared.written(alike(pairs, sets, similarity), "prefix_links"))
+        if near.filter("more").isEmpty():
+            return links
+        partners *= GROWTH
 
 
 def similar_links(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = 5, features: int = FEATURES, distance: int = WIDE) -> tuple[DataFrame, DataFrame]:
@@ -471,7 +491,7 @@ def similar_links(docs: DataFrame, similarity: float = SIMILARITY, shingle: int
     pairs = shared.written(inside.union(across), "candidates")
     front = shared.written(verified(found, pairs, similarity, shingle), "front")
     names = shared.written(texts.groupBy(F.col("h").alias("node")).agg(F.min("least").alias("doc")), "names")
-    return same, front.union(prefix_links(found, names, front, similarity, shingle))
+    return same, prefix_links(found, names, front, similarity, shingle)
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = 5, features: int = FEATURES, distance: int = WIDE) -> DataFrame:

@@ -136,3 +136,19 @@ def test_keep_one_finds_added_and_cut_passages(spark):
             docs += [" ".join(base), " ".join(base + [word() for _ in range(int(k * 0.2))]), " ".join(base[int(k * 0.15) :])]
     frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3)
     assert sorted(r.doc_id for r in op.keep_one(frame).collect()) == sorted(similar_classes(docs))
+
+
+@pytest.mark.parametrize("partners", [1, 8])
+def test_keep_one_of_a_crowd_of_near_copies(spark, monkeypatch, partners):
+    monkeypatch.setattr(op, "PARTNERS", partners)
+    monkeypatch.setattr(op, "GROWTH", 2 if partners == 1 else op.GROWTH)
+    rng = random.Random(11)
+    base = [rng.choice("abcdefgh") + str(rng.randrange(3000)) for _ in range(300)]
+    docs = []
+    for k in range(300):
+        copy = list(base)
+        for at in rng.sample(range(300), 1 + k % 7 + 3 * (k % 2)):
+            copy[at] = "edit" + str(rng.random())
+        docs.append(" ".join(copy))
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in op.keep_one(frame).collect()) == sorted(similar_classes(docs))
