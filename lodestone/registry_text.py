@@ -86,7 +86,7 @@ query("chat_history", "SELECT session_id, string_agg(concat(role, ': ', content)
 
 query("guest_purge", "SELECT guest_id FROM guests WHERE length(trim(canonical_name)) >= 2")(lambda v: E.purge_noise(v.having(guests=v.guests, guest_appearances=v.guest_appearances)).guests.select("guest_id"))
 query("fuzzy_pairs")(lambda v: E.fuzzy_pairs(table(v, "customer").select(F.col("c_custkey").alias("guest_id"), F.col("c_name").alias("canonical_name"), F.lit(1).alias("mention_count")).filter("guest_id % 10 = 0"), 0.97))
-query("claim_clusters")(lambda v: E.claim_clusters(v.tables["claims"].dropDuplicates(["claim_text", "topic"]), X.bag_embedder))
+query("claim_clusters")(lambda v: E.claim_clusters(v.tables["claims"], X.bag_embedder))
 query("bridge_pairs")(lambda v: E.bridge_pairs(v.videos.join(v.channels.select("channel_id", "category"), "channel_id").join(v.tables["chunk_topics"].select("video_id", "name"), "video_id").select("category", "name")))
 
 query("upsert_merge", """SELECT coalesce(a.guest_id, b.guest_id) AS guest_id, coalesce(a.canonical_name, b.canonical_name) AS canonical_name, coalesce(a.mention_count, 0) + coalesce(b.n, 0) AS mention_count

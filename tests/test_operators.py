@@ -1,6 +1,8 @@
 """Order-dependent and writing operators on small tables by hand."""
 
 import json
+import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -212,3 +214,35 @@ def test_index(spark, tmp_path):
     new = spark.createDataFrame([("v1__chunk_0002", "v1", "other words"), ("v3__chunk_0000", "v3", "neural")], chunks.schema)
     merged = new.union(chunks.join(new.select("chunk_id"), "chunk_id", "left_anti"))
     assert sorted(map(str, index.search(index.refreshed(built, new), "neural").collect())) == sorted(map(str, S.bm25(merged, "neural").collect()))
+
+
+def test_claim_clusters_of_repeated_claims(spark):
+    rng = random.Random(4)
+    rows = [(i, f"v{rng.randrange(9)}", " ".join(rng.choices("red blue green small large ring".split(), k=4)), "t" + str(i % 2)) for i in range(150)]
+    vector = {r[2]: X.bag_embedder([r[2]])[0] for r in rows}
+
+    def close(a, b):
+        x, y = vector[a], vector[b]
+        return round(sum(p * q for p, q in zip(x, y)) / (sum(p * p for p in x) * sum(q * q for q in y)) ** 0.5, 12)
+
+    want = {}
+    for i, video, text, topic in rows:
+        others = [(-close(text, r[2]), r[0]) for r in rows if r[3] == topic and r[1] != video]
+        first = [j for s, j in sorted(others)[:5] if s <= -0.85 and j in want]
+        want[i] = want[first[0]] if first else f"c{i}"
+    claims = spark.createDataFrame(rows, "claim_id long, video_id string, claim_text string, topic string")
+    assert {r.claim_id: r.cluster_id for r in E.claim_clusters(claims, X.bag_embedder).collect()} == want
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables")
+def test_claim_clusters_query_has_every_claim(spark):
+    from lodestone import registry, registry_text  # noqa: F401
+
+    sf = "/root/testdata/sf0.001"
+    assert registry.QUERIES["claim_clusters"](spark, sf).count() == claims_in(spark, sf).count()
+
+
+def claims_in(spark, sf):
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_suppkey")
+    part, supplier = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("part", "supplier"))
+    return rows.join(part, rows.l_partkey == part.p_partkey).join(supplier, rows.l_suppkey == supplier.s_suppkey)
