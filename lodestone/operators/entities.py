@@ -35,21 +35,51 @@ def similarity(a: str, b: str) -> float:
     return difflib.SequenceMatcher(None, a, b).ratio()
 
 
+def _occurrences(name: str) -> list[str]:
+    """Pairs of neighbouring characters, each with how often it stood before."""
+    seen: dict[str, int] = {}
+    out = []
+    for gram in map(str.__add__, name, name[1:]):
+        seen[gram] = seen.get(gram, 0) + 1
+        out.append(f"{gram}{seen[gram]}")
+    return out
+
+
 def fuzzy_pairs(guests: DataFrame, cutoff: float = 0.85) -> DataFrame:
     """(guest_id, other_id, ratio): guests with names alike, the more mentioned first; 'Last, First' counts as 'First Last'.
 
-    Two names with a ratio of at least the cutoff share their first or their last two letters, or a word, in
-    nearly all cases; pairs are made within those blocks only, by joins on a block's key.
+    No pair is lost: names whose lengths add up to s and that have a ratio of at least c share M >= c * s / 2 characters
+    in at most s - 2M + 1 blocks, hence at least (1.5c - 1) * s - 1 pairs of neighbouring letters (bigrams, counted as
+    often as they occur). So they share one of the first of either's bigrams, rarest first; pairs are made by joins on
+    those, names too short for the bound meet one another by an empty key, and only pairs that keep the bounds are compared.
     """
     ship(guests.sparkSession)
     flipped = F.regexp_replace("canonical_name", r"^([^,]+),\s*(.+)$", "$2 $1")
-    names = guests.select("guest_id", "mention_count", F.lower(F.trim(flipped)).alias("n"))
-    keys = F.array_distinct(F.concat(F.array(F.concat(F.lit("<"), F.substring("n", 1, 3)), F.concat(F.lit(">"), F.substring("n", -3, 3))), F.split("n", r"\s+")))
-    filed = names.select("guest_id", "mention_count", "n", F.length("n").alias("l"), F.explode(keys).alias("k"))
-    other = filed.select(F.col("guest_id").alias("other_id"), F.col("mention_count").alias("m2"), F.col("n").alias("n2"), F.col("l").alias("l2"), "k")
+    names = guests.select("guest_id", "mention_count", F.lower(F.trim(flipped)).alias("n")).filter("n is not null").withColumn("l", F.length("n"))
+
+    @F.pandas_udf("array<string>")
+    def grams(names: pd.Series) -> pd.Series:
+        return names.map(_occurrences)
+
+    named = names.withColumn("grams", grams("n"))
+    slope = 1.5 * cutoff - 1
+    least = F.ceil(F.lit(slope * 2 / (2 - cutoff)) * F.col("l") - 1 - 1e-9)
+    # up to this length a name has no bound, and its partners are at most (2 - c) / c times as long
+    tiny = (2 - cutoff) / (2 * slope) if slope > 0 else float("inf")
+    counts = named.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("count"))
+    ranked = named.select("guest_id", "mention_count", "n", F.explode("grams").alias("gram")).join(counts, "gram").groupBy("guest_id", "mention_count", "n").agg(F.array_sort(F.collect_set(F.struct("count", "gram")))["gram"].alias("ranked"))
+    empty = F.array().cast("array<string>")
+    filed = named.join(ranked, ["guest_id", "mention_count", "n"], "left")
+    first = F.when(least >= 1, F.slice(F.coalesce("ranked", empty), 1, F.greatest(F.col("l") - least, F.lit(0)).cast("int"))).otherwise(empty)
+    short = F.when(F.col("l") <= F.lit(tiny * (2 - cutoff) / cutoff + 1e-6), F.array(F.lit(""))).otherwise(empty)
+    filed = filed.select("guest_id", "mention_count", "n", "l", "grams", F.concat(short, first).alias("keys")).withColumn("k", F.explode("keys"))
+    other = filed.select(*[F.col(c).alias(o) for c, o in (("guest_id", "other_id"), ("mention_count", "m2"), ("n", "n2"), ("l", "l2"), ("grams", "grams2"), ("keys", "keys2"), ("k", "k"))])
     before = (F.col("mention_count") > F.col("m2")) | ((F.col("mention_count") == F.col("m2")) & (F.col("guest_id") < F.col("other_id")))
-    fits = 2 * F.least("l", "l2") >= cutoff * (F.col("l") + F.col("l2"))
-    pairs = filed.join(other, "k").filter(before & fits).select("guest_id", "mention_count", "n", "other_id", "n2").distinct()
+    both = F.col("l") + F.col("l2")
+    fits = 2 * F.least("l", "l2") >= cutoff * both - 1e-9
+    shared = F.size(F.array_intersect("grams", "grams2")) >= slope * both - 1 - 1e-9
+    once = F.array_intersect("keys", "keys2")[0] == F.col("k")
+    pairs = filed.join(other, "k").filter(before & fits).filter(once).filter(shared).select("guest_id", "mention_count", "n", "other_id", "n2")
 
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:

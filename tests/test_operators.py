@@ -246,3 +246,25 @@ def claims_in(spark, sf):
     rows = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_suppkey")
     part, supplier = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("part", "supplier"))
     return rows.join(part, rows.l_partkey == part.p_partkey).join(supplier, rows.l_suppkey == supplier.s_suppkey)
+
+
+@pytest.mark.parametrize("cutoff", [0.6, 0.85, 0.97])
+def test_fuzzy_pairs_loses_none(spark, cutoff):
+    rng = random.Random(6)
+    names = ["Katherine Johnsen", "Catherine Johnson", "a", "A", "ab", "abc", "ba", "", " ", "aaaaaa", "aaaaaaa", "aabaaaa"]
+    for _ in range(25):
+        name = "".join(rng.choices("abcdé ", k=rng.randrange(3, 22)))
+        names.append(name)
+        for _ in range(4):
+            letters = list(name)
+            for _ in range(rng.randrange(1, 4)):
+                at = rng.randrange(len(letters))
+                letters[at : at + rng.randrange(2)] = rng.choice(["", "x", "yz", "a"])
+            names.append("".join(letters) or "q")
+    clean = [n.strip(" ").lower() for n in names]
+    want = {(i, j) for i in range(len(names)) for j in range(i + 1, len(names)) if E.similarity(clean[i], clean[j]) >= cutoff}
+    guests = spark.createDataFrame([(i, n, 1) for i, n in enumerate(names)], "guest_id long, canonical_name string, mention_count long")
+    got = [(r.guest_id, r.other_id) for r in E.fuzzy_pairs(guests, cutoff).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    if cutoff == 0.85:
+        assert (0, 1) in want
