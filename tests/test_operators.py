@@ -268,3 +268,13 @@ def test_fuzzy_pairs_loses_none(spark, cutoff):
     assert len(got) == len(set(got)) and set(got) == want
     if cutoff == 0.85:
         assert (0, 1) in want
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables")
+def test_fuzzy_pairs_query_compares_every_customer(spark):
+    from lodestone import registry, registry_text  # noqa: F401
+
+    sf = "/root/testdata/sf0.001"
+    names = sorted((r.c_custkey, r.c_name.lower()) for r in spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey", "c_name").collect())
+    want = {(a, b) for i, (a, x) in enumerate(names) for b, y in names[i + 1 :] if E.similarity(x, y) >= 0.85}
+    assert {(r.guest_id, r.other_id) for r in registry.QUERIES["fuzzy_pairs"](spark, sf).collect()} == want
