@@ -1,6 +1,6 @@
 """Token-ID output: raw id payloads in shard files with a minimal perfect hash index.
 
-A store is a folder of shard files. A file is one or more shards, each followed by one line end
+A store is a folder of shard files. A file is a shard and one line end
 (the files go through Spark's text writer, so they land in any store that Spark writes to and
 only committed tasks count). A shard:
 
@@ -19,12 +19,14 @@ slot's fingerprint tells a stored key from a foreign one, and its document numbe
 and length. A lookup costs one expected pass over about two levels, whatever the shard's size.
 
 Documents are range-partitioned and sorted by id, so that shards follow one another in ascending
-order. Texts are encoded by the tokenizers library, each worker keeping the ids of words it has
-met; words are set apart at spaces and line ends, over which the pre-tokenizer never reaches.
+order. Texts are encoded by the tokenizers library, each worker keeping the ids of the latest words
+it has met, up to a number of bytes; words are set apart at spaces and line ends, over which the
+pre-tokenizer never reaches. Memory of a task is bounded by slices of 1 MB of text, a shard's ids
+and the longest text's ids; a long text is encoded in pieces.
 
 Defined results: a null text is empty and holds the end id alone; a null id comes first and isn't
-indexed; rows that repeat an id follow each other, and the index gives the first of them and
-their number; an empty table gives an empty store; other columns are ignored.
+indexed; rows that repeat an id follow each other, and a shard's index gives the first of them and
+their number in the shard; an empty table gives an empty store; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,9 +36,8 @@ import mmap
 import os
 import re
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,20 +46,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestone.llm import shared
 from lodestone.llm.words import U, mix
 from lodestone.ship import ship
 
 MAGIC = b"LODETOK1"
 SHARD_IDS = 4 << 20
+#: Characters after which a text that fills a slice alone is encoded in pieces, cut at spaces.
+LONG = 4 << 20
 _ENCODERS: dict[str, WordEncoder] = {}
-_TAIL = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
+_TAIL = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 class WordEncoder:
     """Ids of texts by words. For vocabularies whose pre-tokenizer drops white space and whose words end in </w>."""
 
-    #: Words that a worker remembers, and words of letters alone; beyond that it starts anew.
-    MOST, MOST_LETTERS = 800_000, 1_500_000
+    #: Bytes that a worker spends on words it has met: two generations of half that size each.
+    CACHE = 32 << 20
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -73,7 +77,8 @@ class WordEncoder:
         self.ends = np.zeros(size, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {"": b""}
-        self.letters: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.spent = 0
 
     @staticmethod
     def of(path: str) -> WordEncoder:
@@ -84,49 +89,96 @@ class WordEncoder:
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Words of letters alone are one pre-token each: many go into one text, cut after each word's end."""
+    def _known(self, word: str) -> bytes | None:
+        found = self.words.get(word)
+        if found is None:
+            found = self.older.get(word)
+            if found is not None:
+                self._keep(word, found)
+        return found
+
+    def _keep(self, word: str, ids: bytes) -> None:
+        self.words[word] = ids
+        self.spent += len(word) + len(ids) + 200  # 200: the two objects and their place in the table
+        if self.spent > self.CACHE // 2:
+            self.older, self.words, self.spent = self.words, {"": b""}, 0
+
+    def _learned(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of words of letters. Each has one pre-token at least, and each pre-token one end, so that as many ends as words cut them right."""
+        found = {}
         for k in range(0, len(pieces), 500):
             part = pieces[k : k + 500]
             ids = self._ids(" ".join(part))
             runs = np.split(ids, np.flatnonzero(self.ends[ids]) + 1)
             if len(runs) != len(part) + 1 or len(runs[-1]):
                 runs = [self._ids(x) for x in part]
-            self.letters.update(zip(part, (r.tobytes() for r in runs)))
-
-    def meet(self, words: set[str]) -> None:
-        if len(self.words) > self.MOST:
-            self.words = {"": b""}
-        if len(self.letters) > self.MOST_LETTERS:
-            self.letters = {}
-        new = [w for w in words if w not in self.words]
-        split: dict[str, tuple[str, str]] = {}
-        for word in new:
-            if word.isalpha():
-                split[word] = (word.lower() if word.isascii() else word, "")
-            elif (m := _TAIL.fullmatch(word)) and m[1].isalpha():
-                split[word] = (m[1].lower() if m[1].isascii() else m[1], m[2])
-        self._learn([a for a in {a for a, _ in split.values()} if a not in self.letters])
-        for word in new:
-            if word in split:
-                head, tail = split[word]
-                if tail and tail not in self.words:
-                    self.words[tail] = self._ids(tail).tobytes()
-                self.words[word] = self.letters[head] + (self.words[tail] if tail else b"")
+            for word, run in zip(part, runs):
+                found[word] = run.tobytes()
+                self._keep(word, found[word])
+        return found
+
+    def meet(self, words: list[str]) -> list[bytes]:
+        """Ids of each of the distinct words."""
+        out = list(map(self._known, words))
+        split: dict[int, tuple[str, str]] = {}
+        for i in [i for i, x in enumerate(out) if x is None]:
+            word = words[i]
+            m = _TAIL.fullmatch(word)
+            if m and m[1].isascii():
+                split[i] = m[1].lower(), m[2]
+            elif m and m[1].lower().isalpha():
+                split[i] = m[1], m[2]
             else:
-                self.words[word] = self._ids(word).tobytes()
+                out[i] = self._ids(word).tobytes()
+                self._keep(word, out[i])
+        heads = {head: self._known(head) for head, _ in split.values()}
+        heads |= self._learned([head for head, ids in heads.items() if ids is None])
+        for i, (head, tail) in split.items():
+            ids = heads[head]
+            if tail and np.count_nonzero(self.ends[np.frombuffer(ids, self.dtype)]) != 1:
+                ids = self._ids(words[i]).tobytes()  # normalised, the head isn't letters to its end: its last part may join the tail
+            elif tail:
+                end = self._known(tail)
+                if end is None:
+                    end = self._ids(tail).tobytes()
+                    self._keep(tail, end)
+                ids += end
+            out[i] = ids
+            if words[i] != head:
+                self._keep(words[i], ids)
+        return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        found = list(map(self.words.get, chain.from_iterable(split)))
-        if None in found:
-            every = list(chain.from_iterable(split))
-            gaps = [i for i, x in enumerate(found) if x is None]
-            self.meet({every[i] for i in gaps})
-            for i in gaps:
-                found[i] = self.words[every[i]]
-        ends = list(accumulate(map(len, split)))
-        return [b"".join(found[a:b]) for a, b in zip([0, *ends], ends)]
+    def encode(self, texts: pa.Array, end: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts back to back, each followed by `end`, and how many each has."""
+        import pyarrow.compute as pc
+
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        table = split.flatten().dictionary_encode()
+        held = self.meet(table.dictionary.to_pylist())
+        data = np.frombuffer(b"".join(held), self.dtype)
+        sizes = np.fromiter(map(len, held), np.int64, len(held)) // self.dtype.itemsize
+        word = table.indices.to_numpy(zero_copy_only=False)
+        n = sizes[word]
+        done = np.concatenate(([0], np.cumsum(n)))
+        ids = data[np.repeat((np.cumsum(sizes) - sizes)[word] - done[:-1], n) + np.arange(done[-1])]
+        edges = done[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        counts = np.diff(edges)
+        if end:
+            ids = np.insert(ids, np.repeat(edges[1:], len(end)), np.tile(np.array(end, self.dtype), len(counts)))
+        return ids, counts + len(end)
+
+
+def pieces(texts: pa.Array, most: int) -> tuple[pa.Array, np.ndarray]:
+    """The texts, longer ones cut at spaces after `most` characters each, and how many pieces each has."""
+    out, counts = [], []
+    for text in texts.to_pylist():
+        at, n = 0, 1
+        while len(text) - at > most and (cut := text.find(" ", at + most)) >= 0:
+            out.append(text[at:cut])
+            at, n = cut + 1, n + 1
+        out.append(text[at:])
+        counts.append(n)
+    return pa.array(out, pa.string()), np.array(counts, np.int64)
 
 
 class PerfectHash:
@@ -175,19 +227,19 @@ def fingerprint(keys: np.ndarray) -> np.ndarray:
     return (mix(keys ^ U(0xA5A5A5A5A5A5A5A5)) >> U(32)).astype("<u4")
 
 
-def pack_shard(partition: int, shard: int, doc_ids: list[int | None], payloads: list[bytes], dtype: np.dtype) -> bytes:
-    lengths = np.fromiter(map(len, payloads), np.int64, len(payloads)) // dtype.itemsize
+def pack_shard(partition: int, shard: int, doc_ids: pa.Array, lengths: np.ndarray, payload: np.ndarray) -> bytes:
+    """A shard of documents in the order of their ids (absent ones first): lengths of their payloads, the ids of all of them."""
     offsets = np.concatenate(([0], np.cumsum(lengths))).astype("<u8")
-    absent = np.array([d is None for d in doc_ids], bool)
-    ids = np.array([0 if d is None else d for d in doc_ids], "<i8")
+    absent = doc_ids.is_null().to_numpy(zero_copy_only=False)
+    ids = doc_ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8")
     keys, first, count = np.unique(ids[~absent], return_index=True, return_counts=True)
     keys, first = keys.view(np.uint64), first + int(absent.sum())
     table = PerfectHash.build(keys)
     slot = table.slots(keys)
     slots = np.zeros((len(keys), 3), "<u4")
     slots[slot, 0], slots[slot, 1], slots[slot, 2] = fingerprint(keys), first, count
-    sections = [np.packbits(absent).tobytes(), ids.tobytes(), offsets.tobytes(), table.bits.astype("<u8").tobytes(), slots.tobytes(), b"".join(payloads)]
-    header = json.dumps({"partition": partition, "shard": shard, "n_docs": len(doc_ids), "n_keys": len(keys), "n_ids": int(offsets[-1]), "dtype": dtype.str, "bits": table.sizes, "sections": [len(s) for s in sections]}).encode()
+    sections = [np.packbits(absent), ids, offsets, table.bits.astype("<u8"), slots, payload]
+    header = json.dumps({"partition": partition, "shard": shard, "n_docs": len(ids), "n_keys": len(keys), "n_ids": int(offsets[-1]), "dtype": payload.dtype.str, "bits": table.sizes, "sections": [x.nbytes for x in sections]}).encode()
     return b"".join([MAGIC, len(header).to_bytes(4, "little"), header, *sections])
 
 
@@ -255,45 +307,59 @@ class TokenStore:
         self.first = [int(x.doc_ids[x.absent.sum()]) for x in self.shards]
 
     def get(self, doc_id: int) -> list[np.ndarray]:
-        """Ids of each document with this id."""
-        at = bisect_right(self.first, doc_id) - 1
-        return self.shards[at].get(doc_id) if at >= 0 else []
+        """Ids of each document with this id; rows that repeat it may go on into the next shards."""
+        at, found = max(0, bisect_left(self.first, doc_id) - 1), []
+        while at < len(self.shards) and self.first[at] <= doc_id:
+            found += self.shards[at].get(doc_id)
+            at += 1
+        return found
 
 
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 1, id_column: str = "doc_id", text_column: str = "text") -> None:
-    """Encodes docs and writes a store of shards in ascending order of document ids."""
+    """Encodes docs and writes a store of shards in ascending order of document ids, one shard a file.
+
+    Rows that repeat an id follow each other in the order of their texts' hashes, over several partitions if they are many.
+    """
     ship(docs.sparkSession)
-    named = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].cast("string").alias("text"))
+    named = docs.select(docs[id_column].cast("long").alias("doc_id"), F.coalesce(docs[text_column].cast("string"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute  # noqa: F401  pa.compute is a module of its own
+
         encoder = WordEncoder.of(tokenizer)
-        end = b"" if end_id is None else np.array([end_id], encoder.dtype).tobytes()
-        partition, shard, held, ids, size = TaskContext.get().partitionId(), 0, [], [], 0
+        end = [] if end_id is None else [end_id]
+        partition, shard, size = TaskContext.get().partitionId(), 0, 0
+        held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
 
         def cut() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([pack_shard(partition, shard, ids, held, encoder.dtype)], pa.binary())], ["value"])
-
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                for doc_id, payload in zip(part["doc_id"].to_pylist(), encoder.encode(part["text"].fill_null("").to_pylist())):
-                    # rows with one id stay in one shard
-                    if size >= SHARD_IDS and doc_id != ids[-1]:
-                        yield cut()
-                        shard, held, ids, size = shard + 1, [], [], 0
-                    held.append(payload + end)
-                    ids.append(doc_id)
-                    size += len(payload) // encoder.dtype.itemsize
-        if ids:
+            ids, lengths, payload = zip(*held)
+            packed = pack_shard(partition, shard, pa.concat_arrays(ids), np.concatenate(lengths), np.concatenate(payload))
+            return pa.RecordBatch.from_arrays([pa.array([packed], pa.binary())], ["value"])
+
+        for part in shared._sliced((b.select(["doc_id", "text"]) for b in batches), 1 << 20):
+            texts = part["text"].combine_chunks()
+            if part.num_rows == 1 and len(texts[0].as_py()) > LONG:
+                short, _ = pieces(texts, LONG)
+                encoded = [encoder.encode(short.slice(k, 1), [])[0] for k in range(len(short))] + [np.array(end, encoder.dtype)]
+                ids = np.concatenate(encoded)
+                lengths = np.array([len(ids)])
+            else:
+                ids, lengths = encoder.encode(texts, end)
+            held.append((part["doc_id"].combine_chunks(), lengths, ids))
+            size += len(ids)
+            if size >= SHARD_IDS:
+                yield cut()
+                shard, held, size = shard + 1, [], 0
+        if held:
             yield cut()
 
-    ordered = named.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    ordered.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("compression", "none").text(path)
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    ordered = named.repartitionByRange(*order).sortWithinPartitions(*order)
+    ordered.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("compression", "none").option("maxRecordsPerFile", 1).text(path)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    ship(spark)
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("content")
+    return ship(spark).read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("content", "path")
 
 
 def read_store(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
@@ -307,7 +373,7 @@ def read_store(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch["content"]:
-                for shard in Shard.all(content.as_py()):
+                for shard in Shard.all(content.as_buffer()):
                     n = shard.header["n_docs"]
                     # every indexed document is reached by its key; the number within a run of equal ids is added
                     first, _ = shard.find(shard.doc_ids)
@@ -331,20 +397,48 @@ def read_store(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
 
 
 def with_starts(found: DataFrame) -> DataFrame:
-    """read_store() with start: the ids of all documents before. One row for each shard goes through one window."""
+    """read_store() with start: the ids of all documents before. Shards add up in their partition, partitions in one window of a row each."""
     sizes = found.groupBy("partition", "shard").agg(F.sum("n_tokens").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("partition", "shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return found.join(sizes.select("partition", "shard", before.alias("before")), ["partition", "shard"]).withColumn("start", F.col("before") + F.col("place"))
+    to_here = Window.rowsBetween(Window.unboundedPreceding, -1)
+    earlier = lambda w: F.coalesce(F.sum("n").over(w), F.lit(0))
+    whole = sizes.groupBy("partition").agg(F.sum("n").alias("n"))
+    whole = whole.select("partition", earlier(to_here.orderBy("partition")).alias("ahead"))
+    shards = sizes.select("partition", "shard", earlier(to_here.partitionBy("partition").orderBy("shard")).alias("before"))
+    placed = shards.join(whole, "partition").select("partition", "shard", (F.col("ahead") + F.col("before")).alias("before"))
+    return found.join(placed, ["partition", "shard"]).withColumn("start", F.col("before") + F.col("place"))
+
 
+def index_store(spark: SparkSession, path: str) -> DataFrame:
+    """(file, first, last) of each shard that has documents with ids: to be kept beside a store, so that lookup() opens few files."""
 
-def lookup(spark: SparkSession, path: str, keys: list[int]) -> DataFrame:
-    """(doc_id, ids) of the documents with one of the given ids, by the shards' indexes; no other payload is decoded."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content, file in zip(batch["content"], batch["path"].to_pylist()):
+                held = [x.doc_ids[~x.absent] for x in Shard.all(content.as_buffer()) if x.header["n_keys"]]
+                yield pa.RecordBatch.from_arrays([pa.array([file] * len(held), pa.string()), pa.array([int(x[0]) for x in held], pa.int64()), pa.array([int(x[-1]) for x in held], pa.int64())], ["file", "first", "last"])
+
+    return _files(spark, path).mapInArrow(run, "file string, first long, last long")
+
+
+def lookup(spark: SparkSession, path: str, keys: list[int], index: DataFrame | None = None) -> DataFrame:
+    """(doc_id, ids) of the documents with one of the given ids, by the shards' indexes; no other payload is decoded.
+
+    With an index_store(), only the files whose range of ids holds a key are opened: a few for each key.
+    """
     wanted = np.array(sorted(set(keys)), np.int64)
+    if index is not None:
+        asked = spark.createDataFrame([(int(k),) for k in wanted], "key long")
+        files = [r.file for r in index.join(F.broadcast(asked), F.col("key").between(F.col("first"), F.col("last"))).select("file").distinct().collect()]
+        if not files:
+            return spark.createDataFrame([], "doc_id long, ids array<long>")
+        store = ship(spark).read.format("binaryFile").load(files)
+    else:
+        store = _files(spark, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch["content"]:
-                for shard in Shard.all(content.as_py()):
+                for shard in Shard.all(content.as_buffer()):
                     own = wanted
                     if shard.header["n_keys"]:
                         present = shard.doc_ids[~shard.absent]
@@ -352,4 +446,4 @@ def lookup(spark: SparkSession, path: str, keys: list[int]) -> DataFrame:
                     rows = [(int(k), t.tolist()) for k in own for t in shard.get(int(k))]
                     yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([t for _, t in rows], pa.list_(pa.int64()))], ["doc_id", "ids"])
 
-    return _files(spark, path).mapInArrow(run, "doc_id long, ids array<long>")
+    return store.mapInArrow(run, "doc_id long, ids array<long>")

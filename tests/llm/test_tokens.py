@@ -46,6 +46,9 @@ def test_store(spark, tmp_path, size, monkeypatch):
         assert r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
         start += r.n_tokens
     keys = [rows[5][0], rows[7][0], 10_000]
+    index = op.index_store(spark, path)
+    assert sorted(r.doc_id for r in op.lookup(spark, path, keys, index).collect()) == sorted([keys[0]] * 3 + [keys[1]])
+    assert op.lookup(spark, path, [10_000], index).count() == 0
     found = op.lookup(spark, path, keys).collect()
     assert sorted(r.doc_id for r in found) == sorted([keys[0]] * 3 + [keys[1]])
     store = op.TokenStore(path)
@@ -55,6 +58,59 @@ def test_store(spark, tmp_path, size, monkeypatch):
     assert [r.ids for r in found if r.doc_id == keys[1]] == [[*own.encode(rows[7][1], add_special_tokens=False).ids, 1]]
 
 
+def test_words():
+    """Ids of random texts against the library, with letters that normalisation turns into letters and marks, and small caches."""
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    own.no_truncation(), own.no_padding()
+    rng = random.Random(3)
+    bits = [*"aBcdeİıßŞǅéñÇ漢字かΣσςﬁ²½٣", "\u0307", "\u0301", "e\u0301", "'s", "'LL", "'", ".", "!!", "&", "_", "<|endoftext|>", "<|", "|>", "7", "12", "\u00a0", "\t", "\u2003", "\x00", "😀", "\u200d", "-", ",", "?"]
+    texts = ["BELEDİYESİ.", "İ.", "İ!! İ", "aİ_b", "k\u0301. ", " lead", "trail ", "a  b", "\n\n"]
+    texts += ["".join(rng.choices(bits, k=rng.randrange(1, 9))) for _ in range(20_000)]
+    texts += [" ".join("".join(rng.choices(bits, k=rng.randrange(1, 5))) for _ in range(rng.randrange(30))) for _ in range(3000)]
+    for cache in (op.WordEncoder.CACHE, 20_000):
+        encoder = op.WordEncoder(P.path("word_bpe_49k.json"))
+        encoder.CACHE = cache
+        for at in range(0, len(texts), 5000):
+            part = texts[at : at + 5000]
+            ids, counts = encoder.encode(pa.array(part, pa.string()), [1])
+            for text, run in zip(part, np.split(ids, np.cumsum(counts)[:-1])):
+                assert run.tolist() == [*own.encode(text, add_special_tokens=False).ids, 1], text
+    cut, counts = op.pieces(pa.array(["aa bb cc dd", "", "x" * 9, "x " * 9], pa.string()), 3)
+    assert cut.to_pylist() == ["aa bb", "cc dd", "", "x" * 9, "x x", "x x", "x x", "x x", "x "] and counts.tolist() == [2, 1, 1, 5]
+
+
+def test_long_text(spark, tmp_path, monkeypatch):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    own.no_truncation(), own.no_padding()
+    monkeypatch.setattr(op, "LONG", 1000)
+    text = "Hello world, it's number 12.\n" * 60_000
+    path = str(tmp_path / "store")
+    op.write_store(spark.createDataFrame([(2, text), (1, "a")], "doc_id long, text string"), path, P.path("word_bpe_49k.json"))
+    store = op.TokenStore(path)
+    assert store.get(2)[0].tolist() == [*own.encode(text, add_special_tokens=False).ids, 1]
+
+
+def test_hot_id(spark, tmp_path, monkeypatch):
+    """Rows of one id over several shards and partitions."""
+    monkeypatch.setattr(op, "SHARD_IDS", 30)
+    rows = [(7, f"text number {i}") for i in range(200)] + [(i, "other") for i in range(5)] + [(9, "z")]
+    path = str(tmp_path / "store")
+    op.write_store(spark.createDataFrame(rows, "doc_id long, text string"), path, P.path("word_bpe_49k.json"))
+    found = op.with_starts(op.read_store(spark, path)).orderBy("start").collect()
+    assert [r.doc_id for r in found] == sorted(r[0] for r in rows)
+    assert [r.start for r in found] == [sum(x.n_tokens for x in found[:i]) for i in range(len(found))]
+    store = op.TokenStore(path)
+    assert len(store.get(7)) == 200 and len(store.get(9)) == 1 and store.get(8) == []
+    assert op.lookup(spark, path, [7], op.index_store(spark, path)).count() == 200
+
+
 def test_empty(spark, tmp_path):
     path = str(tmp_path / "store")
     op.write_store(spark.createDataFrame([], "doc_id long, text string"), path, P.path("word_bpe_49k.json"))
