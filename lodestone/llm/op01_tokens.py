@@ -19,8 +19,9 @@ slot's fingerprint tells a stored key from a foreign one, and its document numbe
 and length. A lookup costs one expected pass over about two levels, whatever the shard's size.
 
 Documents are range-partitioned and sorted by id, so that shards follow one another in ascending
-order. Texts are encoded by the tokenizers library, each worker keeping the ids of the latest words
-it has met, up to a number of bytes; words are set apart at spaces and line ends, over which the
+order. Texts are encoded by the tokenizers library, each worker keeping ids of parts of words it has
+met in a table of fixed size, by 64-bit hashes (of n parts in the table, a new one is taken for
+another with a chance of n / 2**64); words are set apart at ASCII white space, over which the
 pre-tokenizer never reaches. Memory of a task is bounded by slices of 1 MB of text, a shard's ids
 and the longest text's ids; a long text is encoded in pieces.
 
@@ -34,7 +35,6 @@ from __future__ import annotations
 import json
 import mmap
 import os
-import re
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -47,22 +47,28 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.llm import shared
-from lodestone.llm.words import U, mix
+from lodestone.llm.words import LOWER, U, Words, mix, range_hashes
 from lodestone.ship import ship
 
 MAGIC = b"LODETOK1"
 SHARD_IDS = 4 << 20
-#: Characters after which a text that fills a slice alone is encoded in pieces, cut at spaces.
-LONG = 4 << 20
+#: Bytes after which a text that fills a slice alone is encoded in pieces, cut at spaces.
+LONG = 2 << 20
 _ENCODERS: dict[str, WordEncoder] = {}
-_TAIL = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
+#: By byte: letters, for all but ASCII taken to be such until the unit is met; punctuation of ASCII but the apostrophe.
+_LETTERS = np.array([chr(i).isalpha() or i > 0x7F for i in range(256)])
+_MARKS = np.array([chr(i) in "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~" for i in range(256)])
 
 
 class WordEncoder:
-    """Ids of texts by words. For vocabularies whose pre-tokenizer drops white space and whose words end in </w>."""
+    """Ids of texts by units. For vocabularies whose pre-tokenizer drops white space and whose words end in </w>.
 
-    #: Bytes that a worker spends on words it has met: two generations of half that size each.
-    CACHE = 32 << 20
+    A word of letters and then punctuation is two units, the letters (A-Z in lower case) and the punctuation; any other
+    word is one. Units met before are looked up by 64-bit hashes in a table of fixed size, whose ids are kept up to a bound.
+    """
+
+    #: Places of the table, 15 bytes each; ids kept, after which the table starts anew.
+    SLOTS, KEPT = 1 << 20, 6 << 20
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -76,9 +82,14 @@ class WordEncoder:
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.ends = np.zeros(size, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.words: dict[str, bytes] = {"": b""}
-        self.older: dict[str, bytes] = {}
-        self.spent = 0
+        self._anew()
+
+    def _anew(self) -> None:
+        self.keys = np.zeros(self.SLOTS, np.uint64)
+        self.at = np.zeros(self.SLOTS, np.uint32)
+        self.size = np.zeros(self.SLOTS, np.uint16)
+        self.open = np.zeros(self.SLOTS, bool)
+        self.ids, self.used = np.zeros(1 << 16, self.dtype), 0
 
     @staticmethod
     def of(path: str) -> WordEncoder:
@@ -86,99 +97,105 @@ class WordEncoder:
             _ENCODERS[path] = WordEncoder(path)
         return _ENCODERS[path]
 
-    def _ids(self, text: str) -> np.ndarray:
+    def _encoded(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
 
-    def _known(self, word: str) -> bytes | None:
-        found = self.words.get(word)
-        if found is None:
-            found = self.older.get(word)
-            if found is not None:
-                self._keep(word, found)
-        return found
-
-    def _keep(self, word: str, ids: bytes) -> None:
-        self.words[word] = ids
-        self.spent += len(word) + len(ids) + 200  # 200: the two objects and their place in the table
-        if self.spent > self.CACHE // 2:
-            self.older, self.words, self.spent = self.words, {"": b""}, 0
-
-    def _learned(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of words of letters. Each has one pre-token at least, and each pre-token one end, so that as many ends as words cut them right."""
-        found = {}
-        for k in range(0, len(pieces), 500):
-            part = pieces[k : k + 500]
-            ids = self._ids(" ".join(part))
-            runs = np.split(ids, np.flatnonzero(self.ends[ids]) + 1)
-            if len(runs) != len(part) + 1 or len(runs[-1]):
-                runs = [self._ids(x) for x in part]
-            for word, run in zip(part, runs):
-                found[word] = run.tobytes()
-                self._keep(word, found[word])
-        return found
-
-    def meet(self, words: list[str]) -> list[bytes]:
-        """Ids of each of the distinct words."""
-        out = list(map(self._known, words))
-        split: dict[int, tuple[str, str]] = {}
-        for i in [i for i, x in enumerate(out) if x is None]:
-            word = words[i]
-            m = _TAIL.fullmatch(word)
-            if m and m[1].isascii():
-                split[i] = m[1].lower(), m[2]
-            elif m and m[1].lower().isalpha():
-                split[i] = m[1], m[2]
+    def _learned(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the ids of each unit begin, how many they are, and whether punctuation after it may join its last part.
+
+        Units of letters go many into one text: each has one pre-token at least and each pre-token one end, so that as
+        many ends as units cut them right. A unit that isn't one run of letters once normalised is open at its end.
+        """
+        begins, sizes, open_ = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64), np.ones(len(units), bool)
+
+        def alone(i: int) -> None:
+            ids = self._encoded(units[i])
+            begins[i], sizes[i] = self._append(ids), len(ids)
+            open_[i] = not units[i].isalpha() or np.count_nonzero(self.ends[ids]) != 1
+
+        plain = [i for i, x in enumerate(units) if x.isalpha() and (x.isascii() or x.lower().isalpha())]
+        for k in range(0, len(plain), 500):
+            part = plain[k : k + 500]
+            ids = self._encoded(" ".join([units[i] for i in part]))
+            cuts = np.concatenate(([0], np.flatnonzero(self.ends[ids]) + 1))
+            if len(cuts) == len(part) + 1 and cuts[-1] == len(ids):
+                begins[part], sizes[part], open_[part] = self._append(ids) + cuts[:-1], np.diff(cuts), False
             else:
-                out[i] = self._ids(word).tobytes()
-                self._keep(word, out[i])
-        heads = {head: self._known(head) for head, _ in split.values()}
-        heads |= self._learned([head for head, ids in heads.items() if ids is None])
-        for i, (head, tail) in split.items():
-            ids = heads[head]
-            if tail and np.count_nonzero(self.ends[np.frombuffer(ids, self.dtype)]) != 1:
-                ids = self._ids(words[i]).tobytes()  # normalised, the head isn't letters to its end: its last part may join the tail
-            elif tail:
-                end = self._known(tail)
-                if end is None:
-                    end = self._ids(tail).tobytes()
-                    self._keep(tail, end)
-                ids += end
-            out[i] = ids
-            if words[i] != head:
-                self._keep(words[i], ids)
-        return out
-
-    def encode(self, texts: pa.Array, end: list[int]) -> tuple[np.ndarray, np.ndarray]:
+                for i in part:
+                    alone(i)
+        own = set(plain)
+        for i in range(len(units)):
+            if i not in own:
+                alone(i)
+        return begins, sizes, open_
+
+    def _append(self, ids: np.ndarray) -> int:
+        """Puts ids into the store; where they begin."""
+        begin = self.used
+        if begin + len(ids) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros(max(len(ids), len(self.ids)), self.dtype)))
+        self.ids[begin : begin + len(ids)] = ids
+        self.used += len(ids)
+        return begin
+
+    def encode(self, texts: list[bytes], end: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts back to back, each followed by `end`, and how many each has."""
-        import pyarrow.compute as pc
-
-        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
-        table = split.flatten().dictionary_encode()
-        held = self.meet(table.dictionary.to_pylist())
-        data = np.frombuffer(b"".join(held), self.dtype)
-        sizes = np.fromiter(map(len, held), np.int64, len(held)) // self.dtype.itemsize
-        word = table.indices.to_numpy(zero_copy_only=False)
-        n = sizes[word]
-        done = np.concatenate(([0], np.cumsum(n)))
-        ids = data[np.repeat((np.cumsum(sizes) - sizes)[word] - done[:-1], n) + np.arange(done[-1])]
-        edges = done[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        if self.used > self.KEPT:
+            self._anew()
+        words = Words(texts)
+        n, data = len(words.starts), words.data
+        # heads: the letters that a word begins with; a word is split there if only punctuation follows
+        stops = np.append(np.flatnonzero(~_LETTERS[data]), len(data))
+        head = np.minimum(stops[np.searchsorted(stops, words.starts)], words.ends) if n else words.starts
+        marks = np.concatenate(([0], np.cumsum(_MARKS[data], dtype=np.int32)))
+        split = (head > words.starts) & (marks[words.ends] - marks[head] == words.ends - head)
+        head = np.where(split, head, words.ends)
+        lower = np.zeros(len(data) + 1, bool)
+        lower[: n and words.ends[-1] + 1] = np.repeat(split, words.ends - words.starts + 1)
+        data = np.where(lower[:-1], LOWER[data], data)
+        tailed = np.flatnonzero(head < words.ends)
+        starts, ends = np.concatenate((words.starts, head[tailed])), np.concatenate((head, words.ends[tailed]))
+        keys = range_hashes(data, starts, ends)
+        slot = (keys >> U(64 - self.SLOTS.bit_length() + 1)).astype(np.int64)
+        at, size, open_ = self.at[slot].astype(np.int64), self.size[slot].astype(np.int64), self.open[slot]
+        missing = np.flatnonzero(self.keys[slot] != keys)
+        if len(missing):
+            new, first, inverse = np.unique(keys[missing], return_index=True, return_inverse=True)
+            raw, some = data.tobytes(), missing[first]
+            begins, sizes, flags = self._learned([raw[a:b].decode() for a, b in zip(starts[some].tolist(), ends[some].tolist())])
+            at[missing], size[missing], open_[missing] = begins[inverse], sizes[inverse], flags[inverse]
+            keep = sizes < 1 << 16
+            place = slot[some][keep]
+            self.keys[place], self.at[place], self.size[place], self.open[place] = new[keep], begins[keep], sizes[keep], flags[keep]
+        joined = tailed[open_[tailed]]
+        if len(joined):  # the whole word in place of its first unit
+            raw = data.tobytes()
+            for i in joined.tolist():
+                whole = self._encoded(raw[words.starts[i] : words.ends[i]].decode())
+                at[i], size[i] = self._append(whole), len(whole)
+            size[n + np.flatnonzero(open_[tailed])] = 0
+        # units in the order of the text
+        place = np.arange(n)
+        place[1:] += np.cumsum(head < words.ends)[:-1]
+        order = np.empty(len(starts), np.int64)
+        order[place], order[place[tailed] + 1] = np.arange(n), n + np.arange(len(tailed))
+        at, size = at[order], size[order]
+        done = np.concatenate(([0], np.cumsum(size)))
+        ids = self.ids[np.repeat(at - done[:-1], size) + np.arange(done[-1])]
+        edges = done[np.append(place, len(order))[words.first]]
         counts = np.diff(edges)
         if end:
             ids = np.insert(ids, np.repeat(edges[1:], len(end)), np.tile(np.array(end, self.dtype), len(counts)))
         return ids, counts + len(end)
 
 
-def pieces(texts: pa.Array, most: int) -> tuple[pa.Array, np.ndarray]:
-    """The texts, longer ones cut at spaces after `most` characters each, and how many pieces each has."""
-    out, counts = [], []
-    for text in texts.to_pylist():
-        at, n = 0, 1
-        while len(text) - at > most and (cut := text.find(" ", at + most)) >= 0:
-            out.append(text[at:cut])
-            at, n = cut + 1, n + 1
-        out.append(text[at:])
-        counts.append(n)
-    return pa.array(out, pa.string()), np.array(counts, np.int64)
+def pieces(text: bytes, most: int) -> Iterator[bytes]:
+    """A long text cut at spaces after `most` bytes each."""
+    at = 0
+    while len(text) - at > most and (cut := text.find(b" ", at + most)) >= 0:
+        yield text[at:cut]
+        at = cut + 1
+    yield text[at:]
 
 
 class PerfectHash:
@@ -337,11 +354,10 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int | None =
             return pa.RecordBatch.from_arrays([pa.array([packed], pa.binary())], ["value"])
 
         for part in shared._sliced((b.select(["doc_id", "text"]) for b in batches), 1 << 20):
-            texts = part["text"].combine_chunks()
-            if part.num_rows == 1 and len(texts[0].as_py()) > LONG:
-                short, _ = pieces(texts, LONG)
-                encoded = [encoder.encode(short.slice(k, 1), [])[0] for k in range(len(short))] + [np.array(end, encoder.dtype)]
-                ids = np.concatenate(encoded)
+            texts = part["text"].cast(pa.binary()).to_pylist()
+            if len(texts) == 1 and len(texts[0]) > LONG:
+                encoded = [encoder.encode([x], [])[0] for x in pieces(texts[0], LONG)]
+                ids = np.concatenate([*encoded, np.array(end, encoder.dtype)])
                 lengths = np.array([len(ids)])
             else:
                 ids, lengths = encoder.encode(texts, end)

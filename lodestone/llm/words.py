@@ -9,8 +9,8 @@ import numpy as np
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[0x41:0x5B] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += 32
 _BYTES = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE, STEP = 0x9E3779B97F4A7C15 | 5, 0xD1342543DE82EF95
 U = np.uint64
@@ -53,7 +53,7 @@ class Words:
         keep = ~space
         keep[ends[ends < len(raw)]] = True
         at = np.cumsum(keep) - 1
-        self.data = np.where(space, np.uint8(0x20), _LOWER[raw] if lower else raw)[keep]
+        self.data = np.where(space, np.uint8(0x20), LOWER[raw] if lower else raw)[keep]
         self.starts = at[starts] if len(starts) else starts
         self.ends = at[ends - 1] + 1 if len(ends) else ends
         #: words of text i are first[i] to first[i + 1]
@@ -62,9 +62,14 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A polynomial hash of each word, from prefix sums."""
-        power, inverse = powers(BASE, len(self.data) + 1)
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTES[self.data] * power[: len(self.data)], dtype=np.uint64)))
-        return mix((sums[self.ends] - sums[self.starts]) * inverse[self.starts])
+        return range_hashes(self.data, self.starts, self.ends)
+
+
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A polynomial hash of each byte range, from prefix sums."""
+    power, inverse = powers(BASE, len(data) + 1)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTES[data] * power[: len(data)], dtype=np.uint64)))
+    return mix((sums[ends] - sums[starts]) * inverse[starts])
 
 
 def windows(values: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
