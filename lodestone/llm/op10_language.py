@@ -11,8 +11,9 @@ share of 2**-bits over all languages.
 Bytes of ASCII letters count in lower case, bytes from 0x80 on as they are, runs of others as
 one space; a context does not reach over the start of a text.
 
-Learning: a sample of documents of each language, bounded in expectation by `sample` documents
-per language (documented parameter), whole texts. All documents are then scored in full.
+Learning: a sample of documents of each language, whole texts, bounded in expectation by `sample`
+bytes per language (documented parameter). The model's size is bounded by that and the number of
+languages; it is built on the driver and broadcast. All documents are then scored in full.
 
 Defined results: null text, or a text without a letter: `und` with score 0; if nothing was
 learned all are `und`; ties go to the first language by name; repeated rows are scored alike;
@@ -28,12 +29,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.llm import shared
 from lodestone.llm.words import U, mix
 from lodestone.ship import ship
 
-ORDER, SAMPLE = 5, 1500
+ORDER, SAMPLE = 5, 5_000_000
 UNKNOWN = "und"
 _MAP = np.full(256, 0x20, np.uint8)
 _MAP[0x61:0x7B] = np.arange(0x61, 0x7B)
@@ -80,7 +82,8 @@ def coded(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     """Frozen counts of all languages and the cost of each group of bytes met so far."""
 
-    SLOTS = 1 << 21
+    #: Places of the table of costs, 8 bytes each and 4 for each language.
+    SLOTS = 1 << 19
 
     def __init__(self, languages: list[str], order: int, tables: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]):
         self.languages, self.order, self.tables = languages, order, tables
@@ -131,14 +134,14 @@ class Model:
         if self.slots is None:
             self.slots = np.full(self.SLOTS, np.iinfo(np.uint64).max, np.uint64)
             self.costs = np.zeros((self.SLOTS, len(self.languages)), np.float32)
-        slot = ((keys * U(0x9E3779B97F4A7C15)) >> U(43)).astype(np.int64)
+        slot = ((keys * U(0x9E3779B97F4A7C15)) >> U(45)).astype(np.int64)
         missing = np.flatnonzero(self.slots[slot] != keys)
         if len(missing):
             new, inverse = np.unique(keys[missing], return_inverse=True)
             fresh = self.bits(new).astype(np.float32)
             out = self.costs[slot]
             out[missing] = fresh[inverse]
-            place = ((new * U(0x9E3779B97F4A7C15)) >> U(43)).astype(np.int64)
+            place = ((new * U(0x9E3779B97F4A7C15)) >> U(45)).astype(np.int64)
             self.slots[place], self.costs[place] = new, fresh
             # of two groups for one slot the last one written holds it; both arrays are written in one order
             return out
@@ -170,7 +173,7 @@ def learn(docs: DataFrame, order: int = ORDER, sample: int = SAMPLE, id_column:
     ship(docs.sparkSession)
     own = docs.select(docs[id_column].alias("doc_id"), docs[text_column].cast("string").alias("text"), docs[lang_column].cast("string").alias("lang"))
     own = own.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
-    counts = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: max(1, r["n"] or 0) for r in own.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
     if not counts:
         return None
     span = 1 << 30
@@ -193,9 +196,15 @@ def learn(docs: DataFrame, order: int = ORDER, sample: int = SAMPLE, id_column:
 
 
 def predict(docs: DataFrame, model: Model | None, id_column: str = "doc_id", text_column: str = "text", carry: bool = False) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) of each row; with carry, the columns of docs, then lang_pred and score."""
-    kept = docs.columns if carry else []
-    named = docs.select(*[docs[c] for c in kept], docs[id_column].alias("__id"), docs[text_column].cast("string").alias("__text"))
+    """(doc_id, held_out, lang_pred, score) of each row; with carry, the columns of docs, then lang_pred and score.
+
+    Columns of docs may have these names too: they are told apart by their places.
+    """
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    flat = docs.toDF(*names)
+    id_at, text_at = names[docs.columns.index(id_column)], names[docs.columns.index(text_column)]
+    kept = names if carry else []
+    named = flat.select(*kept, flat[id_at].alias("__id"), flat[text_at].cast("string").alias("__text"))
     sent = ship(docs.sparkSession).sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,8 +224,8 @@ def predict(docs: DataFrame, model: Model | None, id_column: str = "doc_id", tex
             columns = [batch[c] for c in kept] or [batch["__id"]]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(scores)], [*(kept or ["__id"]), "__lang", "__score"])
 
-    fields = ", ".join(f"`{c}` {named.schema[c].dataType.simpleString()}" for c in (kept or ["__id"]))
-    found = named.mapInArrow(run, f"{fields}, __lang string, __score double")
+    fields = [T.StructField(c, named.schema[c].dataType) for c in (kept or ["__id"])]
+    found = named.mapInArrow(run, T.StructType([*fields, T.StructField("__lang", T.StringType()), T.StructField("__score", T.DoubleType())]))
     if carry:
-        return found.withColumnsRenamed({"__lang": "lang_pred", "__score": "score"})
+        return found.toDF(*docs.columns, "lang_pred", "score")
     return found.select(F.col("__id").alias("doc_id"), held_out(F.col("__id")).alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))

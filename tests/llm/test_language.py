@@ -40,7 +40,7 @@ def direct_bits(trained, text, order):
 
 def test_costs_equal_direct_computation(spark):
     rows = [(i, t, l) for i, (t, l) in enumerate([("the cat and the hat", "en"), ("le chat est là", "fr"), ("the dog", "en"), ("la maison", "fr")] * 6)]
-    model = op.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 3, 10_000)
+    model = op.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 3)
     held = {r.doc_id for r in spark.range(len(rows)).filter(op.held_out(F.col("id"))).select(F.col("id").alias("doc_id")).collect()}
     for text in ("the hat", "là est", "zz", "a", "chat the"):
         got = model.lengths([b"xx", text.encode(), b""])[1]

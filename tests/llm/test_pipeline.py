@@ -71,3 +71,23 @@ def test_sql(spark, name):
     from compare import connection, same
 
     same(QUERIES[name](spark, SF), connection(SF), SQL[name])
+
+
+def test_stages_odd_tables(spark, tmp_path):
+    """Clashing names of other columns, null ids and texts, repeated rows, and empty tables go through every stage."""
+    sf_dir = str(tmp_path)
+    spark.createDataFrame([(7, " ".join(f"bench{i}" for i in range(20)))], "item_id long, text string").write.parquet(f"{sf_dir}/benchmark.parquet")
+    schema = "doc_id long, text string, lang string, SCORE double, lang_pred string, n_lines int, n_removed int, __id int, `row` string, `a.b` int, fingerprint string, rid long, block int, n_chars int"
+    own = (1.5, "x", 3, 4, 5, "r", 6, "f", 8, 9, 10)
+    english = "the house of the river and the garden of the king with a long road to the sea"
+    rows = [(i, f"{english} number {i}\nand some line {i * 7}", "en", *own) for i in range(30)]
+    rows += [(3, rows[3][1], "en", *own), (None, "no id at all but the words of the house", "en", *own), (None, None, None, *own), (50, "", "en", *own), (51, None, None, *own)]
+    frame = spark.createDataFrame(rows, schema)
+    for docs in (frame, frame.limit(0)):
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, sf_dir)
+            if k < len(corpus_pipeline.STAGES) - 1:
+                assert out.columns == docs.columns, name
+                assert all(tuple(r)[3:-1] == own[:-1] for r in out.collect())
+            else:
+                assert out.count() <= docs.count()

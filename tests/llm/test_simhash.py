@@ -152,3 +152,14 @@ def test_keep_one_of_a_crowd_of_near_copies(spark, monkeypatch, partners):
         docs.append(" ".join(copy))
     frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
     assert sorted(r.doc_id for r in op.keep_one(frame).collect()) == sorted(similar_classes(docs))
+
+
+def test_equal_prints_lose_no_pair(spark):
+    """Of three texts with one SimHash, two are similar: the third, whichever comes first, doesn't hide it."""
+    a = "x " * 1000 + " ".join(f"tail{i}" for i in range(30))
+    b = "x " * 1000 + " ".join(f"end{i}" for i in range(30))
+    c = b[: b.rindex(" ")] + " changed"
+    rows = [(1, a), (2, b), (3, c)]
+    sets = [set(x.tolist()) for x in op.shingle_sets([t.encode() for _, t in rows], 5)]
+    assert len(sets[1] & sets[2]) >= 0.8 * len(sets[1] | sets[2]) and len(sets[0] & sets[1]) < 0.8 * len(sets[0] | sets[1])
+    assert sorted(r.doc_id for r in op.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == [1, 2]
