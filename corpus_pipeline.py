@@ -16,29 +16,37 @@ from lodestone.llm.queries import table, tokenizer
 LEAST_SCORE = 0.5
 
 
+def placed(docs: DataFrame) -> DataFrame:
+    """docs with its columns but doc_id and text named by their places, so that nothing an operator adds can clash."""
+    return docs.toDF(*[c if c in ("doc_id", "text") else f"c{i}" for i, c in enumerate(docs.columns)])
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter and those whose language stays open."""
-    found = op10_language.predict(docs, op10_language.learn(docs), carry=True)
-    return found.filter((F.col("lang_pred") != op10_language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    flat = placed(docs)
+    found = op10_language.predict(flat, op10_language.learn(docs), carry=True)
+    return found.filter((F.col("lang_pred") != op10_language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*flat.columns).toDF(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Deletes later repeated runs of lines; a document that loses all its lines goes."""
-    found = op03_lines.dedup_lines(docs)
+    flat = placed(docs)
+    found = op03_lines.dedup_lines(flat)
     left = found.filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
     if "n_chars" in docs.columns:
-        left = left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return left.select(*docs.columns)
+        n_chars = flat.columns[docs.columns.index("n_chars")]
+        left = left.withColumn(n_chars, F.when(F.col("n_removed") > 0, F.length("text").cast(flat.schema[n_chars].dataType)).otherwise(F.col(n_chars)))
+    return left.select(*flat.columns).toDF(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least id of each group whose five-word shingles have a similarity of 0.8 or more."""
-    return op05_simhash.keep_one(docs, similarity=0.8, shingle=5)
+    return op05_simhash.keep_one(placed(docs), similarity=0.8, shingle=5).toDF(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a window of the benchmark."""
-    return op07_decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"), size=10)
+    return op07_decontaminate.clean_documents(placed(docs), table(spark, sf_dir, "benchmark"), size=10).toDF(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
