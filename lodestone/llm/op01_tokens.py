@@ -155,7 +155,7 @@ class WordEncoder:
         data = np.where(lower[:-1], LOWER[data], data)
         tailed = np.flatnonzero(head < words.ends)
         starts, ends = np.concatenate((words.starts, head[tailed])), np.concatenate((head, words.ends[tailed]))
-        keys = range_hashes(data, starts, ends)
+        keys = np.concatenate((range_hashes(data, words.starts, head), range_hashes(data, head[tailed], words.ends[tailed])))
         slot = (keys >> U(64 - self.SLOTS.bit_length() + 1)).astype(np.int64)
         at, size, open_ = self.at[slot].astype(np.int64), self.size[slot].astype(np.int64), self.open[slot]
         missing = np.flatnonzero(self.keys[slot] != keys)

@@ -359,12 +359,12 @@ def shingled(docs: DataFrame, shingle: int) -> DataFrame:
     """(doc_id, set, size, bits) of each row: the hashes of its shingles, their number and parity bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                sets = shingle_sets(part["text"].cast(pa.binary()).to_pylist(), shingle)
-                columns = [part["doc_id"], pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())), pa.array([len(x) for x in sets], pa.int32()), pa.array([parity(x) for x in sets], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "set", "size", "bits"])
+        import pyarrow.compute  # noqa: F401  pa.compute is a module of its own
+
+        for part in shared._sliced(batches, 1 << 20):
+            sets = shingle_sets(part["text"].cast(pa.binary()).to_pylist(), shingle)
+            columns = [part["doc_id"].combine_chunks(), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())), pa.array([len(x) for x in sets], pa.int32()), pa.array([parity(x) for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "set", "size", "bits"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, set array<long>, size int, bits binary")
@@ -420,19 +420,33 @@ def prefix_links(found: DataFrame, names: DataFrame, front: DataFrame, similarit
     common, rank = common_shingles(found, names, shingle)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, 5000):
-                part = whole.slice(start, 5000)
-                ids, first = np.unique(part["node"].to_numpy(zero_copy_only=False), return_index=True)
-                texts = part["text"].cast(pa.binary()).take(pa.array(first)).to_pylist()
-                held = [prefix(x, similarity, common, rank) for at in range(0, len(texts), 500) for x in shingle_sets(texts[at : at + 500], shingle)]
-                keys, nodes = np.concatenate(held), np.repeat(ids, [len(x) for x in held])
-                bucket = (mix(keys) % U(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                out = [(k, order[a:b]) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
-                packed = [shared.join_parts(keys[r].tobytes(), nodes[r].tobytes()) for _, r in out]
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array(packed, pa.binary())], ["bucket", "message"])
+        import pyarrow.compute  # noqa: F401  pa.compute is a module of its own
+
+        def kept() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for part in shared._sliced(batches, 1 << 20):
+                ids, first = np.unique(part["node"].to_numpy(), return_index=True)
+                texts = part["text"].combine_chunks().cast(pa.binary()).take(pa.array(first)).to_pylist()
+                held = [prefix(x, similarity, common, rank) for x in shingle_sets(texts, shingle)]
+                yield np.concatenate(held), np.repeat(ids, [len(x) for x in held])
+
+        def joined() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            rows, n = [], 0
+            for keys, nodes in kept():
+                rows.append((keys, nodes))
+                n += len(keys)
+                if n >= 1 << 20:
+                    yield np.concatenate([k for k, _ in rows]), np.concatenate([v for _, v in rows])
+                    rows, n = [], 0
+            if rows:
+                yield np.concatenate([k for k, _ in rows]), np.concatenate([v for _, v in rows])
+
+        for keys, nodes in joined():
+            bucket = (mix(keys) % U(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            out = [(k, order[a:b]) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+            packed = [shared.join_parts(keys[r].tobytes(), nodes[r].tobytes()) for _, r in out]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array(packed, pa.binary())], ["bucket", "message"])
 
     def meet(table: pa.Table) -> pa.Table:
         parts = [shared.split_parts(m) for m in table["message"].to_pylist()]

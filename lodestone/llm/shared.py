@@ -26,6 +26,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.ship import ship
 
+if TaskContext.get() is not None:
+    # In a worker: Arrow's own pool keeps freed memory for as long as the worker lives, the system's gives it back.
+    pa.set_memory_pool(pa.system_memory_pool())
+
 BLOCK_BYTES = 6 << 20
 ENVELOPE = "bucket int, block long, message binary"
 REPLY = "block long, bucket int, reply binary"

@@ -14,6 +14,8 @@ LOWER[0x41:0x5B] += 32
 _BYTES = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE, STEP = 0x9E3779B97F4A7C15 | 5, 0xD1342543DE82EF95
 U = np.uint64
+#: Bytes that are hashed at a time.
+CHUNK = 1 << 20
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -26,16 +28,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i below n."""
+    """base**i and base**-i modulo 2**64 for i below n. Tables of up to CHUNK places are kept."""
     found = _POWERS.get(base)
     if found is None or len(found[0]) < n:
-        size = max(n, 1 << 16)
         pair = []
         for b in (base, pow(base, -1, 1 << 64)):
-            steps = np.full(size, U(b))
+            steps = np.full(max(n, 1 << 16), U(b))
             steps[0] = 1
             pair.append(np.cumprod(steps, dtype=np.uint64))
-        found = _POWERS[base] = (pair[0], pair[1])
+        found = pair[0], pair[1]
+        if n <= CHUNK:
+            _POWERS[base] = found
     return found
 
 
@@ -52,10 +55,10 @@ class Words:
         starts, ends = np.flatnonzero(inside == -1), np.flatnonzero(inside == 1)
         keep = ~space
         keep[ends[ends < len(raw)]] = True
-        at = np.cumsum(keep) - 1
+        at = np.cumsum(keep, dtype=np.int32 if len(raw) < 1 << 31 else np.int64) - 1
         self.data = np.where(space, np.uint8(0x20), LOWER[raw] if lower else raw)[keep]
-        self.starts = at[starts] if len(starts) else starts
-        self.ends = at[ends - 1] + 1 if len(ends) else ends
+        self.starts = at[starts].astype(np.int64) if len(starts) else starts
+        self.ends = at[ends - 1].astype(np.int64) + 1 if len(ends) else ends
         #: words of text i are first[i] to first[i + 1]
         self.first = np.append(np.searchsorted(starts, begins), len(starts)).astype(np.int64)
         self.text = np.repeat(np.arange(self.count), np.diff(self.first))
@@ -66,10 +69,22 @@ class Words:
 
 
 def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A polynomial hash of each byte range, from prefix sums."""
-    power, inverse = powers(BASE, len(data) + 1)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTES[data] * power[: len(data)], dtype=np.uint64)))
-    return mix((sums[ends] - sums[starts]) * inverse[starts])
+    """A polynomial hash of each byte range, from prefix sums; starts ascending. Works on CHUNK bytes or one range at a time."""
+    out = np.zeros(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        low = int(starts[at])
+        stop = max(at + 1, int(np.searchsorted(starts, low + CHUNK // 2)))
+        own = ends[at:stop]
+        if stop > at + 1 and own.max() > low + CHUNK:  # a long range among short ones goes alone
+            stop = at + max(1, int(np.argmax(own > low + CHUNK)))
+            own = ends[at:stop]
+        part = data[low : int(own.max())]
+        power, inverse = powers(BASE, len(part) + 1)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTES[part] * power[: len(part)], dtype=np.uint64)))
+        out[at:stop] = mix((sums[own - low] - sums[starts[at:stop] - low]) * inverse[starts[at:stop] - low])
+        at = stop
+    return out
 
 
 def windows(values: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
