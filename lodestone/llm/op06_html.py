@@ -10,7 +10,7 @@ A block whose terminals outweigh all its ties takes its cheaper label in every m
 blocks are fixed first, again and again, and the maximum flow runs on what is left.
 
 Defined results: null html, or a page without content, has an empty text; markup that is cut off
-or not closed ends with the page; repeated rows are extracted each; an empty table gives an empty
+or not closed ends with the page (an unclosed button, select or svg with the block it stands in); repeated rows are extracted each; an empty table gives an empty
 result; other columns are ignored.
 """
 
@@ -19,7 +19,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,19 +28,21 @@ from pyspark.sql import DataFrame
 from lodestone.ship import ship
 
 # Fixed lists of element names and of words in class names, ids and roles.
-RAW = ("script", "style", "template", "noscript", "title", "textarea", "iframe", "svg", "math", "select", "button", "object", "canvas", "audio", "video")
-BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
+RAW = ("script", "style", "template", "title", "textarea", "iframe")
+#: Without text of the article, up to their end tag or the next tag of a block; svg may also close itself.
+SILENT = frozenset("svg select button".split())
+BLOCKS = frozenset("noscript address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that end when one of the second set begins inside their parent.
 ENDS = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr", "tbody"}, "th": {"td", "th", "tr", "tbody"}, "tr": {"tr", "tbody", "tfoot"}, "option": {"option", "optgroup"}, "head": {"body"}}
-TAG_COST = {"nav": -7.0, "footer": -7.0, "aside": -7.0, "form": -7.0, "menu": -7.0, "dialog": -7.0, "fieldset": -4.0, "search": -7.0, "head": -9.0, "header": -5.0, "article": 4.0, "main": 3.0, "blockquote": 0.5, "pre": 0.5, "p": 1.0, "li": -0.5, "td": -0.3, "address": -2.0}
+TAG_COST = {"nav": -7.0, "footer": -7.0, "aside": -7.0, "form": -7.0, "menu": -7.0, "dialog": -7.0, "fieldset": -4.0, "search": -7.0, "head": -9.0, "header": -5.0, "article": 4.0, "main": 3.0, "blockquote": 0.5, "pre": 0.5, "p": 1.0, "li": -0.5, "td": -0.3, "address": -2.0, "noscript": -3.0}
 NOT_CONTENT = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertise\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alert|side-?bar|side|menu|nav\w*|breadcrumbs?|foot\w*|header|masthead|comments?|respond|disqus|replies|share|sharing|social|related|recommend\w*|newsletter|subscribe|subscription|popup|modal|overlay|widget|pagination|pager|login|signup|search|toolbar|tags|copyright|legal|skip|hidden|contentinfo|complementary|navigation)(?:$|[\s_-])", re.I)
 CONTENT = re.compile(r"(?:^|[\s_-])(?:article\w*|content|post|entry|story|main|body|text|prose)(?:$|[\s_-])", re.I)
 ADJACENT, SIBLING, SCALE = 0.5, 1.0, 1000
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r")(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
+    r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r")(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -58,10 +60,12 @@ class Block:
 def blocks(page: str) -> list[Block]:
     """Text blocks in page order. path: the sum of costs of the elements above; parent: the number of the nearest container."""
     out: list[Block] = []
-    stack: list[tuple[str, float, int]] = [("", 0.0, 0)]
+    stack: list[tuple[str, float, int, bool]] = [("", 0.0, 0, False)]
+    opened: Counter[str] = Counter()
     parts: list[str] = []
     linked = 0
     in_link = False
+    silent = ""
     number = 0
     at = 0
 
@@ -70,7 +74,7 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                tag, cost, own = stack[-1]
+                tag, cost, own, _ = stack[-1]
                 holder = stack[-2][2] if len(stack) > 1 and (tag in ENDS or tag in HEADINGS) else own
                 out.append(Block(text, linked, cost, holder, tag))
             parts.clear()
@@ -78,7 +82,7 @@ def blocks(page: str) -> list[Block]:
 
     def say(raw: str) -> None:
         nonlocal linked
-        if raw:
+        if raw and not silent:
             text = entities.unescape(raw) if "&" in raw else raw
             parts.append(text)
             if in_link:
@@ -94,37 +98,46 @@ def blocks(page: str) -> list[Block]:
             continue
         name = name.lower()
         if name not in BLOCKS:
-            if name == "a":
+            if name in SILENT:
+                if m[2]:
+                    silent = "" if silent == name else silent
+                elif not silent and not m[4].endswith("/"):
+                    silent = name
+                parts.append(" ")
+            elif name == "a":
                 in_link = not m[2]
             elif name == "br" or name == "img":
                 parts.append(" ")
             continue
+        silent = ""
         close()
         if m[2]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
+            while opened[name]:  # end tags without a start say nothing
+                last = stack.pop()[0]
+                opened[last] -= 1
+                if last == name:
                     break
             continue
         while len(stack) > 1 and name in ENDS.get(stack[-1][0], ()):
-            stack.pop()
+            opened[stack.pop()[0]] -= 1
         if name in VOID:
             continue
-        cost = stack[-1][1]
-        inside = any(t == "article" for t, _, _ in stack)
+        _, cost, _, inside = stack[-1]
         if not (name == "header" and inside):
             cost += TAG_COST.get(name, 0.0)
         if m[4]:
             names = " ".join(x or y or z for x, y, z in _NAMES.findall(m[4]))
             if names:
                 if name not in ("body", "html", "article", "main") and NOT_CONTENT.search(names):
-                    cost -= 9.0
+                    # a word for content beside it, or a paragraph or heading of its own, is a weaker sign than a container
+                    cost -= 3.0 if CONTENT.search(names) or name == "p" or name in HEADINGS else 9.0
                 elif CONTENT.search(names):
                     cost += 1.5
             if _HIDDEN.search(m[4]):
                 cost -= 9.0
         number += 1
-        stack.append((name, cost, number))
+        opened[name] += 1
+        stack.append((name, cost, number, inside or name == "article"))
     say(page[at:])
     close()
     return out
@@ -154,6 +167,42 @@ def ties(found: list[Block]) -> dict[tuple[int, int], int]:
     return edges
 
 
+def _saturate(room: dict[int, dict[int, int]], source: int, sink: int) -> None:
+    """Sends the maximum flow, shortest paths first: all of one length in one sweep. room: what each edge still takes."""
+    while True:
+        level, queue = {source: 0}, deque([source])
+        while queue:
+            u = queue.popleft()
+            for v, c in room[u].items():
+                if c > 0 and v not in level:
+                    level[v] = level[u] + 1
+                    queue.append(v)
+        if sink not in level:
+            return
+        untried = {u: list(room[u]) for u in level}
+        path = [source]
+        while path:
+            u = path[-1]
+            if u == sink:
+                flow = min(room[a][b] for a, b in zip(path, path[1:]))
+                for k in range(len(path) - 1, 0, -1):
+                    a, b = path[k - 1], path[k]
+                    room[a][b] -= flow
+                    room[b][a] = room[b].get(a, 0) + flow
+                    if not room[a][b]:
+                        full = k
+                del path[full:]
+                continue
+            while untried[u] and not (room[u][untried[u][-1]] > 0 and level.get(untried[u][-1]) == level[u] + 1):
+                untried[u].pop()
+            if untried[u]:
+                path.append(untried[u][-1])
+            else:
+                path.pop()
+                if path:
+                    untried[path[-1]].pop()
+
+
 def min_cut(keep: list[int], drop: list[int], edges: dict[tuple[int, int], int]) -> list[bool]:
     """Labels of least cost: keep[i] or drop[i] for block i's label, and the weight of each edge whose ends differ.
 
@@ -189,25 +238,7 @@ def min_cut(keep: list[int], drop: list[int], edges: dict[tuple[int, int], int])
             both = min(keep[i], drop[i])
             room[source][i], room[i][sink] = drop[i] - both, keep[i] - both
             room[i][source] = room[sink][i] = 0
-        while True:
-            before: dict[int, int] = {source: source}
-            queue = deque([source])
-            while queue and sink not in before:
-                u = queue.popleft()
-                for v, c in room[u].items():
-                    if c > 0 and v not in before:
-                        before[v] = u
-                        queue.append(v)
-            if sink not in before:
-                break
-            path, v = [], sink
-            while v != source:
-                path.append((before[v], v))
-                v = before[v]
-            flow = min(room[u][v] for u, v in path)
-            for u, v in path:
-                room[u][v] -= flow
-                room[v][u] = room[v].get(u, 0) + flow
+        _saturate(room, source, sink)
         # blocks that can't reach the sink are content
         back = {sink}
         queue = deque([sink])

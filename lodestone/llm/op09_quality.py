@@ -3,8 +3,14 @@
 Each rule votes good (1) or bad (-1) or abstains (0). Votes are counted by pattern over all
 documents (at most 3**rules patterns, whatever the number of documents), expectation-maximisation
 fits how often each rule votes what for good and for bad documents and the share of good ones,
-and a document's posterior probability of being good follows from its own votes. No rule alone
-decides, as it would if all had to pass.
+and a document's posterior probability of being good follows from its own votes.
+
+How often good documents trip a rule can't be told from votes where a kind of junk trips that rule
+alone: "rare among the good" and "common among one kind of the bad" fit the counts alike. The bound
+`ALARM` settles it. Its effect: one objection of a well-measured rule outweighs the good votes of
+the others, so that the verdict is close to all-must-pass; abstaining near a rule's limits, and
+missing votes, are what the posterior adds. Without the bound EM keeps over half of the labelled
+junk of the test tables (README).
 
 Defined results: a null or blank text has no words and fails the base rules; an empty table gives
 an empty result; repeated rows count each; other columns are ignored.
