@@ -36,7 +36,7 @@ SHINGLE, DISTANCE, HOT = 4, 4, 50_000
 #: For similar texts: least similarity of their shingles; words a shingle and bits apart of candidates' SimHashes.
 SIMILARITY, FEATURES, WIDE = 0.8, 2, 7
 #: Partners that a text proposes for a key in the first round of the prefix search; GROWTH times as many in each next one.
-PARTNERS, GROWTH = 8, 16
+PARTNERS, GROWTH = 2, 16
 
 
 def fingerprints_of(texts: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
@@ -355,24 +355,27 @@ def prefix_pairs(keys: np.ndarray, nodes: np.ndarray, labels: np.ndarray, sizes:
     return both[:, 0], both[:, 1], more
 
 
-def shingled(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, set, size, bits) of each row: the hashes of its shingles, their number and parity bits."""
+def shingled(docs: DataFrame, shingle: int, key: str = "doc_id", whole: bool = True) -> DataFrame:
+    """(key, set, size, bits) of each row: the hashes of its shingles (unless not whole), their number and parity bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute  # noqa: F401  pa.compute is a module of its own
 
         for part in shared._sliced(batches, 1 << 20):
             sets = shingle_sets(part["text"].cast(pa.binary()).to_pylist(), shingle)
-            columns = [part["doc_id"].combine_chunks(), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())), pa.array([len(x) for x in sets], pa.int32()), pa.array([parity(x) for x in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "set", "size", "bits"])
+            columns = {key: part[key].combine_chunks()}
+            if whole:
+                columns["set"] = pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))
+            columns |= {"size": pa.array([len(x) for x in sets], pa.int32()), "bits": pa.array([parity(x) for x in sets], pa.binary())}
+            yield pa.RecordBatch.from_pydict(columns)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, set array<long>, size int, bits binary")
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, "text").mapInArrow(run, f"{key} {kind}, {'set array<long>, ' * whole}size int, bits binary")
 
 
-def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def alike(pairs: DataFrame, sets: DataFrame, similarity: float, key: str = "doc_id") -> DataFrame:
     """The pairs (u, v) whose sets are at least that similar."""
-    side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("set").alias(f"{c}_set"))
+    side = lambda c: sets.select(F.col(key).alias(c), F.col("set").alias(f"{c}_set"))
     common = F.size(F.array_intersect("u_set", "v_set"))
     union = F.size("u_set") + F.size("v_set") - common
     return pairs.join(side("u"), "u").join(side("v"), "v").filter((union == 0) | (common >= similarity * union)).select("u", "v")
@@ -406,6 +409,17 @@ def _meeting(similarity: float, partners: int) -> Callable[[pa.Table], pa.Table]
     return pair
 
 
+def _mixed(table: pa.Table) -> pa.Table:
+    """The rows of keys whose nodes have several labels."""
+    key, label = table["key"].to_numpy(), table["label"].to_numpy()
+    order = np.lexsort((label, key))
+    key, label = key[order], label[order]
+    begins = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    ends = np.append(begins[1:], len(key)) - 1
+    several = np.repeat(label[begins] != label[ends], ends - begins + 1)
+    return table.take(pa.array(order[several]))
+
+
 def prefix_links(found: DataFrame, names: DataFrame, front: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """front with links (u, v) of similar texts that it leaves in two components: the components are those of all similar pairs.
 
@@ -459,27 +473,36 @@ def prefix_links(found: DataFrame, names: DataFrame, front: DataFrame, similarit
         several = np.concatenate(([False], again)) | np.concatenate((again, [False]))
         return pa.table({"key": keys[several], "node": nodes[several]})
 
-    hashed = found.select(F.xxhash64("text").alias("node"), "text")
-    runs = shared.written(hashed.mapInArrow(emit, "bucket int, message binary").groupBy("bucket").applyInArrow(meet, "key long, node long"), "runs")
+    hashed = found.select(F.xxhash64("text").alias("node"), "doc_id", "text")
+    runs = shared.written(hashed.select("node", "text").mapInArrow(emit, "bucket int, message binary").groupBy("bucket").applyInArrow(meet, "key long, node long"), "runs")
     label = F.xxhash64(F.coalesce("root", "doc")).alias("label")
+    bucket = F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket")
     doc = lambda c: names.select(F.col("node").alias(c), F.col("doc").alias(f"{c}_doc"))
-    links, partners, sets = front, PARTNERS, None
+
+    def firsts(nodes: DataFrame) -> DataFrame:
+        """(node, text) of the first document of each of the nodes."""
+        wanted = names.join(nodes, "node", "left_semi").select("node", F.col("doc").alias("doc_id"))
+        return hashed.join(bounded(wanted), ["node", "doc_id"], "left_semi").select("node", "text")
+
+    links, partners, sketches = front, PARTNERS, None
     while True:
         joined = components(links)
-        labels = names.join(joined, names["doc"] == joined["node"], "left").select(names["node"], "doc", label)
-        labelled = shared.written(runs.join(labels, "node"), "labelled")
-        mixed = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("key")
-        active = shared.written(labelled.join(mixed, "key", "left_semi"), "active")
-        if sets is None:  # later rounds have no other texts
-            wanted = active.select(F.col("doc").alias("doc_id")).distinct()
-            sets = shared.written(shingled(found.join(bounded(wanted), "doc_id", "left_semi"), shingle).dropDuplicates(["doc_id"]), "prefix_sets")
-
-        rows = active.join(sets.select(F.col("doc_id").alias("doc"), "size", "bits"), "doc")
-        rows = rows.select(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket"), "key", "node", "label", "size", "bits")
+        labels = names.join(joined, names["doc"] == joined["node"], "left").select(names["node"], label)
+        labelled = runs.join(bounded(labels), "node").select(bucket, "key", "node", "label")
+        active = shared.written(labelled.groupBy("bucket").applyInArrow(_mixed, "bucket long, key long, node long, label long"), "active")
+        if sketches is None:  # later rounds have no other texts
+            sketches = shared.written(shingled(firsts(active.select("node").distinct()), shingle, "node", whole=False).dropDuplicates(["node"]), "sketches")
+        rows = active.join(bounded(sketches, 250_000), "node").select("bucket", "key", "node", "label", "size", "bits")
         near = shared.written(rows.groupBy("bucket").applyInArrow(_meeting(similarity, partners), "u long, v long, more boolean"), "near")
-        pairs = near.select("u", "v").distinct().join(doc("u"), "u").join(doc("v"), "v").select(F.col("u_doc").alias("u"), F.col("v_doc").alias("v"))
-        links = links.union(shared.written(alike(pairs, sets, similarity), "prefix_links"))
-        if near.filter("more").isEmpty():
+        pairs = shared.written(near.select("u", "v").distinct(), "pairs")
+        ends = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+        sets = shared.written(shingled(firsts(ends), shingle, "node").dropDuplicates(["node"]), "prefix_sets")
+        good = alike(pairs, sets, similarity, "node").join(bounded(doc("u")), "u").join(bounded(doc("v")), "v").select(F.col("u_doc").alias("u"), F.col("v_doc").alias("v"))
+        links = links.union(shared.written(good, "prefix_links"))
+        again = not near.filter("more").isEmpty()
+        shared.dropped(active, near, pairs, sets)  # what is left of them is in links
+        if not again:
+            shared.dropped(runs, sketches)
             return links
         partners *= GROWTH
 
