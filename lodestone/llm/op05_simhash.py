@@ -25,7 +25,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm import shared
@@ -35,7 +35,8 @@ from lodestone.ship import ship
 SHINGLE, DISTANCE, HOT = 4, 4, 50_000
 #: For similar texts: least similarity of their shingles; words a shingle and bits apart of candidates' SimHashes.
 SIMILARITY, FEATURES, WIDE = 0.8, 2, 7
-#: Partners that a text proposes for a key in the first round of the prefix search; GROWTH times as many in each next one.
+#: Partners that a text proposes for a key, and that are verified for it, in the first round of the prefix search; GROWTH
+#: times as many in each next one.
 PARTNERS, GROWTH = 2, 16
 
 
@@ -325,6 +326,25 @@ def parity(values: np.ndarray) -> bytes:
     return np.packbits((np.bincount((values >> U(55)).astype(np.int64), minlength=512) & 1).astype(np.uint8)).tobytes()
 
 
+def wide_parity(values: np.ndarray) -> np.ndarray:
+    """As parity(), with as many bits as shingles or up to twice that, as numbers of 64 bits: long texts fill 512 bits."""
+    bits = 64
+    while bits < len(values):
+        bits *= 2
+    odd = np.bincount((values & U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def differing(a: Column, b: Column) -> Column:
+    """Bits that two wide_parity() differ in, the one of twice the other's length folded."""
+
+    def folded(x: Column, other: Column) -> Column:
+        half = F.greatest(F.lit(1), F.floor(F.size(x) / 2).cast("int"))
+        return F.when(F.size(x) > F.size(other), F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseXOR(q))).otherwise(x)
+
+    return F.aggregate(F.zip_with(folded(a, b), folded(b, a), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, x: n + x)
+
+
 def prefix_pairs(keys: np.ndarray, nodes: np.ndarray, labels: np.ndarray, sizes: np.ndarray, bits: np.ndarray, similarity: float, partners: int) -> tuple[np.ndarray, np.ndarray, bool]:
     """Pairs of nodes with one key and two labels that sizes and parity bits (rows of 8 words) don't show to be less similar.
 
@@ -356,7 +376,7 @@ def prefix_pairs(keys: np.ndarray, nodes: np.ndarray, labels: np.ndarray, sizes:
 
 
 def shingled(docs: DataFrame, shingle: int, key: str = "doc_id", whole: bool = True) -> DataFrame:
-    """(key, set, size, bits) of each row: the hashes of its shingles (unless not whole), their number and parity bits."""
+    """(key, set, size, bits, wide) of each row: the hashes of its shingles (unless not whole), their number and parity bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute  # noqa: F401  pa.compute is a module of its own
@@ -367,10 +387,11 @@ def shingled(docs: DataFrame, shingle: int, key: str = "doc_id", whole: bool = T
             if whole:
                 columns["set"] = pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))
             columns |= {"size": pa.array([len(x) for x in sets], pa.int32()), "bits": pa.array([parity(x) for x in sets], pa.binary())}
+            columns["wide"] = pa.array([wide_parity(x) for x in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_pydict(columns)
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, "text").mapInArrow(run, f"{key} {kind}, {'set array<long>, ' * whole}size int, bits binary")
+    return docs.select(key, "text").mapInArrow(run, f"{key} {kind}, {'set array<long>, ' * whole}size int, bits binary, wide array<long>")
 
 
 def alike(pairs: DataFrame, sets: DataFrame, similarity: float, key: str = "doc_id") -> DataFrame:
@@ -492,15 +513,20 @@ def prefix_links(found: DataFrame, names: DataFrame, front: DataFrame, similarit
         active = shared.written(labelled.groupBy("bucket").applyInArrow(_mixed, "bucket long, key long, node long, label long"), "active")
         if sketches is None:  # later rounds have no other texts
             sketches = shared.written(shingled(firsts(active.select("node").distinct()), shingle, "node", whole=False).dropDuplicates(["node"]), "sketches")
-        rows = active.join(bounded(sketches, 250_000), "node").select("bucket", "key", "node", "label", "size", "bits")
+        rows = active.join(bounded(sketches.select("node", "size", "bits"), 250_000), "node").select("bucket", "key", "node", "label", "size", "bits")
         near = shared.written(rows.groupBy("bucket").applyInArrow(_meeting(similarity, partners), "u long, v long, more boolean"), "near")
-        pairs = shared.written(near.select("u", "v").distinct(), "pairs")
+        # of those that a wider parity leaves, each text's nearest ones first
+        side = lambda c: sketches.select(F.col("node").alias(c), F.col("size").alias(f"{c}_size"), F.col("wide").alias(f"{c}_wide"))
+        apart = near.select("u", "v").distinct().join(side("u"), "u").join(side("v"), "v").withColumn("d", differing(F.col("u_wide"), F.col("v_wide")))
+        apart = apart.filter(F.col("d") <= (1 - similarity) / (1 + similarity) * (F.col("u_size") + F.col("v_size")) + 1e-6)
+        ranked = shared.written(apart.select("u", "v", F.row_number().over(Window.partitionBy("v").orderBy("d", "u")).alias("rank")), "ranked")
+        pairs = ranked.filter(F.col("rank") <= partners).select("u", "v")
         ends = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
         sets = shared.written(shingled(firsts(ends), shingle, "node").dropDuplicates(["node"]), "prefix_sets")
         good = alike(pairs, sets, similarity, "node").join(bounded(doc("u")), "u").join(bounded(doc("v")), "v").select(F.col("u_doc").alias("u"), F.col("v_doc").alias("v"))
         links = links.union(shared.written(good, "prefix_links"))
-        again = not near.filter("more").isEmpty()
-        shared.dropped(active, near, pairs, sets)  # what is left of them is in links
+        again = not near.filter("more").isEmpty() or not ranked.filter(F.col("rank") > partners).isEmpty()
+        shared.dropped(active, near, ranked, sets)  # what is left of them is in links
         if not again:
             shared.dropped(runs, sketches)
             return links

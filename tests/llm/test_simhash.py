@@ -163,3 +163,19 @@ def test_equal_prints_lose_no_pair(spark):
     sets = [set(x.tolist()) for x in op.shingle_sets([t.encode() for _, t in rows], 5)]
     assert len(sets[1] & sets[2]) >= 0.8 * len(sets[1] | sets[2]) and len(sets[0] & sets[1]) < 0.8 * len(sets[0] | sets[1])
     assert sorted(r.doc_id for r in op.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == [1, 2]
+
+
+def test_parities_bound_the_difference(spark):
+    """Differing bits never exceed the shingles that one set alone has, whatever the sets' sizes."""
+    from pyspark.sql import functions as F
+
+    rng, rows, want = np.random.default_rng(1), [], []
+    for n in (0, 1, 63, 64, 65, 200, 1000, 1025, 5000):
+        for share in (0.0, 0.05, 0.11):
+            a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+            cut = int(n * share)
+            b = np.unique(np.concatenate((a[cut:], rng.integers(0, 1 << 63, cut // 2, dtype=np.uint64))))
+            rows.append((op.wide_parity(np.unique(a)).tolist(), op.wide_parity(b).tolist()))
+            want.append(len(np.setxor1d(a, b)))
+    got = [r.d for r in spark.createDataFrame(rows, "a array<long>, b array<long>").coalesce(1).select(op.differing(F.col("a"), F.col("b")).alias("d")).collect()]
+    assert all(d <= w for d, w in zip(got, want)) and all(2 * d >= w for d, w in zip(got, want))
