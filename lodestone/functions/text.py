@@ -22,10 +22,10 @@ URLS: list[tuple[str, str]] = [
     ("channel", r"youtube\.com/(@[A-Za-z0-9_.-]+)"),
     ("channel", r"youtube\.com/(?:c|user)/([A-Za-z0-9_.-]+)"),
 ]
-#: Fixed patterns of fillers, removed in this order without regard to case.
-FILLERS = [r"\b(?:um+|uh+|er+|ah+)\b[,.]?", r"\byou know\b,?", r"\bi mean\b,?", r"\b(?:sort|kind) of\b", r"\blike,", r"\bbasically\b,?", r"\bactually\b,?", r"\bliterally\b,?"]
-#: Fixed abbreviations whose period ends no sentence.
-ABBREVIATIONS = ["Mr", "Mrs", "Ms", "Dr", "Prof", "Sr", "Jr", "vs", "etc", "e.g", "i.e"]
+#: Patterns of fillers, removed in this order without regard to case.
+FILLERS = [r"\b(?:um|uh|uhm|umm)\b", r"\byou know\b", r"\bbasically\b", r"\bsort of\b", r"\bkind of\b", r"\bI mean\b", r"\bright\?\s*", r"\blike,?\s+(?=\w)"]
+#: Abbreviations whose period ends no sentence.
+ABBREVIATIONS = ["Mr", "Mrs", "Ms", "Dr", "Prof", "Sr", "Jr", "vs", "etc", "approx"]
 #: Fixed table of language names.
 LANGUAGES = {"en": "English", "es": "Spanish", "fr": "French", "de": "German", "it": "Italian", "pt": "Portuguese", "nl": "Dutch", "ru": "Russian", "zh": "Chinese", "ja": "Japanese", "ko": "Korean", "ar": "Arabic", "hi": "Hindi", "tr": "Turkish", "pl": "Polish", "sv": "Swedish", "no": "Norwegian", "da": "Danish", "fi": "Finnish", "cs": "Czech", "el": "Greek", "he": "Hebrew", "th": "Thai", "vi": "Vietnamese", "id": "Indonesian", "uk": "Ukrainian", "ro": "Romanian"}
 
@@ -71,7 +71,7 @@ def subtitle_events(payload: Column) -> Column:
 def quick_normalize(text: Column) -> Column:
     for pattern in FILLERS:
         text = F.regexp_replace(text, "(?i)" + pattern, "")
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.trim(F.regexp_replace(text, r"\s{2,}", " "))
 
 
 def words(text: Column) -> Column:

@@ -12,13 +12,18 @@ from pyspark.sql import functions as F
 from lodestone.ship import ship
 from lodestone.vault import Vault
 
-#: Fixed names that are no guests.
-NOISE = ["host", "guest", "speaker", "unknown", "narrator", "interviewer", "audience", "n/a", "none", "various"]
+#: Names that are no guests, compared as they are written.
+NOISE = [
+    "NVIDIA", "Open AI", "US", "Nazi", "North Korea", "Taiwan", "Ukraine",
+    "monkey", "myself", "you", "yourself", "the speaker", "speaker",
+    "Unknown American", "Unknown Japanese", "No person mentioned", "None",
+    "a minister", "the president", "human populations", "infant", "mathematical logic",
+]
 
 
 def resolve(names: DataFrame, guests: DataFrame) -> DataFrame:
     """(name, guest_id, canonical_name): names that aren't noise with their guest by name or alias, if known."""
-    clean = names.select(F.trim("name").alias("name")).filter((F.col("name") != "") & ~F.lower("name").isin(NOISE)).distinct()
+    clean = names.select(F.trim("name").alias("name")).filter((F.col("name") != "") & ~F.col("name").isin(NOISE)).distinct()
     known = guests.select("guest_id", "canonical_name", F.col("canonical_name").alias("name"), F.lit(0).alias("way"))
     alias = guests.select("guest_id", "canonical_name", F.explode(F.coalesce("aliases", F.array().cast("array<string>"))).alias("name"), F.lit(1).alias("way"))
     best = known.unionByName(alias).groupBy("name").agg(F.min(F.struct("way", "guest_id", "canonical_name")).alias("best"))
@@ -27,7 +32,7 @@ def resolve(names: DataFrame, guests: DataFrame) -> DataFrame:
 
 def purge_noise(vault: Vault) -> Vault:
     """Without guests of noise names or of under two characters, nor their appearances."""
-    bad = vault.guests.filter(F.lower(F.trim("canonical_name")).isin(NOISE) | (F.length(F.trim("canonical_name")) < 2)).select("guest_id")
+    bad = vault.guests.filter(F.trim("canonical_name").isin(NOISE) | (F.length(F.trim("canonical_name")) < 2)).select("guest_id")
     return vault.delete("guests", bad).delete("guest_appearances", bad)
 
 

@@ -31,7 +31,7 @@ def vault(spark):
     v = Vault(spark)
     videos = spark.createDataFrame([("v1", "c1", "Intro", "REJECTED", "DONE", False, None), ("v2", "c1", "Neural nets", "ACCEPTED", "CHUNKED", False, "s9"), ("v3", "c2", "Cells", "DISCOVERED", "METADATA_HARVESTED", None, None)], "video_id string, channel_id string, title string, triage_status string, checkpoint_stage string, is_deleted boolean, locked_by_scan_id string")
     v = v.append("videos", videos)
-    v = v.append("guests", spark.createDataFrame([(1, "Naval Ravikant", ["Naval"], 5), (2, "Ravikant, Naval", [], 2), (3, "host", None, 9), (4, "Jane Doe", None, 1)], "guest_id long, canonical_name string, aliases array<string>, mention_count long"))
+    v = v.append("guests", spark.createDataFrame([(1, "Naval Ravikant", ["Naval"], 5), (2, "Ravikant, Naval", [], 2), (3, "the speaker", None, 9), (4, "Jane Doe", None, 1)], "guest_id long, canonical_name string, aliases array<string>, mention_count long"))
     return v.append("guest_appearances", spark.createDataFrame([(1, "v1", 0.0), (2, "v1", 0.0), (2, "v2", 1.0), (4, "v2", 3.0)], "guest_id long, video_id string, start_timestamp double"))
 
 
@@ -43,7 +43,8 @@ def test_urls(spark, url, want):
 def test_text_functions(spark):
     assert one(spark, X.iso_date(F.lit("20240115"))) == "2024-01-15" and one(spark, X.iso_date(F.lit("2024"))) == "2024"
     assert one(spark, X.minutes_seconds(F.lit(125.7))) == "02:05"
-    assert one(spark, X.quick_normalize(F.lit("Um, I mean  it is, you know, basically fine"))) == "it is, fine"
+    assert one(spark, X.quick_normalize(F.lit("Um, I mean  it is, you know, basically like a fine one, right? Sort of"))) == ", it is, , a fine one,"
+    assert one(spark, X.sentences(F.lit("It is approx. 3 m. See e.g. this."))) == ["It is approx. 3 m.", "See e.g.", "this."]
     assert one(spark, X.sentences(F.lit("Dr. Who came. It was 3. 14 or so! Really? Yes"))) == ["Dr. Who came.", "It was 3. 14 or so!", "Really?", "Yes"]
     assert one(spark, X.json_list(F.lit('```json\n[{"name": "a"}]\n```'), "struct<name:string>"))[0]["name"] == "a"
     assert one(spark, X.json_list(F.lit('{"name": "a"}'), "struct<name:string>")) == []
@@ -156,7 +157,7 @@ def test_entities(spark, vault):
     first = merged.guests.filter("guest_id = 1").first()
     assert (first.mention_count, first.aliases) == (7, ["Naval", "Ravikant, Naval"])
     assert {(r.guest_id, r.video_id) for r in merged.guest_appearances.collect()} == {(1, "v1"), (1, "v2"), (4, "v2")}
-    named = E.resolve(spark.createDataFrame([("Naval",), (" host ",), ("New One",)], "name string"), clean.guests)
+    named = E.resolve(spark.createDataFrame([("Naval",), (" the speaker ",), ("New One",)], "name string"), clean.guests)
     assert {r.name: r.guest_id for r in named.collect()} == {"Naval": 1, "New One": None}
     claims = spark.createDataFrame([(1, "a", "cats purr loudly", "t"), (2, "b", "cats purr loudly", "t"), (3, "b", "cats purr loudly", "t"), (4, "c", "dogs bark", "t")], "claim_id long, video_id string, claim_text string, topic string")
     assert {r.claim_id: r.cluster_id for r in E.claim_clusters(claims, X.bag_embedder).collect()} == {1: "c1", 2: "c1", 3: "c1", 4: "c4"}
