@@ -157,12 +157,15 @@ def repair_json(text: str) -> object:
 
 def sliding_windows(text: Column, size: int = 400, overlap: int = 80, least: int = 50) -> Column:
     """Chunks of `size` words each `size - overlap` words; texts and last chunks under `least` words are left out."""
-    w = words(text)
-    n = F.size(w)
-    starts = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(size - overlap))
-    cut = F.transform(starts, lambda i: F.slice(w, i + 1, size))
-    kept = F.filter(cut, lambda c, i: (n >= least) & ((i == 0) | (F.size(c) >= least)))
-    return F.transform(kept, lambda c: F.array_join(c, " "))
+
+    def cut(w: Column) -> Column:
+        n = F.size(w)
+        starts = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(size - overlap))
+        kept = F.filter(F.transform(starts, lambda i: F.slice(w, i + 1, size)), lambda c, i: (n >= least) & ((i == 0) | (F.size(c) >= least)))
+        return F.transform(kept, lambda c: F.array_join(c, " "))
+
+    # the words are bound once: inside a lambda they would be split anew for each window
+    return F.element_at(F.transform(F.array(words(text)), cut), 1)
 
 
 def sliding_chunks(docs: DataFrame, size: int = 400, overlap: int = 80, least: int = 50) -> DataFrame:
