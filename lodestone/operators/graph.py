@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.cut import cut
 from lodestone.operators.aggregates import chunk_topics
 from lodestone.vault import Vault
 
@@ -45,10 +46,11 @@ def guest_topics(vault: Vault) -> DataFrame:
 
 
 def guest_network(vault: Vault) -> DataFrame:
-    """(guest_a, guest_b, topics, shared): pairs of guests with topics in common."""
-    a = guest_topics(vault).select("guest_id", "name")
+    """(guest_a, guest_b, topics, shared): pairs of guests with topics in common. A guest has a topic once, so lists need no set."""
+    seen = vault.guest_appearances.select("guest_id", "video_id").distinct()
+    a = seen.join(chunk_topics(vault).select("video_id", "name").distinct(), "video_id").select("guest_id", "name").distinct()
     b = a.select("name", F.col("guest_id").alias("guest_b"))
-    return a.withColumnRenamed("guest_id", "guest_a").join(b, "name").filter("guest_a < guest_b").groupBy("guest_a", "guest_b").agg(F.array_join(F.array_sort(F.collect_set("name")), ",").alias("topics"), F.count("*").alias("shared"))
+    return a.withColumnRenamed("guest_id", "guest_a").join(b, "name").filter("guest_a < guest_b").groupBy("guest_a", "guest_b").agg(F.array_join(F.sort_array(F.collect_list("name")), ",").alias("topics"), F.count("*").alias("shared"))
 
 
 def topic_cooccurrence(vault: Vault) -> DataFrame:
@@ -133,14 +135,17 @@ def taxonomy_context(edges: DataFrame, topic: str) -> DataFrame:
 
 
 def distances(edges: DataFrame, start: str, depth: int = 3) -> DataFrame:
-    """(id, distance, before) of nodes within `depth` undirected steps of one node: a frontier that only meets new nodes."""
-    both = undirected(edges.select("src", "dst")).distinct()
+    """(id, distance, before) of nodes within `depth` undirected steps of one node: a frontier that only meets new nodes.
+
+    Edges and each frontier are checkpointed, so a step's plan doesn't hold those before it.
+    """
+    both = cut(undirected(edges.select("src", "dst")).distinct())
     spark = edges.sparkSession
     found = spark.createDataFrame([(start, 0, None)], "id string, distance int, before string")
     frontier = found
     for step in range(1, depth + 1):
         near = both.join(frontier.select(F.col("id").alias("src")), "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("before"))
-        frontier = near.join(found.select("id"), "id", "left_anti").select("id", F.lit(step).alias("distance"), "before")
+        frontier = cut(near.join(found.select("id"), "id", "left_anti").select("id", F.lit(step).alias("distance"), "before"))
         found = found.unionByName(frontier)
     return found
 

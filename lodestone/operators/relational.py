@@ -52,7 +52,8 @@ def videos_by_status(vault: Vault, status: str | list[str], limit: int | None =
         wanted = wanted & ~F.coalesce("is_deleted", F.lit(False))
     key = F.col(order).desc_nulls_last() if descending else F.col(order).asc_nulls_first()
     named = rows(vault.videos, wanted, [key, F.col("video_id")], limit)
-    return named.join(F.broadcast(vault.channels.select("channel_id", F.col("name").alias("channel_name"))) if limit else vault.channels.select("channel_id", F.col("name").alias("channel_name")), "channel_id", "left")
+    # which side is small is Spark's to measure: channels grow with the vault, and a limit may bound the videos
+    return named.join(vault.channels.select("channel_id", F.col("name").alias("channel_name")), "channel_id", "left")
 
 
 def videos_by_channel(vault: Vault, channel_ids: str | list[str], limit: int | None = None) -> DataFrame:

@@ -27,8 +27,13 @@ def occurrences(doc: Column, phrase: list[str]) -> Column:
     if len(phrase) == 1:
         return F.size(F.filter(doc, lambda x: x == phrase[0]))
     lit = F.array(*[F.lit(p) for p in phrase])
-    starts = F.sequence(F.lit(1), F.greatest(F.size(doc) - len(phrase) + 1, F.lit(1)))
-    return F.size(F.filter(starts, lambda i: F.slice(doc, i, len(phrase)) == lit))
+
+    def count(d: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(d) - len(phrase) + 1, F.lit(1)))
+        return F.size(F.filter(starts, lambda i: F.slice(d, i, len(phrase)) == lit))
+
+    # the tokens are bound once: inside the lambda they would be made anew for each start
+    return F.element_at(F.transform(F.array(doc), count), 1)
 
 
 def query_tokens(spark, query: str) -> list[str]:

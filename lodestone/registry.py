@@ -71,7 +71,7 @@ query("corroboration_stats", """SELECT topic, count(DISTINCT cluster_id) AS clus
 _COVER = """SELECT name, videos, channels, first_day, last_day, seconds, 0.4::double * least(videos / 10.0::double, 1.0) + 0.4::double * least(channels / 3.0::double, 1.0) + 0.2::double * least((last_day - first_day) / 365.0::double, 1.0) AS score FROM (
     SELECT t.name, count(*) AS videos, count(DISTINCT v.channel_id) AS channels, min(v.upload_date) AS first_day, max(v.upload_date) AS last_day, cast(sum(v.duration_seconds) AS bigint) AS seconds
     FROM (SELECT DISTINCT video_id, name FROM chunk_topics) t JOIN videos v USING (video_id) GROUP BY 1)"""
-query("topic_coverage", f"SELECT name, videos, channels, first_day, last_day, seconds, round(score, 6) AS score, CASE WHEN score > 0.8 THEN 'High' WHEN score > 0.4 THEN 'Moderate' ELSE 'Low' END AS level FROM ({_COVER})")(lambda v: A.topic_coverage(v).drop("gaps").withColumn("score", F.round("score", 6)))
+query("topic_coverage", f"SELECT name, videos, channels, first_day, last_day, seconds, round(score, 6) AS score, CASE WHEN score > 0.8 THEN 'High' WHEN score > 0.4 THEN 'Moderate' ELSE 'Low' END AS level, concat_ws(',', CASE WHEN channels < 2 THEN 'few channels' END, CASE WHEN videos < 5 THEN 'few videos' END, CASE WHEN last_day - first_day < 180 THEN 'short time span' END) AS gaps FROM ({_COVER})")(lambda v: A.topic_coverage(v).withColumn("gaps", F.array_join("gaps", ",")).withColumn("score", F.round("score", 6)))
 query("vault_gaps", f"SELECT name, round(score, 6) AS score FROM ({_COVER}) WHERE score < 2")(lambda v: A.vault_gaps(v, 2.0).select("name", F.round("score", 6).alias("score")))
 query("topic_sentiment", """SELECT topic, round(avg(score), 6) AS score, CASE WHEN avg(score) > 0.2 THEN 'Positive' WHEN avg(score) < -0.2 THEN 'Negative' ELSE 'Neutral' END AS label, count(*) FILTER (label = 'Positive') AS positive
     FROM video_sentiment GROUP BY topic""")(lambda v: A.topic_sentiment(v.video_sentiment).select("topic", F.round("score", 6).alias("score"), "label", F.coalesce(F.try_element_at("distribution", F.lit("Positive")), F.lit(0)).alias("positive")))
@@ -101,17 +101,22 @@ query("topic_authorities", f"""(SELECT 'Channel' AS kind, channel_id AS id, cast
     (SELECT 'Guest', cast(guest_id AS string), cast(sum(n) AS bigint) AS n FROM {_GT} WHERE contains(name, 're') GROUP BY guest_id ORDER BY n DESC, guest_id LIMIT 5)""")(lambda v: G.topic_authorities(v, "RE"))
 query("guest_evolution", "SELECT video_id, upload_date, name FROM guest_appearances JOIN videos USING (video_id) JOIN (SELECT DISTINCT video_id, name FROM chunk_topics) USING (video_id) WHERE guest_id = 7")(lambda v: G.guest_evolution(v, 7))
 query("guest_appearances_of", "SELECT video_id, title, channel_id, upload_date, c.name AS channel_name FROM guest_appearances JOIN videos USING (video_id) LEFT JOIN channels c USING (channel_id) WHERE guest_id = 7")(lambda v: G.guest_appearance_list(v, 7))
-query("shared_videos", """SELECT video_id, count(*) AS shared FROM (SELECT video_id, concat('topic:', name) AS label FROM chunk_topics UNION SELECT video_id, concat('guest:', cast(guest_id AS string)) FROM guest_appearances)
-    WHERE video_id <> '4' AND label IN (SELECT concat('topic:', name) FROM chunk_topics WHERE video_id = '4' UNION SELECT concat('guest:', cast(guest_id AS string)) FROM guest_appearances WHERE video_id = '4') GROUP BY 1 ORDER BY shared DESC, video_id LIMIT 10""")(lambda v: G.shared_videos(v, "4").drop("labels"))
+query("shared_videos", """SELECT video_id, count(*) AS shared, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT video_id, concat('topic:', name) AS label FROM chunk_topics UNION SELECT video_id, concat('guest:', cast(guest_id AS string)) FROM guest_appearances)
+    WHERE video_id <> '4' AND label IN (SELECT concat('topic:', name) FROM chunk_topics WHERE video_id = '4' UNION SELECT concat('guest:', cast(guest_id AS string)) FROM guest_appearances WHERE video_id = '4') GROUP BY 1 ORDER BY shared DESC, video_id LIMIT 10""")(lambda v: G.shared_videos(v, "4").withColumn("labels", F.array_join("labels", ",")))
 _EDGES = """(SELECT concat('channel:', channel_id) AS src, concat('video:', video_id) AS dst, 'PUBLISHED' AS type FROM videos UNION ALL SELECT DISTINCT concat('guest:', cast(guest_id AS string)), concat('video:', video_id), 'APPEARED_IN' FROM guest_appearances
     UNION ALL SELECT DISTINCT concat('video:', video_id), concat('topic:', name), 'DISCUSSES' FROM chunk_topics
     UNION ALL SELECT DISTINCT concat('topic:', a.name), concat('topic:', b.name), 'RELATED_TO' FROM chunk_topics a JOIN chunk_topics b ON a.video_id = b.video_id AND a.name < b.name)"""
+_WEIGHTED = """(SELECT concat('channel:', channel_id) AS src, concat('video:', video_id) AS dst, 'PUBLISHED' AS type, 1.0::double AS weight FROM videos UNION ALL SELECT DISTINCT concat('guest:', cast(guest_id AS string)), concat('video:', video_id), 'APPEARED_IN', 1.0 FROM guest_appearances
+    UNION ALL SELECT concat('video:', video_id), concat('topic:', name), 'DISCUSSES', max(relevance)::double FROM chunk_topics GROUP BY video_id, name
+    UNION ALL SELECT concat('topic:', a.name), concat('topic:', b.name), 'RELATED_TO', count(DISTINCT a.video_id)::double FROM chunk_topics a JOIN chunk_topics b ON a.video_id = b.video_id AND a.name < b.name GROUP BY a.name, b.name)"""
 query("graph_stats", f"SELECT split_part(id, ':', 1) AS label, count(*) AS n FROM (SELECT src AS id FROM {_EDGES} UNION SELECT dst FROM {_EDGES}) GROUP BY 1 UNION ALL SELECT type, count(*) FROM {_EDGES} GROUP BY 1")(lambda v: G.graph_stats(G.edges_of(v)))
 query("degrees", f"SELECT id, count(*) AS degree FROM (SELECT src AS id FROM {_EDGES} UNION ALL SELECT dst FROM {_EDGES}) GROUP BY 1")(lambda v: G.degrees(G.edges_of(v)))
-query("neighbourhood", f"SELECT DISTINCT CASE WHEN src = 'guest:7' THEN dst ELSE src END AS dst, type FROM {_EDGES} WHERE src = 'guest:7' OR dst = 'guest:7'")(lambda v: G.neighbourhood(G.edges_of(v), "guest:7", 10**6).drop("weight"))
+query("neighbourhood", f"SELECT DISTINCT CASE WHEN src = 'topic:small' THEN dst ELSE src END AS dst, type, round(weight, 6) AS weight FROM {_WEIGHTED} WHERE src = 'topic:small' OR dst = 'topic:small'")(lambda v: G.neighbourhood(G.edges_of(v), "topic:small", 10**6).withColumn("weight", F.round("weight", 6)))
 query("distances", f"""SELECT id, min(d) AS distance FROM (SELECT 'guest:7' AS id, 0 AS d UNION ALL SELECT dst, 1 FROM {_EDGES} WHERE src = 'guest:7' UNION ALL
     SELECT CASE WHEN e.src = f.dst THEN e.dst ELSE e.src END, 2 FROM {_EDGES} e JOIN (SELECT dst FROM {_EDGES} WHERE src = 'guest:7') f ON e.src = f.dst OR e.dst = f.dst) GROUP BY 1""")(lambda v: G.distances(G.edges_of(v), "guest:7", 2).select("id", "distance"))
-query("shortest_path")(lambda v: G.shortest_path(G.edges_of(v), "guest:7", "channel:3", 3))
+query("shortest_path", """SELECT concat('guest:7 > ', via, ' > channel:3') AS path, cast(2 AS int) AS length FROM (SELECT min(concat('video:', video_id)) AS via FROM guest_appearances JOIN videos USING (video_id) WHERE guest_id = 7 AND channel_id = '3') WHERE via IS NOT NULL""")(
+    lambda v: G.shortest_path(G.edges_of(v), "guest:7", "channel:3", 3).withColumn("path", F.array_join("path", " > "))
+)
 
 query("videos_by_status", "SELECT video_id, channel_id, created_at FROM videos WHERE triage_status = 'ACCEPTED' AND NOT is_deleted ORDER BY created_at DESC, video_id LIMIT 500")(lambda v: R.videos_by_status(v, "ACCEPTED").select("video_id", "channel_id", "created_at"))
 query("videos_by_channel", "SELECT video_id, upload_date FROM videos WHERE channel_id IN ('3', '4')")(lambda v: R.videos_by_channel(v, ["3", "4"]).select("video_id", "upload_date"))

@@ -23,7 +23,8 @@ def table(v, name: str) -> DataFrame:
 _W = "list_filter(string_split_regex(text, '[ \\t\\n\\r]+'), lambda x: x <> '')"
 
 query("url_parse", r"""SELECT url_id, CASE WHEN NOT regexp_matches(url, 'youtube\.com|youtu\.be') THEN NULL WHEN regexp_matches(url, '[?&]v=[A-Za-z0-9_-]{11}|youtu\.be/[A-Za-z0-9_-]{11}|youtube\.com/(shorts|embed|live)/[A-Za-z0-9_-]{11}') THEN 'video'
-    WHEN regexp_matches(url, '[?&]list=') THEN 'playlist' WHEN regexp_matches(url, 'youtube\.com/(channel/UC|@)') THEN 'channel' END AS kind FROM urls""")(lambda v: v.tables["urls"].select("url_id", X.parse_url(F.col("url"))["kind"].alias("kind")))
+    WHEN regexp_matches(url, '[?&]list=') THEN 'playlist' WHEN regexp_matches(url, 'youtube\.com/(channel/UC|@)') THEN 'channel' END AS kind,
+    CASE CAST(url_id AS bigint) % 8 WHEN 0 THEN lpad(url_id, 11, 'a') WHEN 1 THEN lpad(url_id, 11, 'b') WHEN 2 THEN concat('@chan', url_id) WHEN 3 THEN concat('PL', url_id) WHEN 4 THEN concat('UC', url_id) WHEN 7 THEN lpad(url_id, 11, 'c') END AS id FROM urls""")(lambda v: v.tables["urls"].select("url_id", X.parse_url(F.col("url")).alias("u")).select("url_id", "u.kind", "u.id"))
 query("page_urls_rejected", "SELECT page_id FROM pages WHERE NOT regexp_matches(url, 'youtube\\.com|youtu\\.be')")(lambda v: table(v, "pages").filter(X.parse_url(F.col("url"))["kind"].isNull()).select("page_id"))
 query("sliding_window_chunks", f"""SELECT concat(video_id, '__chunk_', lpad(cast(i // 320 AS string), 4, '0')) AS chunk_id, i // 320 AS chunk_index, len(w[i + 1 : i + 400]) AS word_count, array_to_string(w[i + 1 : i + 400], ' ') AS text
     FROM (SELECT video_id, w, unnest(range(0, greatest(len(w), 1), 320)) AS i FROM (SELECT video_id, {_W} AS w FROM transcripts)) WHERE len(w) >= 50 AND (i = 0 OR len(w) - i >= 50)""")(lambda v: X.sliding_chunks(v.tables["transcripts"]).select("chunk_id", F.col("chunk_index").cast("long"), F.col("word_count").cast("long"), "text"))
@@ -36,9 +37,10 @@ query("semantic_chunks")(lambda v: X.semantic_chunks(v.tables["transcripts"]))
 query("sentences")(lambda v: v.tables["transcripts"].select("video_id", F.size(X.sentences(F.col("text"))).alias("n")))
 query("rule_triage", """SELECT video_id, CASE WHEN duration_seconds < 60 THEN 'REJECTED' WHEN channel_id IN ('3', '5') THEN 'ACCEPTED' WHEN list_contains(string_split(lower(title), ' '), '1-urgent') OR list_contains(string_split(lower(title), ' '), '2-high') THEN 'ACCEPTED' ELSE 'NEEDS_LLM' END AS triage_status
     FROM videos""")(lambda v: rule_triage(v.videos, ["1-URGENT", "2-HIGH"], ["3", "5"]).select("video_id", "triage_status"))
-query("triage_replies", """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'KNOWLEDGE' WHEN event_id % 3 = 1 THEN 'NOISE' ELSE 'AMBIGUOUS' END AS category FROM events""")(
-    lambda v: table(v, "events").select("event_id", X.triage_reply(F.when(F.col("event_id") % 3 == 0, F.lit('```json\n{"category": "KNOWLEDGE", "confidence": 0.9}\n```')).when(F.col("event_id") % 3 == 1, F.lit('Sure: {"category": "noise"} done')).otherwise("garbage"))["category"].alias("category"))
-)
+_REPLY = """CASE event_id % 5 WHEN 0 THEN concat('```json\\n{"category": "KNOWLEDGE", "confidence": ', user_id % 10 / 10D, ', "reasoning": "talk ', user_id, '"}\\n```')
+    WHEN 1 THEN concat('Sure: {"category": "noise", "reasoning": "', event_type, '"} done') WHEN 2 THEN concat('{"confidence": 0.', user_id % 9, '}') WHEN 3 THEN '' END"""
+query("triage_replies", """SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'KNOWLEDGE' WHEN 1 THEN 'NOISE' ELSE 'AMBIGUOUS' END AS category, CASE event_id % 5 WHEN 0 THEN user_id % 10 / 10.0::double WHEN 2 THEN user_id % 9 / 10.0::double ELSE 0.0 END::double AS confidence,
+    CASE event_id % 5 WHEN 0 THEN concat('talk ', cast(user_id AS string)) WHEN 1 THEN event_type ELSE '' END AS reasoning FROM events""")(lambda v: table(v, "events").select("event_id", X.triage_reply(F.expr(_REPLY)).alias("r")).select("event_id", "r.*"))
 
 _TOK = "list_filter(string_split_regex(lower({}), '[^a-z0-9]+'), lambda x: x <> '')"
 _PART = "(SELECT chunk_id, video_id, cleaned_text AS text FROM transcript_chunks)"
@@ -52,7 +54,8 @@ def _texts(v) -> DataFrame:
 
 
 query("bm25_search", f"SELECT chunk_id, round(score, 6) AS score FROM ({_BM})")(lambda v: S.bm25(_texts(v), "Ring", None).select("chunk_id", F.round("score", 6).alias("score")))
-query("bm25_phrase", f"""SELECT chunk_id FROM {_PART} WHERE contains(text, 'small ring')""")(lambda v: S.bm25(_texts(v), "small ring", None).select("chunk_id"))
+_PHRASE = _BM.replace(f"len(list_filter({_TOK.format('text')}, lambda x: x = 'ring'))::double AS f", f"len(list_filter(range(1, len({_TOK.format('text')})), lambda i: {_TOK.format('text')}[i] = 'small' AND {_TOK.format('text')}[i + 1] = 'ring'))::double AS f")
+query("bm25_phrase", f"SELECT chunk_id, video_id, round(score, 6) AS score, cast(f AS int) AS f FROM ({_PHRASE})")(lambda v: S.bm25(_texts(v), "small ring", None).withColumn("score", F.round("score", 6)))
 query("search_all_transcripts", f"SELECT video_id, hits FROM (SELECT video_id, count(*) AS hits, min(score) AS best, any_value(upload_date) AS day FROM ({_BM}) JOIN videos USING (video_id) GROUP BY 1 ORDER BY round(best, 9), hits DESC, day DESC, video_id LIMIT 1000000)")(lambda v: S.search_videos(_texts(v), v.videos, "ring", 1_000_000).select("video_id", "hits"))
 query("search_transcript", f"SELECT chunk_id FROM {_PART} WHERE video_id = '4' AND contains(text, 'r')")(lambda v: S.search_transcript(_texts(v), "4", "r").select("chunk_id"))
 _VEC = [((7 * i) % 13 - 6) / 10.0 for i in range(64)]
@@ -113,7 +116,7 @@ query("export_sessions", "SELECT session_id, string_agg(concat('**', upper(role[
 query("export_claim_notes", "SELECT concat('claims/claim ', cast(claim_id AS string), '.md') AS path FROM claims JOIN videos USING (video_id)")(lambda v: export.notes(v, "claims").select("path"))
 query("export_video_packages")(lambda v: export.video_packages(v))
 query("bm25_indexed", f"SELECT chunk_id, round(score, 6) AS score FROM ({_BM})")(lambda v: index.search((index.postings(_texts(v)), index.lengths(_texts(v))), "Ring", None).select("chunk_id", F.round("score", 6).alias("score")))
-query("bm25_indexed_phrase", f"SELECT chunk_id FROM {_PART} WHERE contains(text, 'small ring')")(lambda v: index.search((index.postings(_texts(v)), index.lengths(_texts(v))), "small ring", None).select("chunk_id"))
+query("bm25_indexed_phrase", f"SELECT chunk_id, round(score, 6) AS score FROM ({_PHRASE})")(lambda v: index.search((index.postings(_texts(v)), index.lengths(_texts(v))), "small ring", None).select("chunk_id", F.round("score", 6).alias("score")))
 query("postings", f"SELECT term, count(*) AS chunks, cast(sum(n) AS bigint) AS n FROM (SELECT chunk_id, term, count(*) AS n FROM (SELECT chunk_id, unnest({_TOK.format('text')}) AS term FROM {_PART}) GROUP BY 1, 2) GROUP BY 1")(
     lambda v: index.postings(_texts(v)).groupBy("term").agg(F.count("*").alias("chunks"), F.sum(F.size("positions")).alias("n"))
 )

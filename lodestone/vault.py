@@ -51,15 +51,31 @@ class Vault:
         return self.having(**{name: df.withColumns({c: F.when(F.coalesce(where, F.lit(False)), v).otherwise(F.col(c)) for c, v in columns.items()})})
 
 
+def one_a_key(new: DataFrame, keys: list[str], policy: Mapping[str, str]) -> DataFrame:
+    """Rows of one batch folded to one for each key, by the policy of their columns."""
+    folds = {"add": F.sum, "max": F.max, "min": F.min, "union": lambda c: F.when(F.count(c) > 0, F.array_distinct(F.flatten(F.collect_list(c))))}
+    rest = [c for c in new.columns if c not in keys and policy.get(c) not in folds]
+    folded = [folds[policy[c]](c).cast(new.schema[c].dataType).alias(c) for c in new.columns if c not in keys and c not in rest]
+    if rest:
+        row = F.struct(*rest)
+        folded.append(F.max_by(row, F.to_json(row)).alias("__row"))
+    if not folded:
+        return new.dropDuplicates(keys)
+    out = new.groupBy(*keys).agg(*folded)
+    return out.select(*[F.col(f"__row.{c}").alias(c) if c in rest else F.col(c) for c in new.columns])
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: tuple[str, ...] | list[str], policy: Mapping[str, str] | None = None) -> DataFrame:
     """old with the rows of new, by key, in one full outer join.
 
     policy for a column that new has: replace (default), keep (the first value stays), fill (only a
     non-null, non-empty new value replaces), add, max, min, union (of arrays). Columns that new lacks stay.
+    Rows of new that share a key count as one: add sums them up, max, min and union take all of them, and the other
+    columns come from the row that is the greatest as JSON.
     """
     policy = dict(policy or {})
     keys = list(keys)
-    a, b = old.alias("a"), new.dropDuplicates(keys).withColumn("__new", F.lit(True)).alias("b")
+    a, b = old.alias("a"), one_a_key(new, keys, policy).withColumn("__new", F.lit(True)).alias("b")
     joined = a.withColumn("__old", F.lit(True)).alias("a").join(b, keys, "full_outer")
 
     def merged(c: str) -> Column:

@@ -279,3 +279,34 @@ def test_fuzzy_pairs_query_compares_every_customer(spark):
     names = sorted((r.c_custkey, r.c_name.lower()) for r in spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey", "c_name").collect())
     want = {(a, b) for i, (a, x) in enumerate(names) for b, y in names[i + 1 :] if E.similarity(x, y) >= 0.85}
     assert {(r.guest_id, r.other_id) for r in registry.QUERIES["fuzzy_pairs"](spark, sf).collect()} == want
+
+
+def test_upsert_folds_repeated_keys_of_a_batch(spark):
+    old = spark.createDataFrame([(1, "a", 5), (2, "b", 1)], "id long, name string, n long")
+    new = spark.createDataFrame([(1, "x", 2), (1, "y", 3), (3, "c", 1), (3, "d", 1)], "id long, name string, n long")
+    got = sorted(tuple(r) for r in upsert(old, new, ["id"], {"n": "add", "name": "keep"}).collect())
+    assert got == [(1, "a", 10), (2, "b", 1), (3, "d", 2)]
+
+
+def test_stages_take_nulls_and_empty_tables(spark):
+    from lodestone.operators import stages as P
+
+    states = spark.createDataFrame(
+        [("a", "fr", "un deux", None, "", [("un", 0.0, 2.0), ("deux", 2.0, 2.0)]), ("b", "en", None, None, None, None), ("c", None, "x", None, None, [])],
+        "video_id string, language_iso string, raw_text string, cleaned_text string, translated_text string, segments array<struct<text:string,start:double,duration:double>>",
+    )
+    skips = spark.createDataFrame([("a", 2.0, 3.0), ("a", 9.0, 10.0)], "video_id string, start double, end double")
+    got = {r["video_id"]: r for r in P.sponsor_filter(states, skips).collect()}
+    assert (got["a"]["raw_text"], got["b"]["raw_text"], got["c"]["raw_text"]) == ("un", None, "")
+    got = {r["video_id"]: (r["translated_text"], r["ok"]) for r in P.translate(states, lambda c: F.when(c != "x", F.upper(c))).collect()}
+    assert got == {"a": ("UN DEUX", True), "b": (None, True), "c": (None, False)}
+    got = {r["video_id"]: r["cleaned_text"] for r in P.normalize(states, lambda c: F.lit(None).cast("string"), lambda c: F.lit("")).collect()}
+    assert got == {"a": "un deux", "b": None, "c": "x"}
+    made = P.chunks(states, size=2, overlap=1, least=2)
+    assert {r["video_id"]: r["ok"] for r in P.chunked(states, made).collect()} == {"a": True, "b": True, "c": False}
+    none = states.limit(0)
+    assert P.chunks(none).count() == 0 and P.sponsor_filter(none, skips).count() == 0
+    rows = spark.createDataFrame([(f"k{i:03}", "v", i, f"t{i}") for i in range(45)] + [("n", "w", 0, None)], "chunk_id string, video_id string, chunk_index int, text string")
+    summaries = {r[0]: r[1] for r in P.summarise(rows, lambda c: F.split(c, " ")[0], lambda c: c).collect()}
+    assert summaries == {"v": "\n\n".join(f"t{4 * i}" for i in (0, 1, 10, 11, 2, 3, 4, 5, 6, 7, 8, 9))}
+    assert P.completion(F.lit(1), F.lit(1), 0, 3) is not None
