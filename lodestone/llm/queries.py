@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import op01_tokens, op02_bpe, op03_lines, op04_substrings, op05_simhash, op06_html, op07_decontaminate, op08_secrets, op09_quality, oracles, shared
 from lodestone.llm import op10_language as ppm
+from lodestone.llm import op11_search as lexical
+from lodestone.llm import op12_neighbours as nearest
+from lodestone.llm import op13_negatives as negatives
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +71,21 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.predict(docs, ppm.learn(docs))
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical.build(table(spark, sf_dir, "documents"))
+    found = shared.written(lexical.search(index, table(spark, sf_dir, "benchmark"), k=50), "ranked")
+    index.drop()
+    return found
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_tokens, op2_bpe, op3_lines, op4_substrings, op5_simhash, op6_html, op7_decontaminate, op8_secrets, op9_quality, op10_language)}
-SQL: dict[str, str] = {"op3_lines": oracles.LINES, "op4_substrings": oracles.SUBSTRINGS, "op7_decontaminate": oracles.DECONTAMINATE}
+
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label, positives=5, negatives=3)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_tokens, op2_bpe, op3_lines, op4_substrings, op5_simhash, op6_html, op7_decontaminate, op8_secrets, op9_quality, op10_language, op11_search, op12_neighbours, op13_negatives)}
+SQL: dict[str, str] = {"op3_lines": oracles.LINES, "op4_substrings": oracles.SUBSTRINGS, "op7_decontaminate": oracles.DECONTAMINATE, "op11_search": oracles.SEARCH, "op13_negatives": oracles.NEGATIVES}
