@@ -1,20 +1,35 @@
-"""Cuts the lineage of iterative plans through the folder that all executors share."""
+"""Cuts the lineage of plans through the folder that all executors share."""
 
 from __future__ import annotations
 
+import os
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path below `spark.checkpoint.dir`, as the session has it; below the local temp folder where it is unset and the master is local."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        base = os.path.join(tempfile.gettempdir(), "lodestone-shared")
+    return f"{base.rstrip('/')}/lodestone/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet to the shared folder and read back; it survives lost executors."""
+    path = folder(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """df as a checkpoint in the folder of `spark.checkpoint.dir`; where a local session names none, in one of its own."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir names no shared folder")
-            folder = tempfile.mkdtemp(prefix="lodestone-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(folder(df.sparkSession, "checkpoints"))
     return df.checkpoint()

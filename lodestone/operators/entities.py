@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators import corroboration
 from lodestone.ship import ship
 from lodestone.vault import Vault
 
@@ -120,51 +121,8 @@ def merge_guests(vault: Vault, plan: DataFrame) -> Vault:
 
 
 def claim_clusters(claims: DataFrame, embed: Callable[[list[str]], list[list[float]]], cutoff: float = 0.85, neighbours: int = 5) -> DataFrame:
-    """(claim_id, cluster_id): greedy clusters per topic in order of claim ids.
-
-    A claim joins the cluster of its nearest earlier claim from another video with a similarity of at least the
-    cutoff (of the `neighbours` nearest), else opens one named after itself. Topics are the blocks; each is folded
-    by one task, which embeds and compares each distinct text once.
-    """
-    import numpy as np
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("claim_id", kind="stable").reset_index(drop=True)
-        text, texts = pd.factorize(pdf["claim_text"].fillna(""))
-        v = np.array(embed(list(texts)), float)
-        norm = np.linalg.norm(v, axis=1, keepdims=True)
-        v = v / np.where(norm > 0, norm, 1)
-        order = np.argsort(text, kind="stable")
-        claims_of = np.split(order, np.cumsum(np.bincount(text))[:-1])
-
-        def nearest(t: int) -> np.ndarray:
-            """Claims with a similarity to the text of at least the cutoff, nearest first, then in order of ids."""
-            s = np.round(v @ v[t], 12)
-            near = np.flatnonzero(s >= cutoff)
-            found = np.concatenate([claims_of[k] for k in near]) if len(near) else near
-            return found[np.lexsort((found, -s[text[found]]))]
-
-        videos = pd.factorize(pdf["video_id"], use_na_sentinel=False)[0].tolist()
-        ids, cluster = pdf["claim_id"].tolist(), [""] * len(pdf)
-        joins = [-1] * len(pdf)
-        for t, own in enumerate(claims_of):
-            near = nearest(t).tolist()
-            for i in own.tolist():
-                seen = 0
-                for j in near:
-                    if videos[j] == videos[i]:
-                        continue
-                    if j < i:
-                        joins[i] = j
-                        break
-                    seen += 1
-                    if seen == neighbours:
-                        break
-        for i, j in enumerate(joins):
-            cluster[i] = f"c{ids[i]}" if j < 0 else cluster[j]
-        return pd.DataFrame({"claim_id": ids, "cluster_id": cluster})
-
-    return claims.select("claim_id", "video_id", "claim_text", "topic").groupBy("topic").applyInPandas(fold, "claim_id long, cluster_id string")
+    """(claim_id, cluster_id): clusters of `corroboration`, each topic by itself."""
+    return corroboration.clusters(claims.drop("cluster_id"), embed, cutoff, neighbours, by="topic")
 
 
 def bridge_pairs(topics: DataFrame, seed: int = 0, limit: int = 5) -> DataFrame:
