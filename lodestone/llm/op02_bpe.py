@@ -7,8 +7,10 @@ position. Decoding looks each id up in the id-to-piece table and joins the piece
 A word is a run of non-space characters with the one space before it, if any. A byte-level
 BPE with the usual pattern (contractions, letters, numbers, others, white space) never makes a
 token over the end of such a word, so ids of words joined in order are the ids of the text.
-White space apart from that (line ends, several spaces) is encoded by the block itself. A text
-with white space other than ASCII's is encoded whole by the library.
+White space apart from that (line ends, several spaces) is encoded by the block itself. The
+vocabulary's added tokens are cut out first, as the library does, so that each stretch between
+them is encoded by itself and white space before one is white space at an end. A stretch with
+white space other than ASCII's is encoded whole by the library.
 
 Defined results: a null text is empty and has no ids; repeated rows are encoded alike, each
 for itself; an empty table gives an empty result; other columns are ignored.
@@ -38,6 +40,25 @@ _OTHER_SPACE = re.compile(r"[\t\r\x0b\x0c]|  | \n|\n |\n\n|\A[ \n]|[ \n]\Z")
 _LOADED: dict[str, Encoder] = {}
 
 
+def added_tokens(path: str) -> re.Pattern[str] | None:
+    """Finds the added tokens of a vocabulary, the longest first; None if there are none."""
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)["added_tokens"]
+    if any(t.get(flag) for t in found for flag in ("lstrip", "rstrip", "single_word")):
+        raise ValueError("added tokens that take the white space beside them, or whole words only, are not supported")
+    names = sorted((t["content"] for t in found), key=lambda x: (-len(x), x))
+    return re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
+
+
+def _stretches(texts: list[str], added: re.Pattern[str] | None) -> Iterator[str]:
+    """The parts of texts between added tokens."""
+    for text in texts:
+        if added is None or not added.search(text):
+            yield text
+        else:
+            yield from added.split(text)[0::2]
+
+
 def _alphabet() -> dict[str, int]:
     """The printable character that stands for each byte in byte-level vocabularies."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -63,6 +84,7 @@ class Encoder:
         for piece, i in [*spec["model"]["vocab"].items(), *((t["content"], t["id"]) for t in spec["added_tokens"])]:
             known = all(c in alphabet for c in piece)
             self.pieces[i] = bytes(alphabet[c] for c in piece) if known else piece.encode()
+        self.added: dict[str, int] = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.opens = np.array([p[:1] == b" " for p in self.pieces])
         self.decimals = [str(i) for i in range(size)]
         self.newline = self.ids("\n")
@@ -107,7 +129,7 @@ def _plain(text: str) -> bool:
     return not _OTHER_SPACE.search(text)
 
 
-def _distinct(texts: list[str]) -> tuple[set[str], set[str]]:
+def _distinct(texts: Iterator[str]) -> tuple[set[str], set[str]]:
     """Words without and with a space before them."""
     bare: set[str] = set()
     spaced: set[str] = set()
@@ -150,9 +172,10 @@ def _encoded(docs: DataFrame, path: str, id_column: str, text_column: str, wante
     named = docs.select(docs[id_column].alias("doc_id"), docs[text_column].cast("string").alias("text"))
     buckets = shared.partitions(docs.sparkSession)
     blocks = shared.pack(named, ["doc_id", "text"], "words")
+    added = added_tokens(path)
 
     def emit(table: pa.Table) -> Iterator[tuple[int, bytes]]:
-        for bucket, words in _keys(*_distinct(table["text"].fill_null("").to_pylist()), buckets).items():
+        for bucket, words in _keys(*_distinct(_stretches(table["text"].fill_null("").to_pylist(), added)), buckets).items():
             yield bucket, zstandard.compress("\n".join(words).encode(), 3)
 
     def answer(_: list[int], messages: list[bytes]) -> list[bytes]:
@@ -171,7 +194,7 @@ def _encoded(docs: DataFrame, path: str, id_column: str, text_column: str, wante
         texts = table["text"].fill_null("").to_pylist()
         bare: dict[str, bytes] = {}
         spaced: dict[str, bytes] = {}
-        for bucket, words in _keys(*_distinct(texts), buckets).items():
+        for bucket, words in _keys(*_distinct(_stretches(texts, added)), buckets).items():
             lengths, ids = (shared.unsqueeze(p, "<u4") for p in shared.split_parts(replies[bucket]))
             data, ends = ids.tobytes(), (np.cumsum(lengths, dtype=np.int64) * 4).tolist()
             for word, a, b in zip(words, [0, *ends], ends):
@@ -190,19 +213,25 @@ def _encoded(docs: DataFrame, path: str, id_column: str, text_column: str, wante
 
         newline = np.array(encoder.newline, "<u4").tobytes()
         columns: dict[str, list] = {c: [] for c in ("ids", "n_tokens", "ids_sha256", "decoded", "decoded_sha256")}
-        for text in texts:
+
+        def stretch(text: str) -> bytes:
             if not text:
-                data = b""
-            elif _ODD_SPACE.search(text):
-                data = np.array(encoder.ids(text), "<u4").tobytes()
-            elif _plain(text):
+                return b""
+            if _ODD_SPACE.search(text):
+                return np.array(encoder.ids(text), "<u4").tobytes()
+            if _plain(text):
                 lines = []
                 for line in text.split("\n"):
                     words = line.split(" ")
                     lines.append(bare[words[0]] + b"".join([spaced[w] for w in words[1:]]))
-                data = newline.join(lines)
+                return newline.join(lines)
+            return b"".join(map(of, _UNITS.findall(text)))
+
+        for text in texts:
+            if added is None or not added.search(text):
+                data = stretch(text)
             else:
-                data = b"".join(map(of, _UNITS.findall(text)))
+                data = b"".join(np.array([encoder.added[part]], "<u4").tobytes() if n % 2 else stretch(part) for n, part in enumerate(added.split(text)))
             ids = np.frombuffer(data, "<u4").tolist()
             decoded = encoder.decode(ids)
             columns["n_tokens"].append(len(ids))

@@ -34,6 +34,25 @@ def test_bpe_equals_library(spark):
     assert {r.doc_id: r.text for r in back.collect()} == {i: r.decoded for i, r in got.items()}
 
 
+def test_bpe_of_random_strings(spark):
+    """Added tokens after every kind of white space, and random strings, against the library."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    own = Tokenizer.from_file(path)
+    own.no_truncation(), own.no_padding()
+    rng = random.Random(8)
+    space = [" ", "  ", "\n", "\n\n", "\t", "\r\n", " \n", "\n ", "\x0b", "\x0c", "\xa0", "\u3000", "\u2028", "\x1c", "\x85"]
+    parts = [*space, "<|endoftext|>", "<|endoftext|>", "<|endoftext", "|>", "a", "It's", "we'll", "12", "é", "漢", "\U0001f600", "!?", "\u0301"]
+    texts = [f"a{s}{t}{'<|endoftext|>'}{u}b" for s in space for t in ("", " ", "\n") for u in ("", *space)]
+    texts += ["".join(rng.choices(parts, k=rng.randrange(1, 14))) for _ in range(20_000)]
+    got = {r.doc_id: r.ids for r in op02_bpe.encode_documents(frame(spark, texts), path).select("doc_id", "ids").collect()}
+    wrong = [t for i, (t, e) in enumerate(zip(texts, own.encode_batch(texts, add_special_tokens=False))) if got[i] != e.ids]
+    assert not wrong, (len(wrong), wrong[:3])
+
+
 def test_bpe_empty_table(spark):
     assert op02_bpe.encode_digests(frame(spark, []).limit(0), P.path("byte_bpe_50k.json")).count() == 0
 
