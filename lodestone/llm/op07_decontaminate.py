@@ -116,7 +116,16 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, bound: int = B
         lambda s: s["count"].cast("long"),
     )
     merged = merged.select("rid", "items", reach.alias("n_hit"), F.col("at.start").alias("starts"), F.col("at.size").alias("sizes"))
-    return rows.select("rid", "doc_id", "n_words", *(["row"] if carry else [])).join(merged, "rid", "left").select(
+    plain = ["rid", "doc_id", "n_words", *(["row"] if carry else [])]
+    facts = ["items", "n_hit", "starts", "sizes"]
+    if "hits" in rows.columns:
+        # only rows with a hashed hit meet their verified windows: other texts are not moved
+        noisy = rows.filter(F.size("hits") > 0).select(*plain).join(merged, "rid", "left")
+        quiet = rows.filter(F.size("hits") == 0).select(*plain, *[F.lit(None).cast(merged.schema[c].dataType).alias(c) for c in facts])
+        joined = noisy.unionByName(quiet)
+    else:
+        joined = rows.select(*plain).join(merged, "rid", "left")
+    return joined.select(
         "doc_id",
         "n_words",
         F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
