@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.cut import folder
 from lodestone.functions import text as X
 from lodestone.operators import corroboration as C
 from lodestone.plans import vector_index as V
 from lodestone.registry import query
 from lodestone.registry_text import table
+from lodestone.schemas import STAGES
+from lodestone.sources import discovery as D
+from lodestone.streaming import machine as M
 
 #: Cells of the embeddings' index and how many of them a query opens: recall at 15 is over 0.9 on the test tables.
 CELLS, PROBES = 32, 22
@@ -52,3 +56,78 @@ def search_texts(rows: DataFrame, id_column: str, text_column: str, texts: DataF
 query("summary_search")(lambda v: search_texts(v.tables["transcripts"].select("video_id", "language_iso", "text"), "video_id", "text", table(v, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), 5, F.col("language_iso") == "en"))
 query("claim_search")(lambda v: search_texts(v.tables["claims"].select("claim_id", "confidence", "claim_text"), "claim_id", "claim_text", table(v, "part").filter("p_partkey % 20 = 0").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("query")), 10, F.col("confidence") >= 0.5))
 query("claim_corroboration")(lambda v: C.corroborated(v.tables["claims"], C.clusters(v.tables["claims"].drop("cluster_id"), X.bag_embedder), v.videos).select("claim_id", "cluster_id", "corroboration_count"))
+
+
+# --- streams: the events table as the work and control of scans over videos -------------------------------------------------
+
+#: Which kind of event stands for which kind of work; each fortieth event is a control event.
+_KIND = """CASE WHEN event_id % 40 = 0 THEN CASE event_id // 40 % 5 WHEN 0 THEN 'PAUSED' WHEN 3 THEN 'STOPPING' ELSE 'RUNNING' END
+    WHEN event_type = 'click' THEN 'claim' WHEN event_type = 'view' THEN 'claim' WHEN event_type = 'purchase' THEN 'done' WHEN event_type = 'error' THEN 'fail'
+    WHEN event_id % 37 = 1 THEN 'reject' WHEN event_id % 11 = 1 THEN 'wait' WHEN event_id % 3 = 1 THEN 'release' ELSE 'done' END"""
+_EVENTS = f"""SELECT event_id, ts AS moment, CASE WHEN event_id % 40 <> 0 THEN concat('v', cast(user_id AS string)) END AS video_id, concat('s', cast(CASE WHEN event_id % 40 = 0 THEN event_id // 200 % 2 ELSE user_id % 2 * (event_id % 5 + 1) // 5 END AS string)) AS scan_id, {_KIND} AS kind"""
+
+
+def machine_events(v) -> DataFrame:
+    """(event_id, at, video_id, scan_id, kind) of the events table."""
+    sql = _EVENTS.replace("event_id // 200 % 2", "event_id div 200 % 2").replace("event_id // 40", "event_id div 40").replace("(event_id % 5 + 1) // 5", "(event_id % 5 + 1) div 5")
+    table(v, "events").createOrReplaceTempView("machine_source")
+    return v.spark.sql(f"{sql} FROM machine_source").withColumn("at", F.col("moment").cast("timestamp")).drop("moment")
+
+
+def stage_stream(v) -> DataFrame:
+    """The whole table in four files by time, streamed a file a batch, with the stream stopped and started again after two."""
+    events = machine_events(v)
+    cuts = [None, *events.agg(F.percentile_approx(F.unix_micros("at"), [0.3, 0.55, 0.8])).first()[0], None]
+    base = folder(v.spark, "stage_stream")
+    for n, (low, high) in enumerate(zip(cuts, cuts[1:])):
+        micros = F.unix_micros("at")
+        part = events.filter((F.lit(True) if low is None else micros >= low) & (F.lit(True) if high is None else micros < high))
+        part.coalesce(1).write.mode("append").parquet(f"{base}/in")
+        if n in (1, 3):
+            M.run(M.results(v.spark.readStream.schema(M.EVENTS).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")), f"{base}/out", f"{base}/checkpoint")
+    return v.spark.read.schema(M.RESULTS).parquet(f"{base}/out").filter("kind <> 'timer'").select("event_id", "video_id", "scan_id", "kind", "result", "stage", "owner", "retries", "freed")
+
+
+_STAGES = "[" + ", ".join(f"'{s}'" for s in STAGES) + "]"
+query("stage_stream", f"""SELECT event_id, video_id, scan_id, kind, result, stage, owner, retries, freed FROM (
+    WITH RECURSIVE e AS ({_EVENTS} FROM events), c AS (SELECT event_id AS cid, moment AS cat, scan_id, kind AS status FROM e WHERE event_id % 40 = 0),
+    w AS (SELECT e.*, c.status FROM (SELECT * FROM e WHERE event_id % 40 <> 0) e ASOF LEFT JOIN c ON e.scan_id = c.scan_id AND e.moment > c.cat),
+    x AS (SELECT w.*, n.cat, n.status AS then_status FROM w ASOF LEFT JOIN (SELECT * FROM c WHERE status <> 'PAUSED') n ON w.scan_id = n.scan_id AND w.moment < n.cat),
+    p AS (SELECT event_id, video_id, scan_id, kind, CASE WHEN status = 'PAUSED' THEN cat ELSE moment END AS moment,
+        kind <> 'claim' OR CASE status WHEN 'PAUSED' THEN then_status = 'RUNNING' WHEN 'STOPPING' THEN false ELSE true END AS passed FROM x WHERE coalesce(status, '') <> 'PAUSED' OR cat IS NOT NULL),
+    o AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY moment, event_id) AS rn FROM p),
+    r AS (SELECT DISTINCT video_id, 0::bigint AS rn, NULL::bigint AS event_id, '' AS scan_id, '' AS kind, '' AS result, 1 AS pos, NULL::string AS owner, NULL::timestamp AS until, 0 AS retries, false AS freed FROM o
+        UNION ALL SELECT video_id, rn, event_id, scan_id, kind, result,
+            CASE result WHEN 'ADVANCED' THEN pos + 1 WHEN 'FINISHED' THEN 13 WHEN 'REJECTED' THEN 13 ELSE pos END,
+            CASE WHEN result = 'CLAIMED' THEN scan_id WHEN result IN ('FINISHED', 'REJECTED', 'GAVE_UP', 'WAITING', 'RELEASED') THEN NULL ELSE own END,
+            CASE WHEN result IN ('CLAIMED', 'ADVANCED', 'RETRY') THEN moment + INTERVAL 6 HOUR ELSE until END,
+            CASE WHEN result IN ('ADVANCED', 'FINISHED', 'REJECTED', 'GAVE_UP') THEN 0 WHEN result = 'RETRY' THEN retries + 1 ELSE retries END, freed
+        FROM (SELECT *, CASE WHEN NOT passed THEN 'STOPPED' WHEN kind = 'claim' THEN CASE WHEN pos = 13 THEN 'ENDED' WHEN own IS NULL OR own = scan_id THEN 'CLAIMED' ELSE 'REFUSED' END
+            WHEN coalesce(own <> scan_id, true) THEN 'IGNORED' WHEN kind = 'done' THEN CASE WHEN pos = 12 THEN 'FINISHED' ELSE 'ADVANCED' END
+            WHEN kind = 'fail' THEN CASE WHEN retries = 2 THEN 'GAVE_UP' ELSE 'RETRY' END WHEN kind = 'reject' THEN 'REJECTED' WHEN kind = 'wait' THEN 'WAITING' ELSE 'RELEASED' END AS result
+            FROM (SELECT r.video_id, o.rn, o.event_id, o.scan_id, o.kind, o.moment, o.passed, r.pos, r.retries, r.until, coalesce(r.owner IS NOT NULL AND r.until <= o.moment, false) AS freed, CASE WHEN r.until <= o.moment THEN NULL ELSE r.owner END AS own FROM r JOIN o ON o.video_id = r.video_id AND o.rn = r.rn + 1)))
+    SELECT event_id, video_id, scan_id, kind, result, {_STAGES}[pos] AS stage, owner, retries, freed FROM r WHERE rn > 0)""")(stage_stream)
+
+
+def discovery_stream(v) -> DataFrame:
+    """Listings written from the videos in three scans, each with ids of the one before and a share of torn lines, streamed in two runs."""
+    base = folder(v.spark, "discovery")
+    v.spark.dataSource.register(D.DiscoverySource)
+    k = F.col("video_id").cast("long")
+    line = F.to_json(F.struct(F.col("video_id").alias("id"), "title", "channel_id", F.date_format("upload_date", "yyyyMMdd").alias("upload_date")))
+    lines = v.videos.select(k.alias("k"), F.when(k % 50 == 3, F.substring(line, 1, 25)).otherwise(line).alias("value"))
+    known = v.videos.filter(k % 4 == 0).select("video_id")
+    marks = v.videos.filter(k % 4 == 0).groupBy("channel_id").agg(F.min("upload_date").alias("mark"))
+    for n in range(3):
+        lines.filter((F.col("k") % 3 == n) | (F.col("k") % 3 == max(n - 1, 0))).select("value").write.text(f"{base}/in/scan={n}")
+        if n:
+            stream = v.spark.readStream.format("vault_discovery").option("progress", f"{base}/progress").load(f"{base}/in")
+            D.discovered(stream, known, marks).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return v.spark.read.parquet(f"{base}/out").select("video_id", "title", "channel_id", "upload_date", "problem", "raw", "is_new")
+
+
+query("discovery_stream", """SELECT video_id, title, v.channel_id, upload_date, NULL AS problem, NULL AS raw, video_id::bigint % 4 <> 0 AS is_new FROM videos v
+    JOIN (SELECT channel_id, min(upload_date) AS mark FROM videos WHERE video_id::bigint % 4 = 0 GROUP BY channel_id) m ON v.channel_id = m.channel_id WHERE video_id::bigint % 50 <> 3 AND upload_date >= mark
+    UNION ALL SELECT video_id, title, channel_id, upload_date, NULL, NULL, true FROM videos WHERE video_id::bigint % 50 <> 3 AND channel_id NOT IN (SELECT channel_id FROM videos WHERE video_id::bigint % 4 = 0)
+    UNION ALL SELECT NULL, NULL, NULL, NULL, 'no_json', substring('{"id":"' || video_id || '","title":"' || title || '"', 1, 25), NULL FROM videos, (SELECT unnest([0, 1]) AS time) WHERE video_id::bigint % 50 = 3
+        AND (video_id::bigint % 3 < 2 OR time = 0)""")(discovery_stream)
