@@ -35,8 +35,10 @@ from lodestone.ship import ship
 
 # Fixed pattern: words with the space before them, then white space as the usual byte-level pattern cuts it.
 _UNITS = re.compile(r" ?[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+(?![^ \t\n\r\x0b\x0c])|[ \t\n\r\x0b\x0c]")
-_ODD_SPACE = re.compile(r"[^\S \t\n\r\x0b\x0c]")
-_OTHER_SPACE = re.compile(r"[\t\r\x0b\x0c]|  | \n|\n |\n\n|\A[ \n]|[ \n]\Z")
+#: White space outside ASCII's usual kinds, as the pattern has it.
+_ODD_SPACE = [c for c in map(chr, range(0x10000)) if c.isspace() and c not in " \t\n\r\x0b\x0c"]
+#: What keeps a text from being words apart by single spaces and line ends.
+_OTHER_SPACE = ["\t", "\r", "\x0b", "\x0c", "  ", " \n", "\n ", "\n\n"]
 _LOADED: dict[str, Encoder] = {}
 
 
@@ -120,13 +122,24 @@ class Encoder:
                     out[i] = run
         return out
 
+    def both(self, ids: list[int]) -> tuple[str, bytes]:
+        """ids in decimal, and the bytes of their pieces."""
+        if len(ids) == 1:
+            return self.decimals[ids[0]], self.pieces[ids[0]]
+        return ",".join([self.decimals[i] for i in ids]), b"".join([self.pieces[i] for i in ids])
+
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.pieces.__getitem__, ids)).decode("utf-8", "replace")
 
 
+def _odd(text: str) -> bool:
+    """Whether there is white space that words are not cut at."""
+    return any(c in text for c in (_ODD_SPACE[:4] if text.isascii() else _ODD_SPACE))
+
+
 def _plain(text: str) -> bool:
     """Single spaces and line ends between words only."""
-    return not _OTHER_SPACE.search(text)
+    return not any(c in text for c in _OTHER_SPACE) and text[:1] not in ("", " ", "\n") and text[-1] not in " \n"
 
 
 def _distinct(texts: Iterator[str]) -> tuple[set[str], set[str]]:
@@ -134,7 +147,7 @@ def _distinct(texts: Iterator[str]) -> tuple[set[str], set[str]]:
     bare: set[str] = set()
     spaced: set[str] = set()
     for text in texts:
-        if not text or _ODD_SPACE.search(text):
+        if not text or _odd(text):
             continue
         if _plain(text):
             for line in text.split("\n"):
@@ -192,53 +205,60 @@ def _encoded(docs: DataFrame, path: str, id_column: str, text_column: str, wante
     def finish(table: pa.Table, replies: dict[int, bytes]) -> pa.Table:
         encoder = Encoder.of(path)
         texts = table["text"].fill_null("").to_pylist()
-        bare: dict[str, bytes] = {}
-        spaced: dict[str, bytes] = {}
+        # of each distinct word its ids in decimal and, by the id-to-piece table, its bytes: both are joined back by position
+        bare: dict[str, str] = {}
+        spaced: dict[str, str] = {}
+        bare_bytes: dict[str, bytes] = {}
+        spaced_bytes: dict[str, bytes] = {}
         for bucket, words in _keys(*_distinct(_stretches(texts, added)), buckets).items():
             lengths, ids = (shared.unsqueeze(p, "<u4") for p in shared.split_parts(replies[bucket]))
-            data, ends = ids.tobytes(), (np.cumsum(lengths, dtype=np.int64) * 4).tolist()
+            own, ends = ids.tolist(), np.cumsum(lengths, dtype=np.int64).tolist()
             for word, a, b in zip(words, [0, *ends], ends):
+                decimal, data = encoder.both(own[a:b])
                 if word[:1] == " ":
-                    spaced[word[1:]] = data[a:b]
+                    spaced[word[1:]], spaced_bytes[word[1:]] = decimal, data
                 else:
-                    bare[word] = data[a:b]
-        blank: dict[str, bytes] = {}
+                    bare[word], bare_bytes[word] = decimal, data
+        blank: dict[str, tuple[str, bytes]] = {}
 
-        def of(unit: str) -> bytes:
+        def of(unit: str) -> tuple[str, bytes]:
             if not unit.isspace():
-                return spaced[unit[1:]] if unit[0] == " " else bare[unit]
+                return (spaced[unit[1:]], spaced_bytes[unit[1:]]) if unit[0] == " " else (bare[unit], bare_bytes[unit])
             if unit not in blank:
-                blank[unit] = np.array(encoder.ids(unit), "<u4").tobytes()
+                blank[unit] = encoder.both(encoder.ids(unit))
             return blank[unit]
 
-        newline = np.array(encoder.newline, "<u4").tobytes()
-        columns: dict[str, list] = {c: [] for c in ("ids", "n_tokens", "ids_sha256", "decoded", "decoded_sha256")}
+        newline, line_end = encoder.both(encoder.newline)
+        newline = f",{newline},"
 
-        def stretch(text: str) -> bytes:
+        def stretch(text: str) -> tuple[str, bytes]:
             if not text:
-                return b""
-            if _ODD_SPACE.search(text):
-                return np.array(encoder.ids(text), "<u4").tobytes()
+                return "", b""
+            if _odd(text):
+                return encoder.both(encoder.ids(text))
             if _plain(text):
-                lines = []
+                decimals, data = [], []
                 for line in text.split("\n"):
-                    words = line.split(" ")
-                    lines.append(bare[words[0]] + b"".join([spaced[w] for w in words[1:]]))
-                return newline.join(lines)
-            return b"".join(map(of, _UNITS.findall(text)))
+                    first, *rest = line.split(" ")
+                    decimals.append(",".join([bare[first], *map(spaced.__getitem__, rest)]))
+                    data.append(b"".join([bare_bytes[first], *map(spaced_bytes.__getitem__, rest)]))
+                return newline.join(decimals), line_end.join(data)
+            parts = [of(unit) for unit in _UNITS.findall(text)]
+            return ",".join([d for d, _ in parts]), b"".join([x for _, x in parts])
 
+        columns: dict[str, list] = {c: [] for c in ("ids", "n_tokens", "ids_sha256", "decoded", "decoded_sha256")}
         for text in texts:
             if added is None or not added.search(text):
-                data = stretch(text)
+                decimals, data = stretch(text)
             else:
-                data = b"".join(np.array([encoder.added[part]], "<u4").tobytes() if n % 2 else stretch(part) for n, part in enumerate(added.split(text)))
-            ids = np.frombuffer(data, "<u4").tolist()
-            decoded = encoder.decode(ids)
-            columns["n_tokens"].append(len(ids))
-            columns["ids_sha256"].append(hashlib.sha256(",".join(map(encoder.decimals.__getitem__, ids)).encode()).hexdigest())
+                parts = [encoder.both([encoder.added[part]]) if n % 2 else stretch(part) for n, part in enumerate(added.split(text))]
+                decimals, data = ",".join([d for d, _ in parts if d]), b"".join([x for _, x in parts])
+            decoded = data.decode("utf-8", "replace")
+            columns["n_tokens"].append(decimals.count(",") + 1 if decimals else 0)
+            columns["ids_sha256"].append(hashlib.sha256(decimals.encode()).hexdigest())
             columns["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
             if wanted:
-                columns["ids"].append(ids)
+                columns["ids"].append(list(map(int, decimals.split(","))) if decimals else [])
                 columns["decoded"].append(decoded)
         out = {"doc_id": table["doc_id"], "n_tokens": pa.array(columns["n_tokens"], pa.int64()), "ids_sha256": pa.array(columns["ids_sha256"], pa.string()), "decoded_sha256": pa.array(columns["decoded_sha256"], pa.string())}
         if wanted:
