@@ -51,11 +51,14 @@ class _Slice(InputPartition):
 
 
 def _slices(files: list[tuple[str, int]], size: int) -> list[_Slice]:
-    return [_Slice(name, at, min(at + size, length)) for name, length in files for at in range(0, length, size)]
+    found = [_Slice(name, at, min(at + size, length)) for name, length in files for at in range(0, length, size)]
+    return found or [_Slice("", 0, 0)]  # a source has a partition at least
 
 
 def _lines(folder: str, part: _Slice) -> Iterator[tuple[str, int, str]]:
     """(file, byte, line) of lines that begin within the slice."""
+    if part.stop <= part.start:
+        return
     system, base = _opened(folder)
     with io.BufferedReader(system.open_input_file(posixpath.join(base, part.file)), 1 << 20) as f:
         at = part.start
