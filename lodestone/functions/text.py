@@ -18,8 +18,8 @@ URLS: list[tuple[str, str]] = [
     ("video", r"youtu\.be/([A-Za-z0-9_-]{11})"),
     ("video", r"youtube\.com/(?:shorts|embed|live)/([A-Za-z0-9_-]{11})"),
     ("playlist", r"[?&]list=([A-Za-z0-9_-]+)"),
-    ("channel", r"youtube\.com/channel/(UC[A-Za-z0-9_-]+)"),
-    ("channel", r"youtube\.com/(@[A-Za-z0-9_.-]+)"),
+    ("channel", r"youtube\.com/@([A-Za-z0-9_.-]+)"),
+    ("channel", r"youtube\.com/channel/([A-Za-z0-9_-]+)"),
     ("channel", r"youtube\.com/(?:c|user)/([A-Za-z0-9_.-]+)"),
 ]
 #: Patterns of fillers, removed in this order without regard to case.
@@ -31,9 +31,11 @@ LANGUAGES = {"en": "English", "es": "Spanish", "fr": "French", "de": "German", "
 
 
 def parse_url(url: Column) -> Column:
-    """struct(kind, id): what a URL points at; both null for anything else (to be set aside)."""
+    """struct(kind, id): what a URL, or a bare @handle, points at (handles without their @); both null for anything else (to be set aside)."""
+    url = F.trim(url)
     hosts = url.rlike(r"(?:youtube\.com|youtu\.be)")
-    kind = id_ = F.lit(None).cast("string")
+    bare = F.regexp_extract(url, r"^@([A-Za-z0-9_.-]+)", 1)
+    kind, id_ = F.when(bare != "", F.lit("channel")), F.when(bare != "", bare)
     for name, pattern in reversed(URLS):
         found = F.regexp_extract(url, pattern, 1)
         hit = hosts & (found != "")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import bisect
 import difflib
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.cut import stored
 from lodestone.operators import corroboration
 from lodestone.ship import ship
 from lodestone.vault import Vault
@@ -94,13 +96,61 @@ def fuzzy_pairs(guests: DataFrame, cutoff: float = 0.85) -> DataFrame:
     return pairs.withColumn("ratio", ratio("n", "n2")).filter(F.col("ratio") >= cutoff).select("guest_id", "mention_count", "other_id", "ratio")
 
 
-def fuzzy_merge_plan(guests: DataFrame, cutoff: float = 0.85) -> DataFrame:
-    """(id, survivor): each guest goes once, to the most mentioned guest like it that itself stays."""
-    pairs = fuzzy_pairs(guests, cutoff)
-    gone = pairs.select(F.col("other_id").alias("guest_id")).distinct()
-    firm = pairs.join(gone, "guest_id", "left_anti")
-    best = firm.groupBy("other_id").agg(F.max_by("guest_id", F.struct("ratio", "mention_count", -F.col("guest_id"))).alias("survivor"))
-    return best.select(F.col("other_id").alias("id"), "survivor")
+def merge_plan(guests: DataFrame, pairs: DataFrame, most: int = 4) -> DataFrame:
+    """(id, survivor): what merging guests one by one in order (guest_id, mention_count; most mentioned first, then by id) leaves.
+
+    In that order each guest that is still there takes in those still there among its `most` best partners
+    (guest_id, other_id, ratio), either way round, ties by id. So a guest stays unless an earlier one that stays lists it, and goes to the
+    first that does: the lexicographically first independent set. It is found in rounds: guests all of whose earlier listers are decided get
+    decided, so there are as many rounds as the longest chain of undecided listers, and only links among undecided guests are kept.
+    """
+    order = guests.select("guest_id", F.struct(-F.coalesce("mention_count", F.lit(0)), F.col("guest_id")).alias("place"))
+    both = pairs.select("guest_id", "other_id", "ratio").unionByName(pairs.select(F.col("other_id").alias("guest_id"), F.col("guest_id").alias("other_id"), "ratio")).filter("guest_id <> other_id")
+    both = both.groupBy("guest_id", "other_id").agg(F.max("ratio").alias("ratio"))
+    best = both.withColumn("__n", F.row_number().over(Window.partitionBy("guest_id").orderBy(F.desc("ratio"), "other_id"))).filter(F.col("__n") <= most)
+    listed = best.join(order, "guest_id").join(order.select(F.col("guest_id").alias("other_id"), F.col("place").alias("other_place")), "other_id")
+    links = stored(listed.filter("place < other_place").select("guest_id", "other_id", "place"), "merge_links")
+    open_links, decided = links, None
+    while not open_links.isEmpty():
+        later = open_links.select(F.col("other_id").alias("guest_id")).distinct()
+        # those that no undecided guest lists stay; whom they list goes
+        stays = open_links.select("guest_id").distinct().join(later, "guest_id", "left_anti")
+        goes = open_links.join(stays, "guest_id", "left_semi").select(F.col("other_id").alias("guest_id")).distinct()
+        found = stored(stays.withColumn("stays", F.lit(True)).unionByName(goes.withColumn("stays", F.lit(False))), "merge_round")
+        decided = found if decided is None else decided.unionByName(found)
+        done = found.select("guest_id")
+        open_links = stored(open_links.join(done, "guest_id", "left_anti").join(done.withColumnRenamed("guest_id", "other_id"), "other_id", "left_anti"), "merge_links")
+    if decided is None:
+        return links.select(F.col("other_id").alias("id"), F.col("guest_id").alias("survivor"))
+    # a guest that goes is in nobody's way; what it listed may stay after all, so guests without a decision stay
+    gone = decided.filter("NOT stays").select("guest_id").distinct()
+    firm = links.join(gone, "guest_id", "left_anti").join(gone.withColumnRenamed("guest_id", "other_id"), "other_id", "left_semi")
+    return firm.groupBy("other_id").agg(F.min_by("guest_id", "place").alias("survivor")).select(F.col("other_id").alias("id"), "survivor")
+
+
+def sequential_plan(guests: list[tuple[int, int]], pairs: list[tuple[int, int, float]], most: int = 4) -> dict[int, int]:
+    """The same, guest by guest (guest_id, mention_count): what merge_plan must equal."""
+    ratio: dict[int, dict[int, float]] = {}
+    for a, b, r in pairs:
+        for x, y in ((a, b), (b, a)):
+            if x != y:
+                ratio.setdefault(x, {})[y] = max(r, ratio.get(x, {}).get(y, r))
+    there, out = {g for g, _ in guests}, {}
+    merged: set[int] = set()
+    for guest, _ in sorted(guests, key=lambda g: (-g[1], g[0])):
+        if guest in merged:
+            continue
+        there.discard(guest)
+        for other in sorted(ratio.get(guest, {}), key=lambda o: (-ratio[guest][o], o))[:most]:
+            if other in there and other not in merged:
+                merged.add(other)
+                out[other] = guest
+    return out
+
+
+def fuzzy_merge_plan(guests: DataFrame, cutoff: float = 0.85, most: int = 4) -> DataFrame:
+    """merge_plan over guests whose names are alike."""
+    return merge_plan(guests, fuzzy_pairs(guests, cutoff), most)
 
 
 def merge_guests(vault: Vault, plan: DataFrame) -> Vault:
@@ -125,16 +175,65 @@ def claim_clusters(claims: DataFrame, embed: Callable[[list[str]], list[list[flo
     return corroboration.clusters(claims.drop("cluster_id"), embed, cutoff, neighbours, by="topic")
 
 
+#: Cells that a category's topics are dealt to by the first two hexadecimal digits of their names' MD5.
+_CELL = 2
+
+
+def drawn(total: int, count: int, seed: int) -> list[int]:
+    """`count` different numbers below total (all, if fewer), each as likely: the first values of a hash of seed and turn."""
+    import hashlib
+
+    if total <= count:
+        return list(range(total))
+    found: dict[int, None] = {}
+    turn = 0
+    while len(found) < count:
+        found.setdefault(int(hashlib.md5(f"{seed}:{turn}".encode()).hexdigest()[:15], 16) % total)
+        turn += 1
+    return list(found)
+
+
 def bridge_pairs(topics: DataFrame, seed: int = 0, limit: int = 5) -> DataFrame:
-    """(topic_a, topic_b): a repeatable sample of pairs of topics from different categories (category, name).
+    """(topic_a, category_a, topic_b, category_b): pairs of topics (category, name) of different categories, every such pair as likely.
 
-    Each topic meets a few partners by a shuffled ring, not all others.
+    Pairs are numbered without being built. Topics stand in order of category, then of cell and name; those of category c make
+    n_c * (topics of later categories) pairs with what follows. So from counts by category and cell (at most 256 a category; all that the driver holds) a
+    number gives both places, and only the cells that hold drawn places are ranked. Four times `limit` pairs are drawn; pairs of one name, and
+    pairs of names that came before, are passed over.
     """
-    from pyspark.sql.window import Window
-
-    known = topics.filter(F.col("category").isNotNull() & (F.col("category") != "UNCLASSIFIED")).select("category", "name").distinct()
-    ring = known.withColumn("h", F.xxhash64(F.lit(seed), "category", "name")).orderBy("h").limit(8 * limit)
-    w = Window.orderBy("h")
-    near = ring.select("name", "category", F.lead("name").over(w).alias("other"), F.lead("category").over(w).alias("other_category"), "h")
-    pairs = near.filter("other is not null and category <> other_category and name <> other")
-    return pairs.select(F.least("name", "other").alias("topic_a"), F.greatest("name", "other").alias("topic_b"), "h").groupBy("topic_a", "topic_b").agg(F.min("h").alias("h")).orderBy("h").limit(limit).drop("h")
+    known = topics.filter(F.col("category").isNotNull() & (F.col("category") != "UNCLASSIFIED") & F.col("name").isNotNull()).select("category", "name").distinct()
+    known = known.withColumn("cell", F.substring(F.md5(F.col("name").cast("binary")), 1, _CELL))
+    counts = sorted((r.category, r.cell, r.n) for r in known.groupBy("category", "cell").agg(F.count("*").alias("n")).collect())
+    sizes: dict[str, int] = {}
+    for category, _, n in counts:
+        sizes[category] = sizes.get(category, 0) + n
+    names, left = list(sizes), sum(sizes.values())
+    blocks = []  # (first number, first place, place after, topics after) of each category
+    number = place = 0
+    for c in names:
+        left -= sizes[c]
+        blocks.append((number, place, place + sizes[c], left))
+        number, place = number + sizes[c] * left, place + sizes[c]
+    starts, at = [], 0
+    for category, cell, n in counts:
+        starts.append((at, category, cell))
+        at += n
+
+    def spot(position: int) -> tuple[str, str, int]:
+        first, category, cell = starts[bisect.bisect_right(starts, (position, chr(0x10FFFF))) - 1]
+        return category, cell, position - first + 1
+
+    rows = []
+    for turn, value in enumerate(drawn(number, 4 * limit, seed)):
+        first, begin, after, rest = next(b for b in reversed(blocks) if b[0] <= value and b[3])
+        one, two = divmod(value - first, rest)
+        rows += [(turn, side, *spot(p)) for side, p in (("a", begin + one), ("b", after + two))]
+    spark = topics.sparkSession
+    wanted = spark.createDataFrame(rows, "turn int, side string, category string, cell string, n int")
+    picked = known.join(F.broadcast(wanted.select("category", "cell").distinct()), ["category", "cell"])  # at most 8 * limit cells
+    ranked = picked.withColumn("n", F.row_number().over(Window.partitionBy("category", "cell").orderBy("name")))
+    found = ranked.join(F.broadcast(wanted), ["category", "cell", "n"])
+    one = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
+    pairs = found.groupBy("turn").agg(*[one(s, c).alias(f"{o}_{s}") for s in "ab" for c, o in (("name", "topic"), ("category", "category"))]).filter("topic_a <> topic_b")
+    again = Window.partitionBy(F.least("topic_a", "topic_b"), F.greatest("topic_a", "topic_b")).orderBy("turn")
+    return pairs.withColumn("__n", F.row_number().over(again)).filter("__n = 1").orderBy("turn").limit(limit).drop("turn", "__n")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.cut import folder
 from lodestone.functions import text as X
+from lodestone.functions.triage import batch_triage
 from lodestone.operators import corroboration as C
+from lodestone.operators import taxonomy as T
 from lodestone.plans import vector_index as V
 from lodestone.registry import query
 from lodestone.registry_text import table
@@ -131,3 +135,50 @@ query("discovery_stream", """SELECT video_id, title, v.channel_id, upload_date,
     UNION ALL SELECT video_id, title, channel_id, upload_date, NULL, NULL, true FROM videos WHERE video_id::bigint % 50 <> 3 AND channel_id NOT IN (SELECT channel_id FROM videos WHERE video_id::bigint % 4 = 0)
     UNION ALL SELECT NULL, NULL, NULL, NULL, 'no_json', substring('{"id":"' || video_id || '","title":"' || title || '"', 1, 25), NULL FROM videos, (SELECT unnest([0, 1]) AS time) WHERE video_id::bigint % 50 = 3
         AND (video_id::bigint % 3 < 2 OR time = 0)""")(discovery_stream)
+
+
+# --- models with many rows to a call -----------------------------------------------------------------------------------------
+
+
+def stand_in_judge(prompt: str) -> str:
+    """A deterministic stand-in: it leaves every tenth id out, answers nonsense to any prompt with certain ids, and sometimes gives no reason or a bad number."""
+    ids = [int(line[4:]) for line in prompt.split("\n") if line.startswith("ID: ")]
+    if any(i % 97 == 0 for i in ids):
+        return "I can't help with that."
+    said = {}
+    for i in ids:
+        if i % 10 != 3:
+            said[str(i)] = {"category": ["knowledge", "NOISE", "Other"][i % 3], "confidence": "high" if i % 89 == 0 else i % 10 / 10, "is_tutorial": i % 7 == 0}
+            said[str(i)] |= {"reason": f"talk {i}"} if i % 4 else {}
+    return "```json\n" + json.dumps(said) + "\n```"
+
+
+_OPEN = "k % 97 = 0 OR k % 10 = 3 OR k % 89 = 0"
+query("batch_triage", f"""SELECT video_id, CASE WHEN {_OPEN} OR k % 10 < 7 OR k % 3 = 2 THEN 'PENDING_REVIEW' WHEN k % 3 = 0 THEN 'ACCEPTED' ELSE 'REJECTED' END AS triage_status,
+    CASE WHEN k % 97 = 0 THEN 'llm_batch_error: Expecting value: line 1 column 1 (char 0)' WHEN k % 10 = 3 THEN 'llm_batch_missing_id' WHEN k % 89 = 0 THEN 'llm_batch_error: could not convert string to float: ''high'''
+    WHEN k % 4 = 0 THEN 'llm_classification' ELSE concat('talk ', video_id) END AS triage_reason, CASE WHEN {_OPEN} THEN 0.0 ELSE k % 10 / 10.0 END::double AS triage_confidence, k % 7 = 0 AND NOT ({_OPEN}) AS is_tutorial
+    FROM (SELECT video_id, video_id::bigint AS k FROM videos)""")(lambda v: batch_triage(v.videos, stand_in_judge).select("video_id", "triage_status", "triage_reason", "triage_confidence", "is_tutorial"))
+
+
+def stand_in_taxonomist(names: list[str]) -> str:
+    """A deterministic stand-in: a batch as a heap, one pair of contradictory edges, an unknown parent and a broken entry; no list for some batches."""
+    if names[0].startswith("b"):
+        return "no list"
+    edges = [{"child": n.upper() + " ", "parent": names[(i - 1) // 3]} for i, n in enumerate(names) if i]
+    if len(names) > 4:
+        edges += [{"child": names[1], "parent": names[4]}, {"child": names[2], "parent": "no such topic"}, {"child": names[3], "parent": names[3]}, {"parent": names[0]}]
+    return json.dumps(edges)
+
+
+def _taxonomy(v) -> DataFrame:
+    return T.build(v.tables["chunk_topics"].select("name"), v.spark.createDataFrame([], "child string, parent string"), stand_in_taxonomist)
+
+
+_EDGES = """n AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS r FROM (SELECT DISTINCT name FROM chunk_topics WHERE name IS NOT NULL)),
+    h AS (SELECT name, r % 50 AS i, r // 50 AS batch FROM n), g AS (SELECT batch FROM h WHERE i = 0 AND name[1] <> 'b'),
+    e AS (SELECT c.name AS child, p.name AS parent FROM h c JOIN h p ON c.batch = p.batch AND p.i = (c.i - 1) // 3 AND c.i > 0 JOIN g ON g.batch = c.batch WHERE NOT (c.i = 4 AND p.i = 1))"""
+query("taxonomy", f"SELECT * FROM (WITH {_EDGES} SELECT child, parent FROM e)")(_taxonomy)
+query("taxonomy_ancestors", f"""SELECT * FROM (WITH RECURSIVE {_EDGES}, a AS (SELECT child AS topic, parent AS ancestor, 1 AS depth FROM e UNION ALL SELECT topic, parent, depth + 1 FROM a JOIN e ON child = ancestor)
+    SELECT topic, ancestor, min(depth) AS depth FROM a GROUP BY ALL)""")(lambda v: T.ancestors(_taxonomy(v)))
+query("taxonomy_descendants", f"""SELECT * FROM (WITH RECURSIVE {_EDGES}, a AS (SELECT child AS descendant, parent AS topic, 1 AS depth FROM e UNION ALL SELECT descendant, parent, depth + 1 FROM a JOIN e ON child = topic)
+    SELECT topic, descendant, min(depth) AS depth FROM a WHERE depth <= 2 GROUP BY ALL)""")(lambda v: T.descendants(_taxonomy(v), most=2))

@@ -24,7 +24,7 @@ _W = "list_filter(string_split_regex(text, '[ \\t\\n\\r]+'), lambda x: x <> '')"
 
 query("url_parse", r"""SELECT url_id, CASE WHEN NOT regexp_matches(url, 'youtube\.com|youtu\.be') THEN NULL WHEN regexp_matches(url, '[?&]v=[A-Za-z0-9_-]{11}|youtu\.be/[A-Za-z0-9_-]{11}|youtube\.com/(shorts|embed|live)/[A-Za-z0-9_-]{11}') THEN 'video'
     WHEN regexp_matches(url, '[?&]list=') THEN 'playlist' WHEN regexp_matches(url, 'youtube\.com/(channel/UC|@)') THEN 'channel' END AS kind,
-    CASE CAST(url_id AS bigint) % 8 WHEN 0 THEN lpad(url_id, 11, 'a') WHEN 1 THEN lpad(url_id, 11, 'b') WHEN 2 THEN concat('@chan', url_id) WHEN 3 THEN concat('PL', url_id) WHEN 4 THEN concat('UC', url_id) WHEN 7 THEN lpad(url_id, 11, 'c') END AS id FROM urls""")(lambda v: v.tables["urls"].select("url_id", X.parse_url(F.col("url")).alias("u")).select("url_id", "u.kind", "u.id"))
+    CASE CAST(url_id AS bigint) % 8 WHEN 0 THEN lpad(url_id, 11, 'a') WHEN 1 THEN lpad(url_id, 11, 'b') WHEN 2 THEN concat('chan', url_id) WHEN 3 THEN concat('PL', url_id) WHEN 4 THEN concat('UC', url_id) WHEN 7 THEN lpad(url_id, 11, 'c') END AS id FROM urls""")(lambda v: v.tables["urls"].select("url_id", X.parse_url(F.col("url")).alias("u")).select("url_id", "u.kind", "u.id"))
 query("page_urls_rejected", "SELECT page_id FROM pages WHERE NOT regexp_matches(url, 'youtube\\.com|youtu\\.be')")(lambda v: table(v, "pages").filter(X.parse_url(F.col("url"))["kind"].isNull()).select("page_id"))
 query("sliding_window_chunks", f"""SELECT concat(video_id, '__chunk_', lpad(cast(i // 320 AS string), 4, '0')) AS chunk_id, i // 320 AS chunk_index, len(w[i + 1 : i + 400]) AS word_count, array_to_string(w[i + 1 : i + 400], ' ') AS text
     FROM (SELECT video_id, w, unnest(range(0, greatest(len(w), 1), 320)) AS i FROM (SELECT video_id, {_W} AS w FROM transcripts)) WHERE len(w) >= 50 AND (i = 0 OR len(w) - i >= 50)""")(lambda v: X.sliding_chunks(v.tables["transcripts"]).select("chunk_id", F.col("chunk_index").cast("long"), F.col("word_count").cast("long"), "text"))
@@ -35,8 +35,10 @@ query("deep_links", """SELECT chunk_id, concat('https://www.youtube.com/watch?v=
 query("language_names", "SELECT DISTINCT language_iso, CASE language_iso WHEN 'en' THEN 'English' WHEN 'fr' THEN 'French' WHEN 'de' THEN 'German' WHEN 'es' THEN 'Spanish' END AS name FROM transcripts")(lambda v: v.tables["transcripts"].select("language_iso", X.language_name(F.col("language_iso")).alias("name")).distinct())
 query("semantic_chunks")(lambda v: X.semantic_chunks(v.tables["transcripts"]))
 query("sentences")(lambda v: v.tables["transcripts"].select("video_id", F.size(X.sentences(F.col("text"))).alias("n")))
-query("rule_triage", """SELECT video_id, CASE WHEN duration_seconds < 60 THEN 'REJECTED' WHEN channel_id IN ('3', '5') THEN 'ACCEPTED' WHEN list_contains(string_split(lower(title), ' '), '1-urgent') OR list_contains(string_split(lower(title), ' '), '2-high') THEN 'ACCEPTED' ELSE 'NEEDS_LLM' END AS triage_status
-    FROM videos""")(lambda v: rule_triage(v.videos, ["1-URGENT", "2-HIGH"], ["3", "5"]).select("video_id", "triage_status"))
+query("rule_triage", """SELECT video_id, CASE WHEN duration_seconds < 60 THEN 'REJECTED' WHEN channel_id IN ('3', '5') THEN 'ACCEPTED' WHEN list_contains(string_split(lower(title), ' '), '1-urgent') OR list_contains(string_split(lower(title), ' '), '2-high') THEN 'ACCEPTED' ELSE 'NEEDS_LLM' END AS triage_status,
+    CASE WHEN duration_seconds < 60 THEN 'duration_under_60s' WHEN channel_id IN ('3', '5') THEN 'verified_channel' WHEN contains(lower(title), '1-urgent') THEN 'keyword_match: 1-URGENT' WHEN contains(lower(title), '2-high') THEN 'keyword_match: 2-HIGH' ELSE 'ambiguous_metadata' END AS triage_reason,
+    CASE WHEN duration_seconds < 60 OR channel_id IN ('3', '5') THEN 1.0 WHEN contains(lower(title), '1-urgent') OR contains(lower(title), '2-high') THEN 0.85 ELSE 0.0 END::double AS triage_confidence
+    FROM videos""")(lambda v: rule_triage(v.videos, ["1-URGENT", "2-HIGH"], ["3", "5"]).select("video_id", "triage_status", "triage_reason", "triage_confidence"))
 _REPLY = """CASE event_id % 5 WHEN 0 THEN concat('```json\\n{"category": "KNOWLEDGE", "confidence": ', user_id % 10 / 10D, ', "reasoning": "talk ', user_id, '"}\\n```')
     WHEN 1 THEN concat('Sure: {"category": "noise", "reasoning": "', event_type, '"} done') WHEN 2 THEN concat('{"confidence": 0.', user_id % 9, '}') WHEN 3 THEN '' END"""
 query("triage_replies", """SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'KNOWLEDGE' WHEN 1 THEN 'NOISE' ELSE 'AMBIGUOUS' END AS category, CASE event_id % 5 WHEN 0 THEN user_id % 10 / 10.0::double WHEN 2 THEN user_id % 9 / 10.0::double ELSE 0.0 END::double AS confidence,
@@ -90,7 +92,34 @@ query("chat_history", "SELECT session_id, string_agg(concat(role, ': ', content)
 query("guest_purge", "SELECT guest_id FROM guests WHERE length(trim(canonical_name)) >= 2")(lambda v: E.purge_noise(v.having(guests=v.guests, guest_appearances=v.guest_appearances)).guests.select("guest_id"))
 query("fuzzy_pairs")(lambda v: E.fuzzy_pairs(table(v, "customer").select(F.col("c_custkey").alias("guest_id"), F.col("c_name").alias("canonical_name"), F.lit(1).alias("mention_count"))))
 query("claim_clusters")(lambda v: E.claim_clusters(v.tables["claims"], X.bag_embedder))
-query("bridge_pairs")(lambda v: E.bridge_pairs(v.videos.join(v.channels.select("channel_id", "category"), "channel_id").join(v.tables["chunk_topics"].select("video_id", "name"), "video_id").select("category", "name")))
+query("bridge_pairs", """SELECT topic_a, category_a, topic_b, category_b FROM (WITH k AS (SELECT DISTINCT category, t.name FROM videos v JOIN channels c ON v.channel_id = c.channel_id JOIN chunk_topics t ON t.video_id = v.video_id WHERE category <> 'UNCLASSIFIED' AND t.name IS NOT NULL),
+    p AS (SELECT category, name, row_number() OVER (ORDER BY category, substring(md5(name), 1, 2), name) - 1 AS pos FROM k),
+    s AS (SELECT category, count(*) AS n, min(pos) AS a, (SELECT count(*) FROM p) - min(pos) - count(*) AS rest FROM p GROUP BY category),
+    b AS (SELECT *, sum(n * rest) OVER (ORDER BY a) - n * rest AS first FROM s), t AS (SELECT sum(n * rest)::bigint AS total FROM s),
+    d AS (SELECT * FROM (SELECT turn, ('0x' || substring(md5('0:' || turn), 1, 15))::bigint % total AS v FROM (SELECT unnest(range(0, 60)) AS turn), t) QUALIFY row_number() OVER (PARTITION BY v ORDER BY turn) = 1 ORDER BY turn LIMIT 20),
+    e AS (SELECT turn, a + (v - first) // rest AS one, a + n + (v - first) % rest AS two FROM d JOIN b ON rest > 0 AND v >= first AND v < first + n * rest)
+    SELECT turn, x.name AS topic_a, x.category AS category_a, y.name AS topic_b, y.category AS category_b FROM e JOIN p x ON x.pos = one JOIN p y ON y.pos = two WHERE x.name <> y.name
+    QUALIFY row_number() OVER (PARTITION BY least(x.name, y.name), greatest(x.name, y.name) ORDER BY turn) = 1 ORDER BY turn LIMIT 5)""")(
+    lambda v: E.bridge_pairs(v.videos.join(v.channels.select("channel_id", "category"), "channel_id").join(v.tables["chunk_topics"].select("video_id", "name"), "video_id").select("category", "name"))
+)
+#: Fixed similarity of guests for the merge: a rule in place of names, in bands of neighbouring ids.
+_ALIKE = "SELECT a.guest_id, b.guest_id AS other_id, 0.85 + (a.guest_id + b.guest_id) % 15 / 100.0 AS ratio FROM guests a JOIN guests b ON b.guest_id > a.guest_id AND b.guest_id < a.guest_id + 40 AND (a.guest_id * 31 + b.guest_id * 17) % 13 = 0"
+
+
+def _alike(v) -> DataFrame:
+    ids = v.guests.select("guest_id")
+    near = ids.select("guest_id", F.explode(F.sequence(F.col("guest_id") + 1, F.col("guest_id") + 39)).alias("other_id")).join(ids.withColumnRenamed("guest_id", "other_id"), "other_id", "left_semi")
+    return near.filter((F.col("guest_id") * 31 + F.col("other_id") * 17) % 13 == 0).withColumn("ratio", 0.85 + (F.col("guest_id") + F.col("other_id")) % 15 / 100.0)
+
+
+query("fuzzy_merge_plan", f"""SELECT id, survivor FROM (WITH RECURSIVE p AS ({_ALIKE}), q AS (SELECT * FROM p UNION ALL SELECT other_id, guest_id, ratio FROM p),
+    l AS (SELECT guest_id, list(other_id) AS others FROM (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY guest_id ORDER BY ratio DESC, other_id) <= 4) GROUP BY guest_id),
+    o AS (SELECT guest_id, coalesce(others, []) AS others, row_number() OVER (ORDER BY mention_count DESC, guest_id) AS n FROM guests LEFT JOIN l USING (guest_id)),
+    place AS (SELECT map(list(guest_id), list(n)) AS m FROM o),
+    r AS (SELECT 0::bigint AS n, []::bigint[] AS merged, []::bigint[] AS new, NULL::bigint AS survivor
+        UNION ALL SELECT o.n, list_concat(merged, fresh), fresh, o.guest_id FROM (SELECT o.n, o.guest_id, r.merged,
+            CASE WHEN list_contains(r.merged, o.guest_id) THEN []::bigint[] ELSE list_filter(o.others, lambda x: NOT list_contains(r.merged, x) AND m[x] > o.n) END AS fresh FROM r JOIN o ON o.n = r.n + 1, place) o)
+    SELECT unnest(new) AS id, survivor FROM r)""")(lambda v: E.merge_plan(v.guests, _alike(v)))
 
 query("upsert_merge", """SELECT coalesce(a.guest_id, b.guest_id) AS guest_id, coalesce(a.canonical_name, b.canonical_name) AS canonical_name, coalesce(a.mention_count, 0) + coalesce(b.n, 0) AS mention_count
     FROM guests a FULL JOIN (SELECT guest_id + 5 AS guest_id, concat('new ', cast(guest_id AS string)) AS canonical_name, 2 AS n FROM guests) b ON a.guest_id = b.guest_id""")(

@@ -35,7 +35,7 @@ def vault(spark):
     return v.append("guest_appearances", spark.createDataFrame([(1, "v1", 0.0), (2, "v1", 0.0), (2, "v2", 1.0), (4, "v2", 3.0)], "guest_id long, video_id string, start_timestamp double"))
 
 
-@pytest.mark.parametrize(("url", "want"), [("https://www.youtube.com/watch?v=dQw4w9WgXcQ&list=PL1", ("video", "dQw4w9WgXcQ")), ("https://youtu.be/dQw4w9WgXcQ", ("video", "dQw4w9WgXcQ")), ("https://www.youtube.com/playlist?list=PLabc", ("playlist", "PLabc")), ("https://youtube.com/@someone", ("channel", "@someone")), ("https://www.youtube.com/channel/UC123", ("channel", "UC123")), ("https://example.com/?v=dQw4w9WgXcQ", (None, None)), ("", (None, None)), (None, (None, None))])
+@pytest.mark.parametrize(("url", "want"), [("https://www.youtube.com/watch?v=dQw4w9WgXcQ&list=PL1", ("video", "dQw4w9WgXcQ")), ("https://youtu.be/dQw4w9WgXcQ", ("video", "dQw4w9WgXcQ")), ("https://www.youtube.com/playlist?list=PLabc", ("playlist", "PLabc")), ("https://youtube.com/@someone", ("channel", "someone")), (" @some.one ", ("channel", "some.one")), ("https://www.youtube.com/channel/XY-1", ("channel", "XY-1")), ("https://www.youtube.com/c/Name", ("channel", "Name")), ("a@b.c", (None, None)), ("https://www.youtube.com/channel/UC123", ("channel", "UC123")), ("https://example.com/?v=dQw4w9WgXcQ", (None, None)), ("", (None, None)), (None, (None, None))])
 def test_urls(spark, url, want):
     assert tuple(one(spark, X.parse_url(F.lit(url).cast("string")))) == want
 
@@ -83,7 +83,7 @@ def test_query_parser():
 def test_triage(spark):
     df = spark.createDataFrame([("a", "c1", "Deep AI talk", 30), ("b", "good", "x", 90), ("c", "c1", "An AI and ML and bio and DNA talk", 90), ("d", "c1", "AIming high", 90), ("e", "shorts", "x", 10)], "video_id string, channel_id string, title string, duration_seconds int")
     got = {r.video_id: (r.triage_status, r.triage_reason) for r in rule_triage(df, ["bio", "AI", "ML", "DNA"], ["good"], ["shorts"]).collect()}
-    assert got == {"a": ("REJECTED", "too_short"), "b": ("ACCEPTED", "verified_channel"), "c": ("ACCEPTED", "keywords:bio,AI,ML"), "d": ("NEEDS_LLM", ""), "e": ("NEEDS_LLM", "")}
+    assert got == {"a": ("REJECTED", "duration_under_60s"), "b": ("ACCEPTED", "verified_channel"), "c": ("ACCEPTED", "keyword_match: bio, AI, ML"), "d": ("NEEDS_LLM", "ambiguous_metadata"), "e": ("NEEDS_LLM", "ambiguous_metadata")}
     assert one(spark, finish_triage(F.lit("NOISE"), F.lit(0.6))) == "PENDING_REVIEW"
 
 
