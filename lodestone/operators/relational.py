@@ -195,17 +195,35 @@ def transcript_at(vault: Vault, video_id: str, seconds: float, context: float =
     return rows(vault.transcript_chunks, wanted, [F.col("chunk_index")])
 
 
-def strip_intervals(segments: DataFrame, skips: DataFrame) -> DataFrame:
-    """Segments (video_id, start, duration, ...) whose middle lies in no skip (video_id, start, end), ends included."""
-    s, k = segments.alias("s"), skips.select("video_id", F.col("start").alias("from"), F.col("end").alias("to")).alias("k")
-    middle = F.col("s.start") + F.col("s.duration") / 2
-    return s.join(k, (F.col("s.video_id") == F.col("k.video_id")) & middle.between(F.col("k.from"), F.col("k.to")), "left_anti")
+#: Seconds of a bin of time: rows meet in the bins that they touch, not all of a video's rows one another.
+BIN = 60.0
 
 
-def overlaps(chunks: DataFrame, intervals: DataFrame) -> DataFrame:
-    """Chunk rows with each overlapping interval (video_id, start, end, score) of their video, closed at both ends."""
-    k = intervals.select(F.col("video_id").alias("k_video"), F.col("start").alias("from"), F.col("end").alias("to"), "score")
-    return chunks.join(k, (F.col("video_id") == F.col("k_video")) & (F.col("from") <= F.col("end_timestamp")) & (F.col("to") >= F.col("start_timestamp"))).drop("k_video")
+def _bins(start: Column, end: Column, width: float) -> Column:
+    return F.explode(F.sequence(F.floor(start / width), F.floor(end / width)))
+
+
+def strip_intervals(segments: DataFrame, skips: DataFrame, width: float = BIN) -> DataFrame:
+    """Segments (video_id, start, duration, ...) whose middle lies in no skip (video_id, start, end), ends included.
+
+    A segment meets the skips of the one bin of its middle.
+    """
+    middle = F.col("start") + F.col("duration") / 2
+    s = segments.withColumns({"__middle": middle, "__bin": F.floor(middle / width)}).alias("s")
+    k = skips.select("video_id", F.col("start").alias("from"), F.col("end").alias("to"), _bins(F.col("start"), F.col("end"), width).alias("__bin")).alias("k")
+    inside = F.col("s.__middle").between(F.col("k.from"), F.col("k.to"))
+    return s.join(k, (F.col("s.video_id") == F.col("k.video_id")) & (F.col("s.__bin") == F.col("k.__bin")) & inside, "left_anti").drop("__middle", "__bin")
+
+
+def overlaps(chunks: DataFrame, intervals: DataFrame, width: float = BIN) -> DataFrame:
+    """Chunk rows with each overlapping interval (video_id, start, end, score) of their video, closed at both ends.
+
+    Both sides stand in every bin that they touch; a pair counts in the bin of the later start, which both touch, so each comes once.
+    """
+    k = intervals.select(F.col("video_id").alias("k_video"), F.col("start").alias("from"), F.col("end").alias("to"), "score", _bins(F.col("start"), F.col("end"), width).alias("k_bin"))
+    c = chunks.withColumn("__bin", _bins(F.col("start_timestamp"), F.col("end_timestamp"), width))
+    met = (F.col("from") <= F.col("end_timestamp")) & (F.col("to") >= F.col("start_timestamp")) & (F.col("__bin") == F.floor(F.greatest("start_timestamp", "from") / width))
+    return c.join(k, (F.col("video_id") == F.col("k_video")) & (F.col("__bin") == F.col("k_bin")) & met).drop("k_video", "k_bin", "__bin")
 
 
 def topic_engagement(vault: Vault, topic: str, heat: DataFrame) -> DataFrame:

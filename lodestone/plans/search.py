@@ -78,6 +78,102 @@ def snippet(text: Column, query: Column, width: int = 30) -> Column:
     return F.concat(F.when(start > 1, "...").otherwise(""), marked, F.when(F.size(w) > start + width - 1, "...").otherwise(""))
 
 
+#: Marks of a hit and of what is left out.
+OPEN, CLOSE, GAP = "<b>", "</b>", "..."
+_TOKEN = r"[\p{L}\p{N}]+"
+
+
+def best_snippet(text: Column, phrases: list[list[str]], width: int = 30) -> Column:
+    """The `width` tokens of a text that show most of the phrases (lists of tokens as query_tokens gives them), every hit in bold; null without a hit.
+
+    A window begins at a hit and counts 1000 for each phrase that lies in it whole and one for each token of its hits; the first of the best is taken
+    and moved so that its hits stand in the middle. Text between tokens stays as it is; hits side by side share their marks; `...` stands for what is left out.
+    Positions are made once; a window looks at the next `width` hits of each phrase at most, so long texts with many hits take linear time.
+    """
+    phrases = [p for p in phrases if p]
+    if not phrases:
+        return F.lit(None).cast("string")
+    raw = F.coalesce(text, F.lit(""))
+    parts = F.struct(F.regexp_extract_all(raw, F.lit(_TOKEN), F.lit(0)).alias("t"), F.split(raw, _TOKEN, -1).alias("s"))
+
+    def hits(d: Column) -> Column:
+        """struct(start, size, phrase) in order, starts from 0."""
+        norm = F.transform(d["t"], lambda x: F.translate(F.lower(x), _MARKED, _PLAIN))
+
+        def found(n: Column) -> Column:
+            every = []
+            for k, phrase in enumerate(phrases):
+                size = len(phrase)
+                lit = F.array(*[F.lit(p) for p in phrase])
+                at = F.filter(F.sequence(F.lit(1), F.greatest(F.size(n) - size + 1, F.lit(1))), lambda i: F.slice(n, i, size) == lit)  # noqa: B023
+                every.append(F.transform(at, lambda i: F.struct((i - 1).alias("start"), F.lit(size).alias("size"), F.lit(k).alias("phrase"))))  # noqa: B023
+            return F.array_sort(F.concat(*every))
+
+        return F.element_at(F.transform(F.array(norm), found), 1)
+
+    def window(d: Column, h: Column) -> Column:
+        """struct(score, -start, last) of the best window."""
+
+        def scored(x: Column, j: Column) -> Column:
+            inside = F.filter(F.slice(h, j + 1, width * len(phrases)), lambda y: (y["start"] + y["size"]) <= (x["start"] + width))
+            kinds = F.size(F.array_distinct(F.transform(inside, lambda y: y["phrase"])))
+            total = F.aggregate(inside, F.lit(0), lambda s, y: s + y["size"])
+            last = F.aggregate(inside, x["start"], lambda s, y: F.greatest(s, y["start"] + y["size"]))
+            return F.struct((kinds * 1000 + total).alias("score"), (-x["start"]).alias("back"), last.alias("last"))
+
+        return F.array_max(F.transform(h, scored))
+
+    def shown(d: Column, h: Column, w: Column) -> Column:
+        n = F.size(d["t"])
+        first = -w["back"]
+        begin = F.greatest(F.least(first - F.floor((width - (w["last"] - first)) / 2).cast("int"), n - width), F.lit(0))
+        end = F.least(begin + width, n)
+        near = F.filter(h, lambda y: (y["start"] >= begin) & (y["start"] + y["size"] <= end))
+        marked = F.array_distinct(F.flatten(F.transform(near, lambda y: F.sequence(y["start"], y["start"] + y["size"] - 1))))
+
+        def piece(i: Column, m: Column) -> Column:
+            on = F.array_contains(m, i)
+            before = F.when(i > begin, F.get(d["s"], i)).otherwise(F.lit(""))
+            opens = F.when(on & ~F.array_contains(m, i - 1), OPEN).otherwise("")
+            closes = F.when(on & ~F.array_contains(m, i + 1), CLOSE).otherwise("")
+            return F.concat(before, opens, F.get(d["t"], i), closes)
+
+        body = F.element_at(F.transform(F.array(marked), lambda m: F.array_join(F.transform(F.sequence(begin, end - 1), lambda i: piece(i, m)), "")), 1)
+        return F.concat(F.when(begin > 0, GAP).otherwise(F.get(d["s"], F.lit(0))), body, F.when(end < n, GAP).otherwise(F.get(d["s"], n)))
+
+    def of(d: Column) -> Column:
+        with_hits = F.transform(F.array(hits(d)), lambda h: F.transform(F.array(window(d, h)), lambda w: F.when(F.size(h) > 0, shown(d, h, w))))
+        return F.element_at(F.element_at(with_hits, 1), 1)
+
+    # each step's value is bound once by a one-element array: a lambda would make it anew for each use
+    return F.element_at(F.transform(F.array(parts), of), 1)
+
+
+def plain_snippet(text: str | None, phrases: list[list[str]], width: int = 30) -> str | None:
+    """best_snippet in plain Python, for tests."""
+    import re
+
+    found = list(re.finditer(r"[^\W_]+", text or ""))
+    norm = [m.group().lower().translate(str.maketrans(_MARKED, _PLAIN)) for m in found]
+    hits = sorted((i, len(p), k) for k, p in enumerate(phrases) if p for i in range(len(norm) - len(p) + 1) if norm[i : i + len(p)] == p)
+    if not hits:
+        return None
+    best = None
+    for start, _, _ in hits:
+        inside = [h for h in hits if h[0] >= start and h[0] + h[1] <= start + width]
+        score = 1000 * len({h[2] for h in inside}) + sum(h[1] for h in inside)
+        if best is None or score > best[0]:
+            best = score, start, max([start, *(h[0] + h[1] for h in inside)])
+    _, first, last = best
+    begin = max(min(first - (width - (last - first)) // 2, len(norm) - width), 0)
+    end = min(begin + width, len(norm))
+    marked = {i for h in hits if h[0] >= begin and h[0] + h[1] <= end for i in range(h[0], h[0] + h[1])}
+    out = GAP if begin else text[: found[0].start()]
+    for i in range(begin, end):
+        out += (text[found[i - 1].end() : found[i].start()] if i > begin else "") + (OPEN if i in marked and i - 1 not in marked else "") + found[i].group() + (CLOSE if i in marked and i + 1 not in marked else "")
+    return out + (GAP if end < len(norm) else text[found[-1].end() :])
+
+
 def search_transcript(chunks: DataFrame, video_id: str, query: str) -> DataFrame:
     """Chunks of one video by full text; where that finds none, by substring."""
     own = chunks.filter(F.col("video_id") == video_id)

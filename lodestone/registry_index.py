@@ -13,10 +13,13 @@ from lodestone.functions.triage import batch_triage
 from lodestone.operators import corroboration as C
 from lodestone.operators import taxonomy as T
 from lodestone.plans import vector_index as V
-from lodestone.registry import query
+from lodestone.operators import relational as R
+from lodestone.plans import search as S
+from lodestone.registry import heat, query
 from lodestone.registry_text import table
 from lodestone.schemas import STAGES
 from lodestone.sources import discovery as D
+from lodestone.sources import export, notes
 from lodestone.streaming import machine as M
 
 #: Cells of the embeddings' index and how many of them a query opens: recall at 15 is over 0.9 on the test tables.
@@ -182,3 +185,50 @@ query("taxonomy_ancestors", f"""SELECT * FROM (WITH RECURSIVE {_EDGES}, a AS (SE
     SELECT topic, ancestor, min(depth) AS depth FROM a GROUP BY ALL)""")(lambda v: T.ancestors(_taxonomy(v)))
 query("taxonomy_descendants", f"""SELECT * FROM (WITH RECURSIVE {_EDGES}, a AS (SELECT child AS descendant, parent AS topic, 1 AS depth FROM e UNION ALL SELECT descendant, parent, depth + 1 FROM a JOIN e ON child = topic)
     SELECT topic, descendant, min(depth) AS depth FROM a WHERE depth <= 2 GROUP BY ALL)""")(lambda v: T.descendants(_taxonomy(v), most=2))
+
+
+# --- snippets, heat and notes ------------------------------------------------------------------------------------------------
+
+_SNIPPETS = r"""SELECT video_id, snippet FROM (WITH w AS (SELECT video_id, regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}]+') AS t, string_split_regex(coalesce(text, ''), '[\p{L}\p{N}]+') AS s FROM transcripts),
+    n AS (SELECT video_id, list_transform(t, lambda x: translate(lower(x), 'MARKED', 'PLAIN')) AS m FROM w), u AS (SELECT video_id, m, unnest(range(1, len(m) + 1)) AS i FROM n),
+    h AS (SELECT video_id, i - 1 AS a, 1 AS z, 0 AS k FROM u WHERE m[i] = 'the' UNION ALL SELECT video_id, i - 1, 2, 1 FROM u WHERE m[i] = 'of' AND m[i + 1] = 'the' UNION ALL SELECT video_id, i - 1, 1, 2 FROM u WHERE m[i] = 'que'),
+    x AS (SELECT c.video_id, c.a, 1000 * count(DISTINCT y.k) + sum(y.z) AS score, max(y.a + y.z) AS last FROM (SELECT DISTINCT video_id, a FROM h) c JOIN h y ON c.video_id = y.video_id AND y.a >= c.a AND y.a + y.z <= c.a + 30 GROUP BY ALL),
+    b AS (SELECT video_id, t, s, greatest(least(a - (30 - (last - a)) // 2, len(t) - 30), 0) AS f FROM (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY score DESC, a) = 1) JOIN w USING (video_id)),
+    e AS (SELECT *, least(f + 30, len(t)) AS g FROM b), l AS (SELECT video_id, list(DISTINCT i) AS on_ FROM (SELECT e.video_id, unnest(range(a, a + z)) AS i FROM e JOIN h ON e.video_id = h.video_id AND a >= f AND a + z <= g) GROUP BY video_id)
+    SELECT video_id, concat(CASE WHEN f > 0 THEN '...' ELSE s[1] END, array_to_string(list_transform(range(f, g), lambda i: concat(CASE WHEN i > f THEN s[i + 1] ELSE '' END, CASE WHEN list_contains(on_, i) AND NOT list_contains(on_, i - 1) THEN '<b>' ELSE '' END, t[i + 1],
+        CASE WHEN list_contains(on_, i) AND NOT list_contains(on_, i + 1) THEN '</b>' ELSE '' END)), ''), CASE WHEN g < len(t) THEN '...' ELSE s[len(t) + 1] END) AS snippet FROM e JOIN l USING (video_id))"""
+query("best_snippets", _SNIPPETS.replace("MARKED", S._MARKED).replace("PLAIN", S._PLAIN))(
+    lambda v: v.tables["transcripts"].select("video_id", S.best_snippet(F.col("text"), [["the"], ["of", "the"], ["que"]]).alias("snippet")).filter("snippet IS NOT NULL")
+)
+
+_HEAT = "(SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY snapshot_at, history_id) AS pos, view_count % 100 / 100.0::double AS score FROM video_stats_history)"
+
+
+def _with_topics(v):
+    topics = v.tables["chunk_topics"].groupBy("chunk_id").agg(F.collect_list(F.struct("name", F.lit("").alias("parent_topic"), "relevance")).alias("topics"))
+    return v.having(transcript_chunks=v.transcript_chunks.join(topics, "chunk_id", "left"))
+
+
+query("topic_engagement", f"""SELECT c.video_id, round(avg(score), 9) AS engagement FROM transcript_chunks c JOIN {_HEAT} h ON h.video_id = c.video_id AND pos * 10 - 10 <= end_timestamp AND pos * 10 >= start_timestamp
+    WHERE contains(cleaned_text, 'green') GROUP BY 1""")(lambda v: R.topic_engagement(_with_topics(v), "Green", heat(v)).withColumn("engagement", F.round("engagement", 9)))
+query("heat_highlights", f"""SELECT * FROM (WITH g AS (SELECT video_id, pos, score, pos - row_number() OVER (PARTITION BY video_id ORDER BY pos) AS island FROM {_HEAT} WHERE score >= 0.7),
+    i AS (SELECT video_id, min(pos) * 10.0::double - 10 AS start, max(pos) * 10.0::double AS "end", max(score) AS score FROM g GROUP BY video_id, island)
+    SELECT i.video_id, start, "end", score, string_agg(cleaned_text, ' ' ORDER BY chunk_index) AS text FROM i LEFT JOIN transcript_chunks c ON c.video_id = i.video_id AND start <= end_timestamp AND "end" >= start_timestamp GROUP BY ALL)""")(
+    lambda v: R.highlights(v, heat(v)).drop("island")
+)
+
+
+def notes_sink(v) -> DataFrame:
+    """Notes of channels and chat sessions, saved and read back as files."""
+    path = folder(v.spark, "notes")
+    sessions = export.session_markdown(v).select(F.concat(F.lit("sessions/session "), "session_id", F.lit(".md")).alias("path"), F.concat(notes.front_matter(session=F.col("session_id")), "text").alias("text"))
+    channels = export.notes(v, "channels")
+    # the second kind of channel notes has the paths of the first in capitals, and must get names of its own
+    again = channels.select(F.upper("path").alias("path"), F.concat("text", F.lit("\nagain")).alias("text"))
+    notes.save_notes(sessions.unionByName(channels.select("path", "text")).unionByName(again), path)
+    return notes.saved_notes(v.spark, path)
+
+
+query("notes_sink", r"""SELECT concat('sessions/session ', session_id, '.md') AS path, concat('---', chr(10), 'session: "', session_id, '"', chr(10), '---', chr(10), string_agg(concat('**', upper(role[1]), role[2:], '**: ', content), chr(10) || chr(10) ORDER BY message_id)) AS text FROM chat_messages GROUP BY session_id
+    UNION ALL SELECT * FROM (WITH c AS (SELECT concat('channels/', regexp_replace(name, '[^\p{L}\p{N} _-]', '_', 'g')) AS p, concat('# ', name, chr(10), 'Category: ', category) AS text FROM channels)
+        SELECT concat(p, ' (2).md'), text FROM c UNION ALL SELECT concat(upper(p), '.MD'), concat(text, chr(10), 'again') FROM c)""")(notes_sink)
