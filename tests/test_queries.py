@@ -5,7 +5,7 @@ import os
 import pytest
 from compare import connection, same
 
-from lodestone import registry, registry_index, registry_stages, registry_text  # noqa: F401
+from lodestone import registry, registry_index, registry_stages, registry_text, registry_writes  # noqa: F401
 
 SF = os.environ.get("TEST_SF", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
