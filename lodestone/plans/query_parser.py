@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Fixed names of filters -> column that a filter tests (None: used by a later step) and how.
 FILTERS = {"channel": ("channel_id", "="), "topic": (None, "="), "guest": (None, "="), "after": ("upload_date", ">="), "before": ("upload_date", "<="), "language": ("language_iso", "=")}
+#: Fixed other names of filters.
+ALIASES = {"language": "lang|language"}
 
 
 @dataclass(frozen=True)
@@ -33,7 +35,8 @@ def parse_query(raw: str) -> QueryPlan:
     """name:value and name:"a value"; of each name the first counts, the rest of the string is free text."""
     text, found = raw, {}
     for name in FILTERS:
-        m = re.search(rf'(?<!\S){name}:(?:"([^"]*)"|(\S+))', text, re.I)
+        called = ALIASES.get(name, name)
+        m = re.search(rf'(?<!\S)(?:{called}):(?:"([^"]*)"|(\S+))', text, re.I)
         if m:
             found[name] = (m[1] if m[1] is not None else m[2]).strip()
             text = text[: m.start()] + " " + text[m.end() :]

@@ -12,7 +12,9 @@ from lodestone.functions import text as X
 from lodestone.functions.triage import batch_triage
 from lodestone.operators import corroboration as C
 from lodestone.operators import taxonomy as T
+from lodestone.plans import retrieval as RT
 from lodestone.plans import vector_index as V
+from lodestone.plans.query_parser import parse_query
 from lodestone.operators import relational as R
 from lodestone.plans import search as S
 from lodestone.registry import heat, query
@@ -232,3 +234,47 @@ def notes_sink(v) -> DataFrame:
 query("notes_sink", r"""SELECT concat('sessions/session ', session_id, '.md') AS path, concat('---', chr(10), 'session: "', session_id, '"', chr(10), '---', chr(10), string_agg(concat('**', upper(role[1]), role[2:], '**: ', content), chr(10) || chr(10) ORDER BY message_id)) AS text FROM chat_messages GROUP BY session_id
     UNION ALL SELECT * FROM (WITH c AS (SELECT concat('channels/', regexp_replace(name, '[^\p{L}\p{N} _-]', '_', 'g')) AS p, concat('# ', name, chr(10), 'Category: ', category) AS text FROM channels)
         SELECT concat(p, ' (2).md'), text FROM c UNION ALL SELECT concat(upper(p), '.MD'), concat(text, chr(10), 'again') FROM c)""")(notes_sink)
+
+
+# --- answers -----------------------------------------------------------------------------------------------------------------
+
+
+def _retrieved(v):
+    """Questions: every hundredth vector, with the title of the video of its number; chunks: the documents whose number a vector has."""
+    docs = table(v, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").cast("string").alias("video_id"), "text", (F.col("doc_id") * 7.0).alias("start_timestamp"))
+    asked = _asked(v).withColumns({"question": F.concat(F.lit("What does Video 5-LOW "), F.col("query_id").cast("string"), F.lit(" say of the the")), "history": F.when(F.col("query_id") % 200 == 0, F.lit("user: hi"))})
+    return RT.retrieve(v, _embeddings(v), docs, asked, probes=None)
+
+
+_CITED = f"""f AS (SELECT query_id, rank, vec_id AS chunk_id, distance FROM ({_near("true").replace("round(1 - list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 6) AS distance", "1 - list_cosine_similarity(e.embedding::double[], q.embedding::double[]) AS distance")}) WHERE rank <= 8),
+    c AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank, chunk_id) AS number, chunk_id, coalesce(title, 'Unknown') AS title, coalesce(n.name, 'Unknown') AS channel_name, d.doc_id * 7.0 AS start, distance, substring(coalesce(d.text, ''), 1, 300) AS excerpt
+        FROM f JOIN documents d ON d.doc_id = f.chunk_id LEFT JOIN videos v ON v.video_id = cast(d.doc_id AS string) LEFT JOIN channels n ON n.channel_id = v.channel_id),
+    q AS (SELECT vec_id AS query_id, concat('What does Video 5-LOW ', vec_id, ' say of the the') AS question FROM embeddings WHERE vec_id % 100 = 0)"""
+query("retrieval_contexts", f"""SELECT * FROM (WITH {_CITED} SELECT q.query_id, count(number) AS citations, concat(CASE WHEN q.query_id % 200 = 0 THEN concat('PREVIOUS CONVERSATION:', chr(10), 'user: hi', chr(10), chr(10), '---', chr(10), chr(10), chr(10)) ELSE '' END, 'CONTEXT CHUNKS:', chr(10),
+    coalesce(string_agg(concat('[source_', number, '] Video: "', title, '" (Channel: ', channel_name, ', Timestamp: ', printf('%02d:%02d', floor(start)::bigint // 60, floor(start)::bigint % 60), ')', chr(10), excerpt, chr(10)), concat(chr(10), '---', chr(10)) ORDER BY number), ''),
+    chr(10), chr(10), chr(10), 'RESEARCH QUESTION:', chr(10), question) AS context FROM q LEFT JOIN c ON c.query_id = q.query_id GROUP BY q.query_id, question)""")(lambda v: _retrieved(v)[2])
+query("retrieval_confidence", f"""SELECT * FROM (WITH {_CITED}, w AS (SELECT DISTINCT query_id, unnest(string_split(lower(question), ' ')) AS word FROM q), m AS (SELECT query_id, avg(CASE WHEN EXISTS (SELECT 1 FROM c WHERE c.query_id = w.query_id AND contains(lower(excerpt), word)) THEN 1.0 ELSE 0.0 END) AS coverage FROM w WHERE length(word) > 2 GROUP BY query_id),
+    r AS (SELECT query_id, count(DISTINCT channel_name) / count(*)::double AS diversity, least(greatest(1 - avg(distance), 0), 1) AS relevance FROM c GROUP BY query_id)
+    SELECT query_id, round(coalesce(diversity, 0), 6) AS diversity, round(coalesce(relevance, 0), 6) AS relevance, round(coverage, 6) AS coverage, round(0.5 * coalesce(diversity, 0) + 0.3 * coalesce(relevance, 0) + 0.2 * coverage, 6) AS overall FROM q JOIN m USING (query_id) LEFT JOIN r USING (query_id))""")(
+    lambda v: _retrieved(v)[1].select("query_id", *[F.round(c, 6).alias(c) for c in ("diversity", "relevance", "coverage", "overall")])
+)
+query("allowed_videos", """SELECT DISTINCT v.video_id FROM videos v JOIN guest_appearances a ON a.video_id = v.video_id JOIN guests g ON g.guest_id = a.guest_id JOIN chunk_topics t ON t.video_id = v.video_id
+    WHERE g.canonical_name = 'Supplier#000000003' AND t.name = 'green' AND language_iso = 'fr' AND upload_date >= date '1993-01-01'""")(lambda v: RT.allowed_videos(_filterable(v), parse_query('topic:Green guest:"supplier#000000003" language:fr after:1993-01-01 anything')))
+
+
+def _filterable(v):
+    return v.having(**{n: v.tables[n] for n in ("videos", "guests", "guest_appearances", "chunk_topics")})
+
+
+def stand_in_critic(prompt: str) -> str:
+    """A deterministic stand-in for stances: by the number of claims; it fails or talks nonsense for some topics."""
+    topic, lines = prompt.split('"')[1], prompt.count("\n- ")
+    if topic.endswith("3"):
+        raise RuntimeError("busy")
+    if topic.endswith("1"):
+        return "I have no opinion {really"
+    return "Sure: ```json\n" + json.dumps({"stance": ["Critical", "Supportive"][lines % 2], "consensus_score": lines / 100, "prevailing_narrative": topic}) + "\n```"
+
+
+query("claim_stances", """SELECT topic, least(count(*), 50) AS claims, CASE WHEN topic[-1] = '3' THEN 'Error' WHEN topic[-1] = '1' THEN 'Inconclusive' WHEN least(count(*), 50) % 2 = 0 THEN 'Critical' ELSE 'Supportive' END AS stance,
+    CASE WHEN topic[-1] = '3' THEN 0.0 WHEN topic[-1] = '1' THEN 0.5 ELSE least(count(*), 50) / 100.0 END::double AS consensus_score, CASE WHEN topic[-1] NOT IN ('1', '3') THEN topic END AS narrative FROM claims GROUP BY topic""")(lambda v: RT.stances(v.tables["claims"], stand_in_critic))

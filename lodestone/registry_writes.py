@@ -268,3 +268,8 @@ def merged_upserts(v) -> DataFrame:
 
 query("write_policies", """SELECT video_id, view_count + CASE WHEN e THEN 1 ELSE 0 END AS added, CASE WHEN e THEN greatest(like_count, 20) ELSE like_count END AS most, CASE WHEN e THEN least(like_count, 20) ELSE like_count END AS least, title AS kept, CASE WHEN e AND k % 4 <> 0 THEN 'fill' ELSE title END AS filled, CASE WHEN e THEN concat(title, ';more') ELSE title END AS united
     FROM (SELECT *, video_id::bigint AS k, video_id::bigint % 2 = 0 AS e FROM videos)""")(merged_upserts)
+query("export_stats", """SELECT concat('# Pipeline Statistics', chr(10), chr(10), '**Generated:** today', chr(10), chr(10), '| Metric | Count |', chr(10), '|---|---|', chr(10), '| Total Channels | ', (SELECT count(*) FROM channels), ' |', chr(10), '| Total Videos | ', count(*), ' |', chr(10),
+    '| Triage: Accepted | ', count(*) FILTER (triage_status = 'ACCEPTED'), ' |', chr(10), '| Triage: Rejected | ', count(*) FILTER (triage_status = 'REJECTED'), ' |', chr(10), '| Triage: Pending | ', count(*) FILTER (triage_status = 'PENDING_REVIEW'), ' |', chr(10),
+    '| Transcripts Fetched | ', count(*) FILTER (checkpoint_stage <> 'METADATA_HARVESTED'), ' |', chr(10), '| Chunks Indexed | ', (SELECT count(*) FROM transcript_chunks), ' |', chr(10), '| Guests Identified | ', (SELECT count(*) FROM guests), ' |', chr(10)) AS text FROM videos""")(
+    lambda v: export.stats_markdown(v.having(**{n: v.tables[n] for n in ("videos", "channels", "transcript_chunks", "guests")}), "today")
+)

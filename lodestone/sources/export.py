@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import file_name
+from lodestone.operators.aggregates import pipeline_stats
+from lodestone.schemas import STAGES
 from lodestone.vault import Vault
 
 #: Fixed header of citation tables.
@@ -49,6 +51,22 @@ def video_packages(vault: Vault) -> DataFrame:
     return full.select("video_id", F.to_json(F.struct("video_id", "title", "channel_id", "summary_text", "claims")).alias("json"))
 
 
+#: The rows of the table of figures and what they count.
+FIGURES = [("Total Channels", "total_channels"), ("Total Videos", "total_videos"), ("Triage: Accepted", "accepted"), ("Triage: Rejected", "rejected"), ("Triage: Pending", "pending_review"), ("Transcripts Fetched", "transcript_fetched"), ("Chunks Indexed", "total_chunks"), ("Guests Identified", "total_guests")]
+
+
+def stats_markdown(vault: Vault, at: str) -> DataFrame:
+    """One row (text): figures of the vault as a table; a transcript counts from its stage on."""
+    count = lambda table, name: getattr(vault, table).agg(F.count("*").alias(name))
+    stages = F.array(*[F.lit(x) for x in STAGES])
+    fetched = vault.videos.agg(F.count_if(F.array_position(stages, F.coalesce("checkpoint_stage", F.lit(""))) >= STAGES.index("TRANSCRIPT_FETCHED") + 1).alias("transcript_fetched"))
+    stats = pipeline_stats(vault).withColumnRenamed("total", "total_videos")
+    for one in (count("channels", "total_channels"), count("transcript_chunks", "total_chunks"), count("guests", "total_guests"), fetched):
+        stats = stats.join(one)  # one row each
+    rows = [F.concat(F.lit(f"| {name} | "), F.col(c).cast("string"), F.lit(" |\n")) for name, c in FIGURES]
+    return stats.select(F.concat(F.lit(f"# Pipeline Statistics\n\n**Generated:** {at}\n\n| Metric | Count |\n|---|---|\n"), *rows).alias("text"))
+
+
 def session_markdown(vault: Vault) -> DataFrame:
     """(session_id, text): each chat session as Markdown, messages in order."""
     line = F.concat(F.lit("**"), F.initcap("role"), F.lit("**: "), F.coalesce("content", F.lit("")))

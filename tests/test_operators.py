@@ -77,6 +77,7 @@ def test_query_parser():
     plan = parse_query('what is channel:"My Chan" topic:ai after:2024-01-01 before:2024-02-01 guest:Bob language:en   a ratio 1:10 topic:second')
     assert plan.text == "what is a ratio 1:10 topic:second"
     assert plan.filters == {"channel": "My Chan", "topic": "ai", "after": "2024-01-01", "before": "2024-02-01", "guest": "Bob", "language": "en"}
+    assert parse_query("lang:fr x").filters == {"language": "fr"} and parse_query("slang:fr x").filters == {}
     assert parse_query("plain").predicate() is None and plan.predicate() is not None
 
 
