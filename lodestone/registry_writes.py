@@ -211,12 +211,12 @@ query("write_temp_states", "SELECT video_id, CASE WHEN video_id::bigint % 2 = 0
 def log_writes(v) -> DataFrame:
     """Events logged, old ones cleared; snapshots of counts and stage times appended alike."""
     day = dt.datetime(2024, 1, 10)
-    out = _having(v, "pipeline_logs").append("pipeline_logs", v.tables["pipeline_metrics"].select(F.col("metric_id").alias("log_id"), "scan_id", "video_id", "stage", F.lit("INFO").alias("level"), F.concat(F.lit("took "), F.format_string("%.1f", "duration_seconds")).alias("message"), F.lit(LATER).cast("timestamp_ntz").alias("timestamp")))
+    out = _having(v, "pipeline_logs").append("pipeline_logs", v.tables["pipeline_metrics"].select(F.col("metric_id").alias("log_id"), "scan_id", "video_id", "stage", F.lit("INFO").alias("level"), F.concat(F.lit("took "), F.floor("duration_seconds").cast("string")).alias("message"), F.lit(LATER).cast("timestamp_ntz").alias("timestamp")))
     return L.clear_logs(out, day).pipeline_logs.groupBy("stage", "level").agg(F.count("*").alias("n"), F.min("log_id").alias("first"), F.max("message").alias("last_message"))
 
 
 query("write_logs", """SELECT stage, level, count(*) AS n, min(log_id) AS first, max(message) AS last_message FROM (SELECT log_id, stage, level, message FROM pipeline_logs WHERE timestamp >= timestamp '2024-01-10'
-    UNION ALL SELECT metric_id, stage, 'INFO', concat('took ', printf('%.1f', duration_seconds)) FROM pipeline_metrics) GROUP BY ALL""")(log_writes)
+    UNION ALL SELECT metric_id, stage, 'INFO', concat('took ', floor(duration_seconds)::bigint) FROM pipeline_metrics) GROUP BY ALL""")(log_writes)
 
 
 def lookups(v) -> DataFrame:
