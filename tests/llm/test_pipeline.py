@@ -58,8 +58,13 @@ def test_stages(spark, planted):
 @pytest.mark.parametrize("name", QUERIES)
 def test_query(spark, name):
     out = QUERIES[name](spark, SF)
-    name = "pages" if name == "op6_html" else "documents"
-    assert out.count() == spark.read.parquet(f"{SF}/{name}.parquet").count()
+    read = lambda name: spark.read.parquet(f"{SF}/{name}.parquet")
+    if name in ("op11_search", "op13_negatives"):  # searches: their whole results are compared with SQL below
+        assert out.count() > 0
+    elif name == "op12_neighbours":
+        assert out.count() == 20 * read("embeddings").filter("vec_id % 20 = 0").count()
+    else:
+        assert out.count() == read("pages" if name == "op6_html" else "documents").count()
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
