@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -83,6 +84,18 @@ def machine_events(v) -> DataFrame:
     return v.spark.sql(f"{sql} FROM machine_source").withColumn("at", F.col("moment").cast("timestamp")).drop("moment")
 
 
+@contextmanager
+def few_partitions(spark, most: int = 16):
+    """At most so many partitions of state while a stream starts: each keeps a store of its own in every batch."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), most)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def stage_stream(v) -> DataFrame:
     """The whole table in four files by time, streamed a file a batch, with the stream stopped and started again after two."""
     events = machine_events(v)
@@ -93,7 +106,8 @@ def stage_stream(v) -> DataFrame:
         part = events.filter((F.lit(True) if low is None else micros >= low) & (F.lit(True) if high is None else micros < high))
         part.coalesce(1).write.mode("append").parquet(f"{base}/in")
         if n in (1, 3):
-            M.run(M.results(v.spark.readStream.schema(M.EVENTS).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")), f"{base}/out", f"{base}/checkpoint")
+            with few_partitions(v.spark):
+                M.run(M.results(v.spark.readStream.schema(M.EVENTS).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")), f"{base}/out", f"{base}/checkpoint")
     return v.spark.read.schema(M.RESULTS).parquet(f"{base}/out").filter("kind <> 'timer'").select("event_id", "video_id", "scan_id", "kind", "result", "stage", "owner", "retries", "freed")
 
 
@@ -131,7 +145,8 @@ def discovery_stream(v) -> DataFrame:
         lines.filter((F.col("k") % 3 == n) | (F.col("k") % 3 == max(n - 1, 0))).select("value").write.text(f"{base}/in/scan={n}")
         if n:
             stream = v.spark.readStream.format("vault_discovery").option("progress", f"{base}/progress").load(f"{base}/in")
-            D.discovered(stream, known, marks).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+            with few_partitions(v.spark):
+                D.discovered(stream, known, marks).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return v.spark.read.parquet(f"{base}/out").select("video_id", "title", "channel_id", "upload_date", "problem", "raw", "is_new")
 
 
