@@ -131,8 +131,10 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *[c for c in edges.columns if c not in ("src", "dst")]))
 
 
-def neighbourhood(edges: DataFrame, node: str, limit: int = 50) -> DataFrame:
-    return undirected(edges).filter(F.col("src") == node).select("dst", "type", "weight").distinct().orderBy(F.col("weight").desc(), "dst", "type").limit(limit)
+def neighbourhood(edges: DataFrame, node: str, limit: int | None = 50) -> DataFrame:
+    """(dst, type, weight) of a node's edges either way, the strongest `limit` or, without one, all in no order."""
+    near = undirected(edges).filter(F.col("src") == node).select("dst", "type", "weight").distinct()
+    return near if limit is None else near.orderBy(F.col("weight").desc(), "dst", "type").limit(limit)
 
 
 def contradictions(edges: DataFrame) -> DataFrame:

@@ -5,6 +5,22 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 
+def test_neighbourhood_without_limit(spark, monkeypatch):
+    """The query has no limit, as its SQL has none."""
+    from lodestone import registry
+    from lodestone.operators import graph as G
+
+    edges = spark.createDataFrame([("video:1", "topic:small", "DISCUSSES", 1.0), ("topic:small", "topic:warm", "RELATED_TO", 2.0), ("topic:a", "topic:b", "RELATED_TO", 3.0)], "src string, dst string, type string, weight double")
+    assert {r.dst for r in G.neighbourhood(edges, "topic:small", None).collect()} == {"video:1", "topic:warm"}
+    assert [r.dst for r in G.neighbourhood(edges, "topic:small", 1).collect()] == ["topic:warm"]
+    asked = []
+    monkeypatch.setattr(G, "edges_of", lambda v: edges)
+    whole = G.neighbourhood
+    monkeypatch.setattr(G, "neighbourhood", lambda e, node, limit=50: asked.append(limit) or whole(e, node, limit))
+    registry.QUERIES["neighbourhood"](spark, "/none")
+    assert asked == [None]
+
+
 def test_guest_network_by_classes(spark):
     """Classes of equal topics, and every pair of guests follows from them."""
     from lodestone.operators import graph as G
