@@ -90,7 +90,7 @@ query("confidence_score", """SELECT round(least(count(DISTINCT c.name) / count(*
 query("chat_history", "SELECT session_id, string_agg(concat(role, ': ', content), chr(10) ORDER BY message_id) AS context FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY message_id DESC) AS rn FROM chat_messages) WHERE rn <= 6 GROUP BY 1")(lambda v: S.history(v.tables["chat_messages"]))
 
 query("guest_purge", "SELECT guest_id FROM guests WHERE length(trim(canonical_name)) >= 2")(lambda v: E.purge_noise(v.having(guests=v.guests, guest_appearances=v.guest_appearances)).guests.select("guest_id"))
-query("fuzzy_pairs")(lambda v: E.fuzzy_pairs(table(v, "customer").select(F.col("c_custkey").alias("guest_id"), F.col("c_name").alias("canonical_name"), F.lit(1).alias("mention_count"))))
+query("fuzzy_pairs")(lambda v: E.fuzzy_links(table(v, "customer").select(F.col("c_custkey").alias("guest_id"), F.col("c_name").alias("canonical_name"), F.lit(1).alias("mention_count"))))
 query("claim_clusters")(lambda v: E.claim_clusters(v.tables["claims"], X.bag_embedder))
 query("bridge_pairs", """SELECT topic_a, category_a, topic_b, category_b FROM (WITH k AS (SELECT DISTINCT category, t.name FROM videos v JOIN channels c ON v.channel_id = c.channel_id JOIN chunk_topics t ON t.video_id = v.video_id WHERE category <> 'UNCLASSIFIED' AND t.name IS NOT NULL),
     p AS (SELECT category, name, row_number() OVER (ORDER BY category, substring(md5(name), 1, 2), name) - 1 AS pos FROM k),

@@ -63,3 +63,38 @@ def test_claim_search_indexes_texts_once(spark, monkeypatch):
     monkeypatch.setattr(I, "search_copies", lambda *a, **k: called.append(1))
     registry.QUERIES["claim_search"](spark, "/root/testdata/sf0.001")
     assert called
+
+
+def test_fuzzy_links_count_the_pairs(spark, monkeypatch):
+    """Links and classes are those of fuzzy_pairs, over several blocks, with copies, nulls, flipped and odd names."""
+    import random
+
+    from lodestone.operators import entities as E
+
+    monkeypatch.setattr(E, "BLOCK", 20)
+    rng = random.Random(3)
+    names = ["Smith, Ann", "Ann Smith", "ann smith", None, "", " ", "é" * 9, "é" * 8 + "e", "Customer#000000001", "Customer#000000010", "Customer#000001234"]
+    for _ in range(12):
+        name = "".join(rng.choices("abcd 01", k=rng.randrange(3, 22)))
+        for _ in range(5):
+            at = rng.randrange(len(name))
+            names.append(name[:at] + rng.choice(["", "x", "a", "yz"]) + name[at + 1 :])
+    clean = [None if n is None else {"Smith, Ann": "ann smith"}.get(n, n.strip(" ").lower()) for n in names]
+    # copies are compared in the place of the first of them
+    place = {}
+    for i, n in enumerate(clean):
+        place.setdefault(n, i)
+    links, low = {i: 0 for i, n in enumerate(clean) if n is not None}, {i: i for i, n in enumerate(clean) if n is not None}
+    want = []
+    for i in links:
+        for j in links:
+            x, y = sorted((clean[i], clean[j]), key=place.get)
+            if i < j and E.similarity(x, y) >= 0.85:
+                want.append((i, j))
+                links[i], links[j] = links[i] + 1, links[j] + 1
+    while any(low[a] != low[b] for a, b in want):
+        for a, b in want:
+            low[a] = low[b] = min(low[a], low[b])
+    guests = spark.createDataFrame([(i, n, 1) for i, n in enumerate(names)], "guest_id long, canonical_name string, mention_count long")
+    got = {(r.guest_id, r.class_id, r.links) for r in E.fuzzy_links(guests).collect()}
+    assert got == {(i, low[i], links[i]) for i in links}

@@ -279,7 +279,13 @@ def test_fuzzy_pairs_query_compares_every_customer(spark):
     sf = "/root/testdata/sf0.001"
     names = sorted((r.c_custkey, r.c_name.lower()) for r in spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey", "c_name").collect())
     want = {(a, b) for i, (a, x) in enumerate(names) for b, y in names[i + 1 :] if E.similarity(x, y) >= 0.85}
-    assert {(r.guest_id, r.other_id) for r in registry.QUERIES["fuzzy_pairs"](spark, sf).collect()} == want
+    links, low = {a: 0 for a, _ in names}, {a: a for a, _ in names}
+    for a, b in sorted(want):
+        links[a], links[b] = links[a] + 1, links[b] + 1
+    while any(low[a] != low[b] for a, b in want):
+        for a, b in want:
+            low[a] = low[b] = min(low[a], low[b])
+    assert {(r.guest_id, r.class_id, r.links) for r in registry.QUERIES["fuzzy_pairs"](spark, sf).collect()} == {(a, low[a], links[a]) for a in links}
 
 
 def test_upsert_folds_repeated_keys_of_a_batch(spark):
