@@ -19,10 +19,11 @@ whether the lock before it ran out; and rows of kind `timer` for locks that a ti
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -82,8 +83,8 @@ class _Gate(StatefulProcessor):
                 out += [(e, r.at, v, s, k, status == "RUNNING" or k != "claim") for e, v, s, k in held]
                 self.held.clear()
                 waiting = []
-        for row in waiting:
-            self.held.appendValue(row)
+        if waiting:
+            self.held.appendList(waiting)
         if status != before:
             self.status.update((status,))
         if out:
@@ -93,8 +94,25 @@ class _Gate(StatefulProcessor):
         pass
 
 
+_ZERO = dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)
+_RESULT = Row(*[part.split()[0] for part in RESULTS.split(", ")])
+
+
+def _micros(at: dt.datetime) -> int:
+    return ((at if at.tzinfo else at.replace(tzinfo=dt.timezone.utc)) - _ZERO) // dt.timedelta(microseconds=1)
+
+
+def _result(event_id: int | None, at: int, *rest) -> Row:
+    return _RESULT(event_id, _ZERO + dt.timedelta(microseconds=at), *rest)
+
+
+def _timer(state: list) -> int | None:
+    """The millisecond of the timer that a state's lock has."""
+    return None if state[1] is None else -(-state[2] // 1000)
+
+
 class _Machine(StatefulProcessor):
-    """A video's stage, lock and tries."""
+    """A video's stage, lock and tries. There are many videos with few events each, so it works on rows and asks for its state once."""
 
     def __init__(self, lease: int, tries: int) -> None:
         self.lease, self.tries = lease, tries
@@ -105,7 +123,8 @@ class _Machine(StatefulProcessor):
         self.video = handle.getValueState("video", "stage string, owner string, until long, retries int, freed boolean, last long")
 
     def _state(self) -> list:
-        return list(self.video.get()) if self.video.exists() else [STAGES[0], None, None, 0, False, None]
+        known = self.video.get()
+        return [STAGES[0], None, None, 0, False, None] if known is None else list(known)
 
     def _apply(self, state: list, at: int, scan: str, kind: str) -> str:
         """Changes the state by one event and names what came of it."""
@@ -134,37 +153,41 @@ class _Machine(StatefulProcessor):
         state[1] = state[2] = None
         return {"done": "FINISHED", "fail": "GAVE_UP", "reject": "REJECTED", "wait": "WAITING", "release": "RELEASED"}[kind]
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         state = self._state()
-        out: list[tuple] = []
-        for r in _ordered(rows):
-            if state[5] is not None and r.at < state[5]:
-                out.append((r.event_id, r.at, r.video_id, r.scan_id, r.kind, "LATE", state[0], state[1], state[3], False))
+        before = _timer(state)
+        out: list[Row] = []
+        events = [(_micros(r.at), r.event_id, r.video_id, r.scan_id, r.kind, r.passed) for r in rows]
+        for at, event_id, video, scan, kind, passed in sorted(events, key=lambda e: (e[0], e[1] is None, e[1] or 0)):
+            if state[5] is not None and at < state[5]:
+                out.append(_result(event_id, at, video, scan, kind, "LATE", state[0], state[1], state[3], False))
                 continue
             freed = state[4]
-            if state[1] is not None and state[2] <= r.at:
+            if state[1] is not None and state[2] <= at:
                 freed, state[1], state[2] = True, None, None
-            result = self._apply(state, r.at, r.scan_id, r.kind) if r.passed else "STOPPED"
-            state[4], state[5] = False, r.at
-            out.append((r.event_id, r.at, r.video_id, r.scan_id, r.kind, result, state[0], state[1], state[3], freed))
+            result = self._apply(state, at, scan, kind) if passed else "STOPPED"
+            state[4], state[5] = False, at
+            out.append(_result(event_id, at, video, scan, kind, result, state[0], state[1], state[3], freed))
         self.video.update(tuple(state))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if state[1] is not None:
-            self.handle.registerTimer(-(-state[2] // 1000))
-        yield _frame(out, RESULTS)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        after = _timer(state)
+        if before != after:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            if after is not None:
+                self.handle.registerTimer(after)
+        yield from out
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         state = self._state()
         if state[1] is None or state[2] > expiredTimerInfo.getExpiryTimeInMs() * 1000:
             return
         owner, until = state[1], state[2]
         state[1], state[2], state[4], state[5] = None, None, True, max(state[5] or until, until)
         self.video.update(tuple(state))
-        yield _frame([(None, until, key[0], owner, "timer", "FREED", state[0], None, state[3], True)], RESULTS)
+        yield _result(None, until, key[0], owner, "timer", "FREED", state[0], None, state[3], True)
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        stage = initialState["stage"].iloc[0]
+        stage = initialState["stage"]
         self.video.update((stage if stage in STAGES else STAGES[0], None, None, 0, False, None))
 
     def close(self) -> None:
@@ -184,7 +207,7 @@ def results(events: DataFrame, lease_seconds: int = 6 * 3600, tries: int = TRIES
     rows = known.withWatermark("at", late).withColumn("share", F.explode(share))
     passed = rows.groupBy("scan_id", "share").transformWithStateInPandas(_Gate(), PASSED, "Append", "EventTime", eventTimeColumnName="at")
     initial = None if videos is None else videos.select("video_id", F.col("checkpoint_stage").alias("stage")).groupBy("video_id")
-    return passed.groupBy("video_id").transformWithStateInPandas(_Machine(lease_seconds * 1_000_000, tries), RESULTS, "Append", "EventTime", initialState=initial, eventTimeColumnName="at")
+    return passed.groupBy("video_id").transformWithState(_Machine(lease_seconds * 1_000_000, tries), RESULTS, "Append", "EventTime", initialState=initial, eventTimeColumnName="at")
 
 
 def run(found: DataFrame, path: str, checkpoint: str) -> None:

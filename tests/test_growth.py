@@ -98,3 +98,41 @@ def test_fuzzy_links_count_the_pairs(spark, monkeypatch):
     guests = spark.createDataFrame([(i, n, 1) for i, n in enumerate(names)], "guest_id long, canonical_name string, mention_count long")
     got = {(r.guest_id, r.class_id, r.links) for r in E.fuzzy_links(guests).collect()}
     assert got == {(i, low[i], links[i]) for i in links}
+
+
+def test_machine_asks_for_its_state_once():
+    """A call of a video's machine reads its state once, lists no timers, and works on rows."""
+    import datetime as dt
+
+    from pyspark.sql import Row
+
+    from lodestone.streaming import machine as M
+
+    calls, kept = [], {}
+
+    class Value:
+        def get(self):
+            calls.append("get")
+            return kept.get("v")
+
+        def update(self, value):
+            kept["v"] = value
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return Value()
+
+        def registerTimer(self, at):
+            calls.append(("register", at))
+
+        def deleteTimer(self, at):
+            calls.append(("delete", at))
+
+    machine = M._Machine(10_000_000, 3)
+    machine.init(Handle())
+    event = lambda i, s, kind: Row(event_id=i, at=dt.datetime(1970, 1, 1, 0, 0, s), video_id="a", scan_id="s", kind=kind, passed=True)
+    out = list(machine.handleInputRows(("a",), iter([event(2, 2, "done"), event(1, 1, "claim")]), None))
+    assert [(r.event_id, r.result) for r in out] == [(1, "CLAIMED"), (2, "ADVANCED")]
+    assert calls == ["get", ("register", 12_000)]
+    list(machine.handleInputRows(("a",), iter([event(3, 4, "release")]), None))
+    assert calls[2:] == ["get", ("delete", 12_000)]
