@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestone.cut import stored
 from lodestone.functions.text import cosine_distance, deep_link, minutes_seconds
 
 K1, B, RRF_K = 1.2, 0.75, 60
@@ -104,8 +106,9 @@ def best_snippet(text: Column, phrases: list[list[str]], width: int = 30) -> Col
             every = []
             for k, phrase in enumerate(phrases):
                 size = len(phrase)
-                lit = F.array(*[F.lit(p) for p in phrase])
-                at = F.filter(F.sequence(F.lit(1), F.greatest(F.size(n) - size + 1, F.lit(1))), lambda i: F.slice(n, i, size) == lit)  # noqa: B023
+                # tokens compared in place: a slice for each start would be an array for each token
+                here = lambda i: reduce(Column.__and__, [F.get(n, i + j) == word for j, word in enumerate(phrase)])  # noqa: B023, E731
+                at = F.transform(F.filter(F.sequence(F.lit(0), F.greatest(F.size(n) - size, F.lit(0))), here), lambda i: i + 1)
                 every.append(F.transform(at, lambda i: F.struct((i - 1).alias("start"), F.lit(size).alias("size"), F.lit(k).alias("phrase"))))  # noqa: B023
             return F.array_sort(F.concat(*every))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 
@@ -136,3 +137,19 @@ def test_machine_asks_for_its_state_once():
     assert calls == ["get", ("register", 12_000)]
     list(machine.handleInputRows(("a",), iter([event(3, 4, "release")]), None))
     assert calls[2:] == ["get", ("delete", 12_000)]
+
+
+@pytest.mark.parametrize("name", ["hybrid_citations", "bm25_indexed", "bm25_indexed_phrase", "bm25_search"])
+def test_snippet_compares_tokens_in_place(spark, monkeypatch):
+    """No slice is made for each start; hits at the ends and in texts shorter than the phrase are as in plain Python."""
+    from lodestone.plans import search as S
+
+    phrases = [["the"], ["of", "the", "sea"]]
+    texts = ["the", "of", "of the", "x of the sea", "of the sea the", "", None, "Of THE, sea of the sky"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    shown = rows.select("i", S.best_snippet(F.col("text"), phrases).alias("s"))
+    assert {r.i: r.s for r in shown.collect()} == {i: S.plain_snippet(t, phrases) for i, t in enumerate(texts)}
+    sizes, cut = [], F.slice
+    monkeypatch.setattr(S.F, "slice", lambda x, start, size: sizes.append(size) or cut(x, start, size))
+    S.best_snippet(F.col("text"), phrases)
+    assert set(sizes) == {30 * len(phrases)}
