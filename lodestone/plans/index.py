@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.cut import stored
 from lodestone.plans.search import K1, B, query_tokens, tokens
 
 
@@ -51,7 +52,7 @@ def search(index: tuple[DataFrame, DataFrame], query: str, limit: int | None = 2
     shifted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(w).alias("w")) for i, w in enumerate(phrase)])
     starts = own.select("chunk_id", F.explode(F.filter(shifted, lambda s: s["w"] == F.col("term"))).alias("s"), "positions").select("chunk_id", "s.i", F.explode(F.transform("positions", lambda p: p - F.col("s.i"))).alias("at"))
     hits = starts.groupBy("chunk_id", "at").agg(F.count("*").alias("n")).filter(F.col("n") == len(phrase)).groupBy("chunk_id").agg(F.count("*").cast("int").alias("f"))
-    hits = hits.join(sizes, "chunk_id")
+    hits = stored(hits.join(sizes, "chunk_id"), "hits")  # read for their number and for their scores
     stats = sizes.agg(F.count("*").alias("n"), F.avg("d").alias("mean")).join(hits.agg(F.count("*").alias("hits")))  # one row and one row
     idf = F.ln((F.col("n") - F.col("hits") + 0.5) / (F.col("hits") + 0.5))
     idf = F.when(idf > 0, idf).otherwise(F.lit(1e-6))

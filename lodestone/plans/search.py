@@ -188,13 +188,15 @@ def search_transcript(chunks: DataFrame, video_id: str, query: str) -> DataFrame
 
 
 def nearest(vectors: DataFrame, query: list[float], limit: int = 15, where: Column | None = None, text_has: str | None = None) -> DataFrame:
-    """Exact nearest neighbours by cosine distance: filter, distance, top-k per partition, then of those."""
+    """Exact nearest neighbours by cosine distance: filter, distance, top-k per partition, then of those. Rows that have a `distance` from the query keep it."""
     rows = vectors if where is None else vectors.filter(where)
     if text_has:
         rows = rows.filter(F.contains("text", F.lit(text_has)))
     wanted = F.array(*[F.lit(float(x)) for x in query])
     key = vectors.columns[0]
-    return rows.withColumn("distance", cosine_distance(F.col("embedding"), wanted)).orderBy("distance", key).limit(limit)
+    if "distance" not in rows.columns:
+        rows = rows.withColumn("distance", cosine_distance(F.col("embedding"), wanted))
+    return rows.orderBy("distance", key).limit(limit)
 
 
 def ranked(df: DataFrame, *order: Column) -> DataFrame:
@@ -274,6 +276,7 @@ def hybrid(chunks: DataFrame, vectors: DataFrame, query: str, vector: list[float
     hits = fuse(ranked(v, F.col("distance"), F.col("chunk_id")), ranked(bm25(kept, query, top), F.col("score"), F.col("chunk_id")))
     facts = kept.select("chunk_id", "video_id", "chunk_index", F.col("start_timestamp").alias("start"), F.col("end_timestamp").alias("end"))
     hits = facts.join(F.broadcast(hits), "chunk_id").drop("rrf")  # at most 2 * top rows
+    hits = stored(hits, "hits")  # few rows that took passes over all chunks and are read more than once
     if topic_videos is not None:
         hits = topic_boost(hits, topic_videos)
     hits = drop_neighbours(hits)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.cut import stored
 from lodestone.functions import text as X
 from lodestone.functions.triage import rule_triage
 from lodestone.operators import entities as E
@@ -55,20 +56,39 @@ def _texts(v) -> DataFrame:
     return v.transcript_chunks.select("chunk_id", "video_id", "chunk_index", F.col("cleaned_text").alias("text"), "start_timestamp", "end_timestamp")
 
 
-query("bm25_search", f"SELECT chunk_id, round(score, 6) AS score FROM ({_BM})")(lambda v: S.bm25(_texts(v), "Ring", None).select("chunk_id", F.round("score", 6).alias("score")))
+def _texts_once(v) -> DataFrame:
+    """The same, written once: a search reads them several times, and they are a window over all chunks joined to their texts."""
+    return stored(_texts(v), "texts")
+
+
+def _searched(v) -> tuple[DataFrame, DataFrame]:
+    texts = _texts_once(v)
+    return index.postings(texts), index.lengths(texts)
+
+
+query("bm25_search", f"SELECT chunk_id, round(score, 6) AS score FROM ({_BM})")(lambda v: S.bm25(_texts_once(v), "Ring", None).select("chunk_id", F.round("score", 6).alias("score")))
 _PHRASE = _BM.replace(f"len(list_filter({_TOK.format('text')}, lambda x: x = 'ring'))::double AS f", f"len(list_filter(range(1, len({_TOK.format('text')})), lambda i: {_TOK.format('text')}[i] = 'small' AND {_TOK.format('text')}[i + 1] = 'ring'))::double AS f")
-query("bm25_phrase", f"SELECT chunk_id, video_id, round(score, 6) AS score, cast(f AS int) AS f FROM ({_PHRASE})")(lambda v: S.bm25(_texts(v), "small ring", None).withColumn("score", F.round("score", 6)))
-query("search_all_transcripts", f"SELECT video_id, hits FROM (SELECT video_id, count(*) AS hits, min(score) AS best, any_value(upload_date) AS day FROM ({_BM}) JOIN videos USING (video_id) GROUP BY 1 ORDER BY round(best, 9), hits DESC, day DESC, video_id LIMIT 1000000)")(lambda v: S.search_videos(_texts(v), v.videos, "ring", 1_000_000).select("video_id", "hits"))
+query("bm25_phrase", f"SELECT chunk_id, video_id, round(score, 6) AS score, cast(f AS int) AS f FROM ({_PHRASE})")(lambda v: S.bm25(_texts_once(v), "small ring", None).withColumn("score", F.round("score", 6)))
+query("search_all_transcripts", f"SELECT video_id, hits FROM (SELECT video_id, count(*) AS hits, min(score) AS best, any_value(upload_date) AS day FROM ({_BM}) JOIN videos USING (video_id) GROUP BY 1 ORDER BY round(best, 9), hits DESC, day DESC, video_id LIMIT 1000000)")(lambda v: S.search_videos(_texts_once(v), v.videos, "ring", 1_000_000).select("video_id", "hits"))
 query("search_transcript", f"SELECT chunk_id FROM {_PART} WHERE video_id = '4' AND contains(text, 'r')")(lambda v: S.search_transcript(_texts(v), "4", "r").select("chunk_id"))
 _VEC = [((7 * i) % 13 - 6) / 10.0 for i in range(64)]
 query("vector_topk", f"SELECT vec_id, round(1 - list_cosine_similarity(embedding::double[], {_VEC}::double[]), 6) AS distance FROM embeddings ORDER BY 1 - list_cosine_similarity(embedding::double[], {_VEC}::double[]), vec_id LIMIT 15")(lambda v: S.nearest(table(v, "embeddings"), _VEC).select("vec_id", F.round("distance", 6).alias("distance")))
 query("vector_topk_filtered", f"SELECT vec_id, round(1 - list_cosine_similarity(embedding::double[], {_VEC}::double[]), 6) AS distance FROM embeddings WHERE label IN (1, 2) ORDER BY 1 - list_cosine_similarity(embedding::double[], {_VEC}::double[]), vec_id LIMIT 15")(lambda v: S.nearest(table(v, "embeddings"), _VEC, where=F.col("label").isin(1, 2)).select("vec_id", F.round("distance", 6).alias("distance")))
 
 
-def _vectors(v) -> DataFrame:
-    """Chunks get the vectors of the embeddings table in turn."""
-    e = table(v, "embeddings")
-    return _texts(v).withColumn("vec_id", F.pmod(F.crc32("chunk_id"), F.lit(500))).join(e.select("vec_id", "embedding"), "vec_id").drop("vec_id").select("chunk_id", "video_id", "embedding")
+def _vectors(v, texts: DataFrame) -> DataFrame:
+    """Chunks get the vectors of the embeddings table in turn; each vector's distance from the query is found once, not for each of its chunks."""
+    e = table(v, "embeddings").select("vec_id", X.cosine_distance(F.col("embedding"), F.array(*[F.lit(x) for x in _VEC])).alias("distance"))
+    return texts.withColumn("vec_id", F.pmod(F.crc32("chunk_id"), F.lit(500))).join(e, "vec_id").select("chunk_id", "video_id", "distance")
+
+
+def _hybrid(v, texts: DataFrame, **rest) -> DataFrame:
+    return S.hybrid(texts, _vectors(v, texts), "ring", _VEC, **rest)
+
+
+def _cited(v) -> DataFrame:
+    texts = _texts_once(v)
+    return S.citations(_hybrid(v, texts), texts, v.videos, v.channels)
 
 
 _RV = f"(SELECT vec_id, row_number() OVER (ORDER BY 1 - list_cosine_similarity(embedding::double[], {_VEC}::double[]), vec_id) - 1 AS r FROM embeddings ORDER BY r LIMIT 15)"
@@ -82,8 +102,8 @@ def _fused(v) -> DataFrame:
 
 
 query("rrf_fusion", f"""SELECT coalesce(a.vec_id, b.vec_id) AS chunk_id, round(coalesce(1.0::double / (60 + a.r + 1), 0) + coalesce(1.0::double / (60 + b.r + 1), 0), 9) AS rrf FROM {_RV} a FULL JOIN {_RT} b ON a.vec_id = b.vec_id""")(lambda v: _fused(v).select("chunk_id", F.round("rrf", 9).alias("rrf")))
-query("hybrid_search")(lambda v: S.hybrid(_texts(v), _vectors(v), "ring", _VEC, topic_videos=v.tables["chunk_topics"].filter(F.col("name") == "small").select("video_id", "relevance")))
-query("hybrid_citations")(lambda v: S.citations(S.hybrid(_texts(v), _vectors(v), "ring", _VEC), _texts(v), v.videos, v.channels))
+query("hybrid_search")(lambda v: _hybrid(v, _texts_once(v), topic_videos=v.tables["chunk_topics"].filter(F.col("name") == "small").select("video_id", "relevance")))
+query("hybrid_citations")(_cited)
 query("confidence_score", """SELECT round(least(count(DISTINCT c.name) / count(*)::double, 1.0), 6) AS diversity, round(greatest(0, least(1, 1 - avg(v.triage_confidence))), 6) AS relevance, 0.5::double AS coverage FROM videos v JOIN channels c USING (channel_id) WHERE v.video_id IN ('1', '2', '3', '4', '5', '6')""")(
     lambda v: S.confidence(v.videos.filter(F.col("video_id").isin("1", "2", "3", "4", "5", "6")).join(v.channels.select("channel_id", F.col("name").alias("channel_name")), "channel_id").select("channel_name", F.col("triage_confidence").alias("distance"), F.col("title").alias("excerpt")), ["video", "unicorn", "a"]).select(F.round("diversity", 6).alias("diversity"), F.round("relevance", 6).alias("relevance"), "coverage")
 )
@@ -144,8 +164,8 @@ query("export_guests", "SELECT canonical_name, entity_type, '' AS aliases, menti
 query("export_sessions", "SELECT session_id, string_agg(concat('**', upper(role[1]), role[2:], '**: ', content), chr(10) || chr(10) ORDER BY message_id) AS text FROM chat_messages GROUP BY 1")(lambda v: export.session_markdown(v))
 query("export_claim_notes", "SELECT concat('claims/claim ', cast(claim_id AS string), '.md') AS path FROM claims JOIN videos USING (video_id)")(lambda v: export.notes(v, "claims").select("path"))
 query("export_video_packages")(lambda v: export.video_packages(v))
-query("bm25_indexed", f"SELECT chunk_id, round(score, 6) AS score FROM ({_BM})")(lambda v: index.search((index.postings(_texts(v)), index.lengths(_texts(v))), "Ring", None).select("chunk_id", F.round("score", 6).alias("score")))
-query("bm25_indexed_phrase", f"SELECT chunk_id, round(score, 6) AS score FROM ({_PHRASE})")(lambda v: index.search((index.postings(_texts(v)), index.lengths(_texts(v))), "small ring", None).select("chunk_id", F.round("score", 6).alias("score")))
+query("bm25_indexed", f"SELECT chunk_id, round(score, 6) AS score FROM ({_BM})")(lambda v: index.search(_searched(v), "Ring", None).select("chunk_id", F.round("score", 6).alias("score")))
+query("bm25_indexed_phrase", f"SELECT chunk_id, round(score, 6) AS score FROM ({_PHRASE})")(lambda v: index.search(_searched(v), "small ring", None).select("chunk_id", F.round("score", 6).alias("score")))
 query("postings", f"SELECT term, count(*) AS chunks, cast(sum(n) AS bigint) AS n FROM (SELECT chunk_id, term, count(*) AS n FROM (SELECT chunk_id, unnest({_TOK.format('text')}) AS term FROM {_PART}) GROUP BY 1, 2) GROUP BY 1")(
     lambda v: index.postings(_texts(v)).groupBy("term").agg(F.count("*").alias("chunks"), F.sum(F.size("positions")).alias("n"))
 )

@@ -140,6 +140,14 @@ def test_machine_asks_for_its_state_once():
 
 
 @pytest.mark.parametrize("name", ["hybrid_citations", "bm25_indexed", "bm25_indexed_phrase", "bm25_search"])
+def test_chunks_are_made_once(spark, name):
+    """The view of chunks, a window over all line items, is written once; what a query then reads is no longer that view."""
+    from lodestone import registry, registry_index, registry_text  # noqa: F401
+
+    plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_linenumber" not in plan
+
+
 def test_snippet_compares_tokens_in_place(spark, monkeypatch):
     """No slice is made for each start; hits at the ends and in texts shorter than the phrase are as in plain Python."""
     from lodestone.plans import search as S
