@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.cut import cut, stored
+from lodestone.cut import stored
 from lodestone.operators.aggregates import chunk_topics
 from lodestone.vault import Vault
 
@@ -66,10 +66,11 @@ def guest_network(vault: Vault) -> DataFrame:
 
 
 def topic_cooccurrence(vault: Vault) -> DataFrame:
-    """(topic_a, topic_b, n): pairs of topics by the number of videos that discuss both. Pairs are made inside each video."""
-    lists = chunk_topics(vault).groupBy("video_id").agg(F.array_sort(F.collect_set("name")).alias("t"))
+    """(topic_a, topic_b, n): pairs of topics by the number of videos that discuss both. Pairs are made inside each set of topics, once for all videos that have it."""
+    topics = chunk_topics(vault).select("video_id", "name").distinct()
+    lists = topics.groupBy("video_id").agg(F.array_sort(F.collect_list("name")).alias("t")).groupBy("t").agg(F.count("*").alias("m"))
     pairs = F.flatten(F.transform("t", lambda a, i: F.transform(F.slice("t", i + 2, F.size("t")), lambda b: F.struct(a.alias("topic_a"), b.alias("topic_b")))))
-    return lists.select(F.inline(pairs)).groupBy("topic_a", "topic_b").agg(F.count("*").alias("n"))
+    return lists.select("m", F.inline(pairs)).groupBy("topic_a", "topic_b").agg(F.sum("m").alias("n"))
 
 
 def central_authorities(vault: Vault, limit: int | None = 10) -> DataFrame:
@@ -117,6 +118,17 @@ def edges_of(vault: Vault) -> DataFrame:
     return published.union(appeared).union(discusses).union(related)
 
 
+def links_of(vault: Vault) -> DataFrame:
+    """(src, dst) of the edges of edges_of, without their weights; a link may come more than once, which spares the shuffles that count it once."""
+    topic = lambda c: F.concat(F.lit("topic:"), c)
+    video = lambda c: F.concat(F.lit("video:"), c)
+    published = vault.videos.select(F.concat(F.lit("channel:"), "channel_id").alias("src"), video(F.col("video_id")).alias("dst"))
+    appeared = vault.guest_appearances.select(F.concat(F.lit("guest:"), F.col("guest_id").cast("string")), video(F.col("video_id")))
+    discusses = chunk_topics(vault).select(video(F.col("video_id")), topic(F.col("name")))
+    related = topic_cooccurrence(vault).select(topic(F.col("topic_a")), topic(F.col("topic_b")))
+    return published.union(appeared).union(discusses).union(related)
+
+
 def graph_stats(edges: DataFrame) -> DataFrame:
     """(label, n): vertices by label and edges by type."""
     ends = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
@@ -148,25 +160,29 @@ def taxonomy_context(edges: DataFrame, topic: str) -> DataFrame:
     return sub.agg(F.array_sort(F.collect_set(F.when(F.col("src") == topic, F.col("dst")))).alias("parents"), F.array_sort(F.collect_set(F.when(F.col("dst") == topic, F.col("src")))).alias("children"))
 
 
-def distances(edges: DataFrame, start: str, depth: int = 3) -> DataFrame:
+def distances(edges: DataFrame, start: str, depth: int = 3, until: str | None = None) -> DataFrame:
     """(id, distance, before) of nodes within `depth` undirected steps of one node: a frontier that only meets new nodes.
 
-    Edges and each frontier are checkpointed, so a step's plan doesn't hold those before it.
+    until: no step follows the one that reaches this node. Edges are written once, in one direction, and read both ways; each frontier is written too,
+    so a step's plan doesn't hold those before it.
     """
-    both = cut(undirected(edges.select("src", "dst")).distinct())
+    links = stored(edges.select("src", "dst"), "links")
     spark = edges.sparkSession
     found = spark.createDataFrame([(start, 0, None)], "id string, distance int, before string")
     frontier = found
     for step in range(1, depth + 1):
-        near = both.join(frontier.select(F.col("id").alias("src")), "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("before"))
-        frontier = cut(near.join(found.select("id"), "id", "left_anti").select("id", F.lit(step).alias("distance"), "before"))
+        if until is not None and not frontier.filter(F.col("id") == until).isEmpty():
+            break
+        ends = [links.join(frontier.select(F.col("id").alias(a)), a).select(F.col(b).alias("id"), F.col(a).alias("before")) for a, b in (("src", "dst"), ("dst", "src"))]
+        near = ends[0].unionByName(ends[1]).groupBy("id").agg(F.min("before").alias("before"))
+        frontier = stored(near.join(found.select("id"), "id", "left_anti").select("id", F.lit(step).alias("distance"), "before"), "frontier")
         found = found.unionByName(frontier)
     return found
 
 
 def shortest_path(edges: DataFrame, start: str, end: str, depth: int = 3) -> DataFrame:
     """One row (path, length) of a shortest undirected path, the least by names of the nodes before, or none."""
-    found = distances(edges, start, depth)
+    found = distances(edges, start, depth, end)
     path = found.filter(F.col("id") == end).select(F.array("id").alias("path"), F.col("before").alias("at"), F.col("distance").alias("length"))
     for _ in range(depth):
         back = found.select(F.col("id").alias("at"), F.col("before").alias("next"))

@@ -116,9 +116,9 @@ query("graph_stats", f"SELECT split_part(id, ':', 1) AS label, count(*) AS n FRO
 query("degrees", f"SELECT id, count(*) AS degree FROM (SELECT src AS id FROM {_EDGES} UNION ALL SELECT dst FROM {_EDGES}) GROUP BY 1")(lambda v: G.degrees(G.edges_of(v)))
 query("neighbourhood", f"SELECT DISTINCT CASE WHEN src = 'topic:small' THEN dst ELSE src END AS dst, type, round(weight, 6) AS weight FROM {_WEIGHTED} WHERE src = 'topic:small' OR dst = 'topic:small'")(lambda v: G.neighbourhood(G.edges_of(v), "topic:small", None).withColumn("weight", F.round("weight", 6)))
 query("distances", f"""SELECT id, min(d) AS distance FROM (SELECT 'guest:7' AS id, 0 AS d UNION ALL SELECT dst, 1 FROM {_EDGES} WHERE src = 'guest:7' UNION ALL
-    SELECT CASE WHEN e.src = f.dst THEN e.dst ELSE e.src END, 2 FROM {_EDGES} e JOIN (SELECT dst FROM {_EDGES} WHERE src = 'guest:7') f ON e.src = f.dst OR e.dst = f.dst) GROUP BY 1""")(lambda v: G.distances(G.edges_of(v), "guest:7", 2).select("id", "distance"))
+    SELECT CASE WHEN e.src = f.dst THEN e.dst ELSE e.src END, 2 FROM {_EDGES} e JOIN (SELECT dst FROM {_EDGES} WHERE src = 'guest:7') f ON e.src = f.dst OR e.dst = f.dst) GROUP BY 1""")(lambda v: G.distances(G.links_of(v), "guest:7", 2).select("id", "distance"))
 query("shortest_path", """SELECT concat('guest:7 > ', via, ' > channel:3') AS path, cast(2 AS int) AS length FROM (SELECT min(concat('video:', video_id)) AS via FROM guest_appearances JOIN videos USING (video_id) WHERE guest_id = 7 AND channel_id = '3') WHERE via IS NOT NULL""")(
-    lambda v: G.shortest_path(G.edges_of(v), "guest:7", "channel:3", 3).withColumn("path", F.array_join("path", " > "))
+    lambda v: G.shortest_path(G.links_of(v), "guest:7", "channel:3", 3).withColumn("path", F.array_join("path", " > "))
 )
 
 query("videos_by_status", "SELECT video_id, channel_id, created_at FROM videos WHERE triage_status = 'ACCEPTED' AND NOT is_deleted ORDER BY created_at DESC, video_id LIMIT 500")(lambda v: R.videos_by_status(v, "ACCEPTED").select("video_id", "channel_id", "created_at"))

@@ -148,6 +148,24 @@ def test_chunks_are_made_once(spark, name):
     assert "l_linenumber" not in plan
 
 
+def test_graph_is_written_once_in_one_direction(spark, monkeypatch):
+    """Links may repeat and are written as they are; a search for one node ends with the step that reaches it; topics of equal sets are paired once."""
+    from lodestone.operators import graph as G
+    from lodestone.vault import Vault
+
+    written = []
+    store = G.stored
+    monkeypatch.setattr(G, "stored", lambda df, name: written.append(name) or store(df, name))
+    links = spark.createDataFrame([("a", "b"), ("a", "b"), ("c", "b"), ("c", "d"), ("e", "d")], "src string, dst string")
+    assert {tuple(r) for r in G.distances(links, "a", 3).collect()} == {("a", 0, None), ("b", 1, "a"), ("c", 2, "b"), ("d", 3, "c")}
+    written.clear()
+    assert G.shortest_path(links, "a", "b", 3).first().path == ["a", "b"]
+    assert written == ["links", "frontier"]
+    said = [(v, n) for v, t in (("1", "abb"), ("2", "ab"), ("3", "abc"), ("4", "c")) for n in t]
+    vault = Vault(spark, {"chunk_topics": spark.createDataFrame(said, "video_id string, name string")})
+    assert {tuple(r) for r in G.topic_cooccurrence(vault).collect()} == {("a", "b", 3), ("a", "c", 1), ("b", "c", 1)}
+
+
 def test_snippet_compares_tokens_in_place(spark, monkeypatch):
     """No slice is made for each start; hits at the ends and in texts shorter than the phrase are as in plain Python."""
     from lodestone.plans import search as S
