@@ -84,7 +84,7 @@ def search_copies(rows: DataFrame, id_column: str, text_column: str, texts: Data
 
 query("summary_search")(lambda v: search_texts(v.tables["transcripts"].select("video_id", "language_iso", "text"), "video_id", "text", table(v, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), 5, F.col("language_iso") == "en"))
 query("claim_search")(lambda v: search_copies(v.tables["claims"].select("claim_id", "confidence", "claim_text"), "claim_id", "claim_text", table(v, "part").filter("p_partkey % 100 = 0").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("query")), 10, F.col("confidence") >= 0.5))
-query("claim_corroboration")(lambda v: C.corroborated(v.tables["claims"], C.clusters(v.tables["claims"].drop("cluster_id"), X.bag_embedder), v.videos).select("claim_id", "cluster_id", "corroboration_count"))
+query("claim_corroboration")(lambda v: C.corroboration(v.tables["claims"].drop("cluster_id"), X.bag_embedder, v.videos).select("claim_id", "cluster_id", "corroboration_count"))
 
 
 # --- streams: the events table as the work and control of scans over videos -------------------------------------------------

@@ -179,3 +179,39 @@ def test_snippet_compares_tokens_in_place(spark, monkeypatch):
     monkeypatch.setattr(S.F, "slice", lambda x, start, size: sizes.append(size) or cut(x, start, size))
     S.best_snippet(F.col("text"), phrases)
     assert set(sizes) == {30 * len(phrases)}
+
+
+def test_claims_are_joined_once(spark, monkeypatch):
+    """Only claims that others can take from meet in rounds; keys whose first claims are all of few videos are read to their end."""
+    import random
+
+    from lodestone.functions.text import bag_embedder
+    from lodestone.operators import corroboration as C
+
+    rng = random.Random(5)
+    texts = ["red ring", "ring red", "blue bolt", None, "small red ring of steel"]
+    # the first text's first 40 claims are of one video, those of the second of two
+    rows = [(i, "v0", texts[0], None) for i in range(40)] + [(i, f"v{i % 2}", texts[1], None) for i in range(40, 90)]
+    rows += [(i, rng.choice([None, *(f"v{k}" for k in range(9))]), rng.choice(texts), f"old{i % 3}" if i % 41 == 0 else None) for i in range(100, 400)]
+    claims = spark.createDataFrame(rows, "claim_id long, video_id string, claim_text string, cluster_id string")
+    sizes, longer, roots, foremost = [], [], C.roots, C._foremost
+    monkeypatch.setattr(C, "roots", lambda links: sizes.append(links.count()) or roots(links))
+    monkeypatch.setattr(C, "_foremost", lambda *a: longer.append(1) or foremost(*a))
+    want = C.sequential(rows, bag_embedder)
+    assert {r.claim_id: r.cluster_id for r in C.clusters(claims, bag_embedder, cells=4).collect()} == want
+    assert longer and sizes[0] <= 30 * len(texts)
+    videos = spark.createDataFrame([(f"v{k}", f"c{k % 4}") for k in range(9)], "video_id string, channel_id string")
+    channels: dict = {}
+    for i, video, _, _ in rows:
+        channels.setdefault(want[i], set()).update([int(video[1:]) % 4] if video else [])
+    got = {r.claim_id: (r.cluster_id, r.corroboration_count) for r in C.corroboration(claims, bag_embedder, videos, cells=4).collect()}
+    assert got == {i: (c, len(channels[c])) for i, c in want.items()}
+
+
+@pytest.mark.parametrize("name", ["claim_corroboration", "claim_clusters"])
+def test_claims_are_made_once(spark, name):
+    """The view of claims, a window over all line items, is written once; what a query then reads is no longer that view."""
+    from lodestone import registry, registry_index, registry_text  # noqa: F401
+
+    plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_linenumber" not in plan
