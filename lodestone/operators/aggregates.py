@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestone.cut import stored
 from lodestone.vault import Vault
 
 
@@ -79,9 +80,30 @@ def topic_mentions_over_time(vault: Vault, topic: str) -> DataFrame:
     return chunks.join(vault.videos.select("video_id", F.col("upload_date").alias("day")), "video_id").filter(F.col("day").isNotNull()).groupBy("day").agg(F.count("*").alias("n"))
 
 
-def topic_velocity(vault: Vault) -> DataFrame:
-    """(name, velocity, trend): mean mentions of the last two days with any over the mean of the days before."""
-    daily = chunk_topics(vault).select("chunk_id", "video_id", "name").distinct().join(vault.videos.select("video_id", F.col("upload_date").alias("day")), "video_id").filter(F.col("day").isNotNull()).groupBy("name", "day").agg(F.count("*").alias("n"))
+def topic_lists(vault: Vault) -> DataFrame:
+    """(video_id, topics): a video's topics as an array of (name, mentions), the chunks that mention one; written once.
+
+    Rows meet by video in one shuffle, in four times as many partitions as others have, since a task holds three aggregates at once.
+    """
+    n = 4 * max(1, int(vault.spark.conf.get("spark.sql.shuffle.partitions")))
+    said = chunk_topics(vault).select("chunk_id", "video_id", "name").repartition(n, "video_id").distinct()
+    each = said.groupBy("video_id", "name").agg(F.count("*").alias("mentions"))
+    return stored(each.groupBy("video_id").agg(F.collect_list(F.struct("name", "mentions")).alias("topics")), "topic_lists")
+
+
+def topic_days(vault: Vault, lists: DataFrame) -> DataFrame:
+    """(name, channel_id, day, videos, seconds, mentions): sums over videos by topic, channel and day, from topic_lists(); written once."""
+    videos = vault.videos.select("video_id", "channel_id", F.col("upload_date").alias("day"), "duration_seconds")
+    each = lists.join(videos, "video_id").select("channel_id", "day", "duration_seconds", F.inline("topics"))
+    return stored(each.groupBy("name", "channel_id", "day").agg(F.count("*").alias("videos"), F.sum("duration_seconds").alias("seconds"), F.sum("mentions").alias("mentions")), "topic_days")
+
+
+def topic_velocity(vault: Vault, days: DataFrame | None = None) -> DataFrame:
+    """(name, velocity, trend): mean mentions of the last two days with any over the mean of the days before. days: of topic_days(), where they are known."""
+    if days is None:
+        daily = chunk_topics(vault).select("chunk_id", "video_id", "name").distinct().join(vault.videos.select("video_id", F.col("upload_date").alias("day")), "video_id").filter(F.col("day").isNotNull()).groupBy("name", "day").agg(F.count("*").alias("n"))
+    else:
+        daily = days.filter(F.col("day").isNotNull()).groupBy("name", "day").agg(F.sum("mentions").alias("n"))
     w = Window.partitionBy("name").orderBy(F.col("day").desc())
     ranked = daily.withColumn("rn", F.row_number().over(w))
     rate = ranked.groupBy("name").agg(F.avg(F.when(F.col("rn") <= 2, F.col("n"))).alias("recent"), F.avg(F.when(F.col("rn") > 2, F.col("n"))).alias("prior"), F.count("*").alias("days"), F.sum("n").alias("mentions"))
@@ -126,10 +148,12 @@ def corroboration_counts(vault: Vault) -> DataFrame:
     return pairs.groupBy("cluster_id").agg(F.count("*").alias("corroboration_count"))
 
 
-def topic_coverage(vault: Vault) -> DataFrame:
-    """(name, videos, channels, first_day, last_day, seconds, score, level, gaps) of each topic; seconds counts a video once."""
-    per = chunk_topics(vault).select("video_id", "name").distinct().join(vault.videos.select("video_id", "channel_id", "upload_date", "duration_seconds"), "video_id")
-    facts = per.groupBy("name").agg(F.count("*").alias("videos"), F.count_distinct("channel_id").alias("channels"), F.min("upload_date").alias("first_day"), F.max("upload_date").alias("last_day"), F.sum("duration_seconds").alias("seconds"))
+def topic_coverage(vault: Vault, days: DataFrame | None = None) -> DataFrame:
+    """(name, videos, channels, first_day, last_day, seconds, score, level, gaps) of each topic; seconds counts a video once. days: of topic_days(), where they are known."""
+    if days is None:
+        videos = vault.videos.select("video_id", "channel_id", F.col("upload_date").alias("day"), F.col("duration_seconds").alias("seconds"))
+        days = chunk_topics(vault).select("video_id", "name").distinct().join(videos, "video_id").withColumn("videos", F.lit(1))
+    facts = days.groupBy("name").agg(F.sum("videos").alias("videos"), F.count_distinct("channel_id").alias("channels"), F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.sum("seconds").alias("seconds"))
     span = F.coalesce(F.datediff("last_day", "first_day"), F.lit(0))
     score = 0.4 * F.least(F.col("videos") / 10.0, F.lit(1.0)) + 0.4 * F.least(F.col("channels") / 3.0, F.lit(1.0)) + 0.2 * F.least(span / 365.0, F.lit(1.0))
     gaps = F.array_compact(F.array(F.when(F.col("channels") < 2, "few channels"), F.when(F.col("videos") < 5, "few videos"), F.when(span < 180, "short time span")))

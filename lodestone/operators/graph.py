@@ -38,11 +38,14 @@ def echo_chambers(vault: Vault, least: int = 3, limit: int | None = 5) -> DataFr
     return out if limit is None else out.limit(limit)
 
 
-def guest_topics(vault: Vault) -> DataFrame:
-    """(guest_id, name, videos): topics of the videos in which a guest appears."""
+def guest_topics(vault: Vault, lists: DataFrame | None = None) -> DataFrame:
+    """(guest_id, name, videos): topics of the videos in which a guest appears. lists: of aggregates.topic_lists(), where they are known."""
     seen = vault.guest_appearances.select("guest_id", "video_id").distinct()
-    topics = chunk_topics(vault).select("video_id", "name").distinct()
-    return seen.join(topics, "video_id").groupBy("guest_id", "name").agg(F.count("*").alias("videos"))
+    if lists is None:
+        topics = seen.join(chunk_topics(vault).select("video_id", "name").distinct(), "video_id")
+    else:
+        topics = seen.join(lists.select("video_id", F.col("topics.name").alias("names")), "video_id").select("guest_id", F.explode("names").alias("name"))
+    return topics.groupBy("guest_id", "name").agg(F.count("*").alias("videos"))
 
 
 def guest_network(vault: Vault) -> DataFrame:

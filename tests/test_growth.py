@@ -215,3 +215,24 @@ def test_claims_are_made_once(spark, name):
 
     plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "l_linenumber" not in plan
+
+
+def test_topics_of_videos_are_made_once(spark):
+    """A dossier's numbers come from one grouping of topics by video, its leaders from the first few of each topic."""
+    from lodestone import registry, registry_text  # noqa: F401
+    from lodestone.plans import dossier
+    from lodestone.vault import Vault
+
+    plan = registry.QUERIES["dossier_markdown"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(p_name" not in plan
+    said = [(f"{v}-{c}", v, n, 1.0) for v, c, n in (("a", 0, "x"), ("a", 0, "x"), ("a", 1, "x"), ("a", 1, "y"), ("b", 0, "x"), ("unknown", 0, "x"), ("unknown", 0, "y"), ("b", 1, None))]
+    tables = {
+        "chunk_topics": spark.createDataFrame(said, "chunk_id string, video_id string, name string, relevance double"),
+        "videos": spark.sql("SELECT id AS video_id, k AS channel_id, date'2024-01-01' AS upload_date, 60 AS duration_seconds FROM VALUES ('a', 'k1'), ('b', 'k2') AS t(id, k)"),
+        "guest_appearances": spark.createDataFrame([(g, v) for g in range(8) for v in ("a", "b", "unknown")[: g % 3 + 1]], "guest_id long, video_id string"),
+        "claims": spark.createDataFrame([(1, "x", "c1"), (2, "x", "c1")], "claim_id long, topic string, cluster_id string"),
+    }
+    got = {r.name: r for r in dossier.dossiers(Vault(spark, tables)).collect()}
+    assert {n: (r.videos, r.channels, r.mentions, r.claims, r.clusters) for n, r in got.items()} == {"x": (2, 2, 3, 2, 1), "y": (1, 1, 1, 0, 0), None: (1, 1, 0, 0, 0)}
+    assert [(r.n, r.id) for r in got["x"].leading_guests] == [(3, "5"), (3, "2"), (2, "7"), (2, "4"), (2, "1")]
+    assert [(r.n, r.id) for r in got["x"].leading_channels] == [(1, "k2"), (1, "k1")]
