@@ -71,11 +71,31 @@ def guest_network(vault: Vault) -> DataFrame:
 def topic_cooccurrence(vault: Vault) -> DataFrame:
     """(topic_a, topic_b, n): pairs of topics by the number of videos that discuss both. Pairs are made inside each set of topics, once for all videos that have it."""
     topics = chunk_topics(vault).select("video_id", "name").distinct()
-    lists = topics.groupBy("video_id").agg(F.array_sort(F.collect_list("name")).alias("t")).groupBy("t").agg(F.count("*").alias("m"))
+    return _pairs(topics.groupBy("video_id").agg(F.array_sort(F.collect_list("name")).alias("t")))
+
+
+def _pairs(sets: DataFrame) -> DataFrame:
+    """topic_cooccurrence of videos' sorted sets of topics, t."""
+    lists = sets.groupBy("t").agg(F.count("*").alias("m"))
     pairs = F.flatten(F.transform("t", lambda a, i: F.transform(F.slice("t", i + 2, F.size("t")), lambda b: F.struct(a.alias("topic_a"), b.alias("topic_b")))))
     return lists.select("m", F.inline(pairs)).groupBy("topic_a", "topic_b").agg(F.sum("m").alias("n"))
 
 
+def topic_sets(vault: Vault, weights: bool = True) -> DataFrame:
+    """(video_id, topics): a video's topics as an array of (name, w), w the greatest relevance, or of (name) without weights; by name, written once. Rows meet by video in one shuffle."""
+    n = 4 * max(1, int(vault.spark.conf.get("spark.sql.shuffle.partitions")))
+    said = chunk_topics(vault).select("video_id", "name", *(["relevance"] if weights else [])).repartition(n, "video_id")
+    if weights:
+        sets = said.groupBy("video_id", "name").agg(F.max("relevance").alias("w")).groupBy("video_id").agg(F.collect_list(F.struct("name", "w")).alias("topics"))
+    else:
+        sets = said.groupBy("video_id").agg(F.collect_set(F.struct("name")).alias("topics"))  # a set of names alone would lack null
+    return stored(sets.select("video_id", F.array_sort("topics").alias("topics")), "topic_sets")
+
+
+def _named(sets: DataFrame) -> DataFrame:
+    return sets.select(F.filter("topics.name", lambda x: x.isNotNull()).alias("t"))
+
+
 def central_authorities(vault: Vault, limit: int | None = 10) -> DataFrame:
     """(channel_id, topics): channels by the number of their topics, none included."""
     counts = channel_topics(vault).groupBy("channel_id").agg(F.count("*").alias("topics"))
@@ -111,13 +131,15 @@ def shared_videos(vault: Vault, video_id: str, limit: int = 10) -> DataFrame:
 
 
 def edges_of(vault: Vault) -> DataFrame:
-    """The vault's edges from its tables: published, appeared in, discusses, related to."""
+    """The vault's edges from its tables: published, appeared in, discusses, related to. Topics are grouped by video once and written."""
     topic = lambda c: F.concat(F.lit("topic:"), c)
     video = lambda c: F.concat(F.lit("video:"), c)
+    sets = topic_sets(vault)
     published = vault.videos.select(F.concat(F.lit("channel:"), "channel_id").alias("src"), video(F.col("video_id")).alias("dst"), F.lit("PUBLISHED").alias("type"), F.lit(1.0).alias("weight"))
-    appeared = vault.guest_appearances.select(F.concat(F.lit("guest:"), F.col("guest_id").cast("string")), video(F.col("video_id")), F.lit("APPEARED_IN"), F.lit(1.0)).distinct()
-    discusses = chunk_topics(vault).groupBy("video_id", "name").agg(F.max("relevance").alias("w")).select(video(F.col("video_id")), topic(F.col("name")), F.lit("DISCUSSES"), F.col("w"))
-    related = topic_cooccurrence(vault).select(topic(F.col("topic_a")), topic(F.col("topic_b")), F.lit("RELATED_TO"), F.col("n").cast("double"))
+    seen = vault.guest_appearances.select("guest_id", "video_id").distinct()
+    appeared = seen.select(F.concat(F.lit("guest:"), F.col("guest_id").cast("string")), video(F.col("video_id")), F.lit("APPEARED_IN"), F.lit(1.0))
+    discusses = sets.select("video_id", F.inline("topics")).select(video(F.col("video_id")), topic(F.col("name")), F.lit("DISCUSSES"), F.col("w"))
+    related = stored(_pairs(_named(sets)), "related").select(topic(F.col("topic_a")), topic(F.col("topic_b")), F.lit("RELATED_TO"), F.col("n").cast("double"))
     return published.union(appeared).union(discusses).union(related)
 
 
@@ -138,6 +160,38 @@ def graph_stats(edges: DataFrame) -> DataFrame:
     return ends.groupBy(F.split_part("id", F.lit(":"), F.lit(1)).alias("label")).agg(F.count("*").alias("n")).unionByName(edges.groupBy(F.col("type").alias("label")).agg(F.count("*").alias("n")))
 
 
+def vault_stats(vault: Vault) -> DataFrame:
+    """graph_stats() of edges_of(), counted in the tables: no edge is built, and a table's nodes are told apart before they meet those of others."""
+    sets = topic_sets(vault, False)
+    seen, videos = vault.guest_appearances, vault.videos
+
+    def nodes(df: DataFrame, label: str, column: str) -> DataFrame:
+        return df.select(F.col(column).cast("string").alias("key")).distinct().select(F.when(F.col("key").isNotNull(), label).alias("label"), "key")
+
+    names = sets.select(F.explode("topics.name").alias("name"))
+    found = nodes(videos, "channel", "channel_id").union(nodes(seen, "guest", "guest_id")).union(nodes(names, "topic", "name"))
+    for df in (videos, seen, sets):
+        found = found.union(nodes(df, "video", "video_id"))
+    out = found.distinct().groupBy("label").agg(F.count("*").alias("n"))
+    edges = {
+        "PUBLISHED": videos.agg(F.count("*").alias("n")),
+        "APPEARED_IN": seen.select("guest_id", "video_id").distinct().agg(F.count("*").alias("n")),
+        "DISCUSSES": sets.agg(F.coalesce(F.sum(F.size("topics").cast("long")), F.lit(0)).alias("n")),
+        "RELATED_TO": _pairs(_named(sets)).agg(F.count("*").alias("n")),
+    }
+    for label, count in edges.items():
+        out = out.unionByName(count.filter("n > 0").select(F.lit(label).alias("label"), "n"))
+    return out
+
+
+def videos_of(vault: Vault) -> DataFrame:
+    """(video_id) of the video nodes of edges_of, from the tables that link videos to something."""
+    found = vault.videos.select("video_id").distinct()
+    for df in (vault.guest_appearances, chunk_topics(vault)):
+        found = found.union(df.select("video_id").distinct())
+    return found.distinct()
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("id")).union(edges.select("dst")).groupBy("id").agg(F.count("*").alias("degree"))
 

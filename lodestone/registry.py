@@ -112,7 +112,7 @@ _EDGES = """(SELECT concat('channel:', channel_id) AS src, concat('video:', vide
 _WEIGHTED = """(SELECT concat('channel:', channel_id) AS src, concat('video:', video_id) AS dst, 'PUBLISHED' AS type, 1.0::double AS weight FROM videos UNION ALL SELECT DISTINCT concat('guest:', cast(guest_id AS string)), concat('video:', video_id), 'APPEARED_IN', 1.0 FROM guest_appearances
     UNION ALL SELECT concat('video:', video_id), concat('topic:', name), 'DISCUSSES', max(relevance)::double FROM chunk_topics GROUP BY video_id, name
     UNION ALL SELECT concat('topic:', a.name), concat('topic:', b.name), 'RELATED_TO', count(DISTINCT a.video_id)::double FROM chunk_topics a JOIN chunk_topics b ON a.video_id = b.video_id AND a.name < b.name GROUP BY a.name, b.name)"""
-query("graph_stats", f"SELECT split_part(id, ':', 1) AS label, count(*) AS n FROM (SELECT src AS id FROM {_EDGES} UNION SELECT dst FROM {_EDGES}) GROUP BY 1 UNION ALL SELECT type, count(*) FROM {_EDGES} GROUP BY 1")(lambda v: G.graph_stats(G.edges_of(v)))
+query("graph_stats", f"SELECT split_part(id, ':', 1) AS label, count(*) AS n FROM (SELECT src AS id FROM {_EDGES} UNION SELECT dst FROM {_EDGES}) GROUP BY 1 UNION ALL SELECT type, count(*) FROM {_EDGES} GROUP BY 1")(G.vault_stats)
 query("degrees", f"SELECT id, count(*) AS degree FROM (SELECT src AS id FROM {_EDGES} UNION ALL SELECT dst FROM {_EDGES}) GROUP BY 1")(lambda v: G.degrees(G.edges_of(v)))
 query("neighbourhood", f"SELECT DISTINCT CASE WHEN src = 'topic:small' THEN dst ELSE src END AS dst, type, round(weight, 6) AS weight FROM {_WEIGHTED} WHERE src = 'topic:small' OR dst = 'topic:small'")(lambda v: G.neighbourhood(G.edges_of(v), "topic:small", None).withColumn("weight", F.round("weight", 6)))
 query("distances", f"""SELECT id, min(d) AS distance FROM (SELECT 'guest:7' AS id, 0 AS d UNION ALL SELECT dst, 1 FROM {_EDGES} WHERE src = 'guest:7' UNION ALL

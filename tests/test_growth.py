@@ -236,3 +236,27 @@ def test_topics_of_videos_are_made_once(spark):
     assert {n: (r.videos, r.channels, r.mentions, r.claims, r.clusters) for n, r in got.items()} == {"x": (2, 2, 3, 2, 1), "y": (1, 1, 1, 0, 0), None: (1, 1, 0, 0, 0)}
     assert [(r.n, r.id) for r in got["x"].leading_guests] == [(3, "5"), (3, "2"), (2, "7"), (2, "4"), (2, "1")]
     assert [(r.n, r.id) for r in got["x"].leading_channels] == [(1, "k2"), (1, "k1")]
+
+
+def test_graph_is_counted_in_its_tables(spark):
+    """Topics are grouped by video once; the counts are those of the edges, nulls and repeats included."""
+    from lodestone import registry
+    from lodestone.operators import graph as G
+    from lodestone.vault import Vault
+
+    for name in ("graph_stats", "degrees"):
+        plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "split(p_name" not in plan
+    said = [("a", "x", 0.1), ("a", "x", 0.9), ("a", "y", 0.2), ("b", "x", 0.3), ("b", "y", 0.3), ("b", None, 0.3), ("e", None, None), (None, "z", 0.4)]
+    tables = {
+        "videos": spark.createDataFrame([("a", "k1"), ("b", "k1"), ("b", "k1"), ("c", None), (None, "k2")], "video_id string, channel_id string"),
+        "guest_appearances": spark.createDataFrame([(1, "a"), (1, "a"), (None, "d"), (3, None)], "guest_id long, video_id string"),
+        "chunk_topics": spark.createDataFrame(said, "video_id string, name string, relevance double"),
+    }
+    v = Vault(spark, tables)
+    want = {"channel": 2, "guest": 2, "topic": 3, "video": 5, None: 1, "PUBLISHED": 5, "APPEARED_IN": 3, "DISCUSSES": 7, "RELATED_TO": 1}
+    assert {r.label: r.n for r in G.vault_stats(v).collect()} == want
+    assert {r.label: r.n for r in G.graph_stats(G.edges_of(v)).collect()} == want
+    assert {(r.src, r.dst, r.weight) for r in G.edges_of(v).collect() if r.type in ("DISCUSSES", "RELATED_TO") and r.src and r.dst} == {("video:a", "topic:x", 0.9), ("video:a", "topic:y", 0.2), ("video:b", "topic:x", 0.3), ("video:b", "topic:y", 0.3), ("topic:x", "topic:y", 2.0)}
+    none = Vault(spark, {n: df.limit(0) for n, df in tables.items()})
+    assert G.vault_stats(none).collect() == []
