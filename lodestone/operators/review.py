@@ -36,12 +36,11 @@ def sources(vault: Vault, pattern: str | None = None, statuses: list[str] = ("AC
     return rows(vault.videos, wanted)
 
 
-def store_divergence(vault: Vault, vectors: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row: videos that aren't deleted, videos with vectors (video_id), video vertices of a graph."""
-    ends = edges.select(F.col("src").alias("id")).union(edges.select("dst")).filter(F.col("id").startswith("video:"))
+def store_divergence(vault: Vault, vectors: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One row: videos that aren't deleted, videos with vectors (video_id), video vertices of a graph (video_id)."""
     tables = vault.videos.agg(F.count_if(~F.coalesce("is_deleted", F.lit(False))).alias("in_tables"))
     # three tables of one row
-    return tables.join(vectors.agg(F.count_distinct("video_id").alias("in_vectors"))).join(ends.agg(F.count_distinct("id").alias("in_graph")))
+    return tables.join(vectors.agg(F.count_distinct("video_id").alias("in_vectors"))).join(nodes.agg(F.count_distinct("video_id").alias("in_graph")))
 
 
 def scan_videos(vault: Vault, scan_id: str, limit: int | None = 10) -> DataFrame:

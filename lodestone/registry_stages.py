@@ -119,7 +119,7 @@ query("progress_summary", """SELECT concat('Discovered: 100000 | Completed: ', n
 query("rejected_review", "SELECT video_id, duration_seconds FROM videos WHERE triage_status = 'REJECTED' AND contains(triage_reason, 'rule1') AND contains(lower(title), 'urgent')")(lambda v: V.rejected(v, "rule1", "Urgent", "Longest Duration").select("video_id", "duration_seconds"))
 query("source_filter", "SELECT video_id, title FROM videos WHERE (regexp_matches(lower(title), 'hi.h 7') OR regexp_matches(video_id, 'hi.h 7')) AND triage_status IN ('ACCEPTED', 'DONE')")(lambda v: V.sources(v, "HI.H 7").select("video_id", "title"))
 query("store_divergence", "SELECT count(*) FILTER (NOT is_deleted) AS in_tables, (SELECT count(DISTINCT video_id) FROM transcript_chunks) AS in_vectors, (SELECT count(*) FROM (SELECT video_id FROM videos UNION SELECT video_id FROM guest_appearances UNION SELECT video_id FROM chunk_topics)) AS in_graph FROM videos")(
-    lambda v: V.store_divergence(v, v.transcript_chunks.select("video_id"), G.edges_of(v))
+    lambda v: V.store_divergence(v, v.transcript_chunks.select("video_id"), G.videos_of(v))
 )
 query("scan_videos", "SELECT video_id, title, triage_status, checkpoint_stage FROM videos WHERE video_id IN (SELECT video_id FROM pipeline_metrics WHERE scan_id = '3') ORDER BY video_id LIMIT 10")(
     lambda v: V.scan_videos(v.having(videos=v.videos, scan_checkpoints=v.pipeline_metrics.select("scan_id", F.col("video_id").alias("last_video_id"))), "3")

@@ -260,3 +260,21 @@ def test_graph_is_counted_in_its_tables(spark):
     assert {(r.src, r.dst, r.weight) for r in G.edges_of(v).collect() if r.type in ("DISCUSSES", "RELATED_TO") and r.src and r.dst} == {("video:a", "topic:x", 0.9), ("video:a", "topic:y", 0.2), ("video:b", "topic:x", 0.3), ("video:b", "topic:y", 0.3), ("topic:x", "topic:y", 2.0)}
     none = Vault(spark, {n: df.limit(0) for n, df in tables.items()})
     assert G.vault_stats(none).collect() == []
+
+
+def test_divergence_makes_no_pairs_of_topics(spark):
+    """Videos of the graph are counted in the tables that link them, without edges."""
+    from lodestone import registry, registry_stages  # noqa: F401
+    from lodestone.operators import graph as G
+    from lodestone.operators import review as V
+    from lodestone.vault import Vault
+
+    plan = registry.QUERIES["store_divergence"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "concat(" not in plan and "flatten(" not in plan
+    tables = {
+        "videos": spark.createDataFrame([("a", False), ("b", None), ("c", True), (None, False)], "video_id string, is_deleted boolean"),
+        "guest_appearances": spark.createDataFrame([(1, "a"), (2, "d"), (3, None)], "guest_id long, video_id string"),
+        "chunk_topics": spark.createDataFrame([("e", "x"), ("a", None), ("a", "x")], "video_id string, name string"),
+    }
+    v = Vault(spark, tables)
+    assert tuple(V.store_divergence(v, spark.createDataFrame([("a",), ("a",), ("z",)], "video_id string"), G.videos_of(v)).first()) == (3, 2, 5)
