@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone import schemas
-from lodestone.vault import Vault
+from lodestone.vault import Vault, upsert
 
 #: What a second write of a row changes, by table; other columns keep their first value.
 POLICIES = {
@@ -18,9 +18,9 @@ POLICIES = {
 }
 
 
-def save(vault: Vault, table: str, rows: DataFrame) -> Vault:
-    """Keyed write by the table's policy."""
-    return vault.upsert(table, rows, **POLICIES.get(table, {}))
+def save(vault: Vault, table: str, rows: DataFrame, parts: int | None = None) -> Vault:
+    """Keyed write by the table's policy, by so many tasks."""
+    return vault.having(**{table: upsert(getattr(vault, table), rows, schemas.key(table), POLICIES.get(table, {}), parts)})
 
 
 def _video(video_id: str) -> Column:

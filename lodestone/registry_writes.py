@@ -7,12 +7,13 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.cut import stored
 from lodestone.operators import graph as G
 from lodestone.operators import lifecycle as L
 from lodestone.operators import relational as R
 from lodestone.registry import query
 from lodestone.sources import export
-from lodestone.vault import upsert
+from lodestone.vault import tasks, upsert
 
 LATER = dt.datetime(2024, 3, 1)
 
@@ -143,12 +144,18 @@ query("write_summaries", "SELECT video_id, CASE WHEN k % 2 = 1 THEN 'again' ELSE
 
 
 def graph_writes(v) -> DataFrame:
-    """Edges linked twice (weights add up), guests' and videos' nodes deleted with their edges."""
-    topics = v.tables["chunk_topics"].groupBy("video_id", "name").agg(F.count("*").cast("double").alias("weight"))
+    """Edges linked twice (weights add up), guests' and videos' nodes deleted with their edges. The edges are written once; their number says how many tasks sort them."""
+    n = 4 * tasks(v.spark, 0)
+    topics = v.tables["chunk_topics"].select("video_id", "name").repartition(n, "video_id").groupBy("video_id", "name").agg(F.count("*").cast("double").alias("weight"))
     edges = topics.select(F.col("video_id").alias("src"), F.lit("Video").alias("src_label"), F.col("name").alias("dst"), F.lit("Topic").alias("dst_label"), F.lit("DISCUSSES").alias("type"), "weight", F.lit("").alias("relationship"))
-    out = L.save(v.having(edges=edges), "edges", edges.withColumn("relationship", F.lit("SEEN")))
+    edges = stored(edges, "edges")
+    n = tasks(v.spark, edges.count())
+    out = L.save(v.having(edges=edges), "edges", edges.withColumn("relationship", F.lit("SEEN")), n)
     gone = v.videos.filter("is_deleted").select(F.col("video_id").alias("src"))
-    return out.delete("edges", gone).delete("edges", gone.select(F.col("src").alias("dst"))).edges.select("src", "dst", "type", "weight", "relationship")
+    # few names are videos as well: only those meet the edges by their ends
+    ends = edges.select("dst").distinct().join(gone.select(F.col("src").alias("dst")), "dst", "left_semi")
+    # what is deleted says in how many tasks the edges meet it
+    return out.delete("edges", gone.repartition(n, "src")).delete("edges", ends).edges.select("src", "dst", "type", "weight", "relationship")
 
 
 query("write_graph", "SELECT video_id AS src, name AS dst, 'DISCUSSES' AS type, 2.0::double * count(*) AS weight, 'SEEN' AS relationship FROM chunk_topics WHERE video_id NOT IN (SELECT video_id FROM videos WHERE is_deleted) GROUP BY ALL")(graph_writes)

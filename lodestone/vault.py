@@ -65,8 +65,17 @@ def one_a_key(new: DataFrame, keys: list[str], policy: Mapping[str, str]) -> Dat
     return out.select(*[F.col(f"__row.{c}").alias(c) if c in rest else F.col(c) for c in new.columns])
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: tuple[str, ...] | list[str], policy: Mapping[str, str] | None = None) -> DataFrame:
-    """old with the rows of new, by key, in one full outer join.
+#: Rows that a task sorts where the number of rows is known: some hundred bytes each, several times at once in an upsert.
+TASK_ROWS = 500_000
+
+
+def tasks(spark: SparkSession, rows: int) -> int:
+    """Partitions for a known number of rows: as many as shuffles have, more if a task would get over TASK_ROWS."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+
+
+def upsert(old: DataFrame, new: DataFrame, keys: tuple[str, ...] | list[str], policy: Mapping[str, str] | None = None, parts: int | None = None) -> DataFrame:
+    """old with the rows of new, by key, in one full outer join. parts: how many tasks do it (otherwise as many as shuffles have).
 
     policy for a column that new has: replace (default), keep (the first value stays), fill (only a
     non-null, non-empty new value replaces), add, max, min, union (of arrays). Columns that new lacks stay.
@@ -75,6 +84,8 @@ def upsert(old: DataFrame, new: DataFrame, keys: tuple[str, ...] | list[str], po
     """
     policy = dict(policy or {})
     keys = list(keys)
+    if parts:
+        old, new = old.repartition(parts, *keys), new.repartition(parts, *keys)
     a, b = old.alias("a"), one_a_key(new, keys, policy).withColumn("__new", F.lit(True)).alias("b")
     joined = a.withColumn("__old", F.lit(True)).alias("a").join(b, keys, "full_outer")
 

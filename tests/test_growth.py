@@ -278,3 +278,26 @@ def test_divergence_makes_no_pairs_of_topics(spark):
     }
     v = Vault(spark, tables)
     assert tuple(V.store_divergence(v, spark.createDataFrame([("a",), ("a",), ("z",)], "video_id string"), G.videos_of(v)).first()) == (3, 2, 5)
+
+
+def test_upsert_of_edges_by_their_number(spark, monkeypatch):
+    """Edges are written once, and no task of the upsert sorts more than a fixed number of them; the rows are the same whatever the tasks."""
+    import re
+
+    from lodestone import registry, registry_writes  # noqa: F401
+    from lodestone import vault as V
+    from lodestone.operators import lifecycle as L
+
+    whole = {tuple(r) for r in registry.QUERIES["write_graph"](spark, "/root/testdata/sf0.001").collect()}
+    monkeypatch.setattr(V, "TASK_ROWS", 100)
+    df = registry.QUERIES["write_graph"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(p_name" not in plan and {tuple(r) for r in df.collect()} == whole
+    parts = {int(n) for n in re.findall(r"RepartitionByExpression \[.*?\], (\d+)", plan)}
+    assert len(parts) == 1 and parts.pop() > len(whole) // 100
+    assert V.tasks(spark, 0) == 4 and V.tasks(spark, 1001) == 11
+    old = spark.createDataFrame([("a", "b", "t", 1.0, "x"), ("a", "c", "t", 1.0, "x")], "src string, dst string, type string, weight double, relationship string")
+    new = spark.createDataFrame([("a", "b", "t", 2.0, ""), ("a", "b", "t", 4.0, ""), ("d", "e", "t", 1.0, "y")], old.schema)
+    want = {("a", "b", "t", 7.0, "x"), ("a", "c", "t", 1.0, "x"), ("d", "e", "t", 1.0, "y")}
+    for parts in (None, 7):
+        assert {tuple(r) for r in L.save(V.Vault(spark, {"edges": old}), "edges", new, parts).edges.collect()} == want
