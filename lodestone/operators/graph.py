@@ -68,6 +68,31 @@ def guest_network(vault: Vault) -> DataFrame:
     return members.unionByName(links.select("guest_a", "guest_b", *shown("names"), F.lit(False).alias("same")))
 
 
+#: Guests of a row at least and rows of a class at most, as far as ranges of ids are even; pairs that a task makes.
+MEMBERS, RANGES, TASK_PAIRS = 1_000, 100, 5_000_000
+
+
+def guest_pairs(vault: Vault) -> DataFrame:
+    """(guest_a, guest_b, topics, shared): every pair of guests with topics in common, guest_a the lesser.
+
+    A pair's topics are those of the classes of guest_network, found once for each pair of classes. Members of a class stand in rows by ranges of their ids;
+    pairs of such rows are dealt evenly to tasks, which make the pairs of guests. So no pair is shuffled, and a large class is shared out.
+    """
+    found = stored(guest_network(vault), "guest_classes")
+    members = found.filter("same AND guest_b IS NOT NULL").select(F.col("guest_a").alias("x"), F.col("guest_b").alias("guest"))
+    ranges = max(1, min(RANGES, -(-members.count() // MEMBERS)))
+    dealt = members.repartitionByRange(ranges, "guest").withColumn("p", F.spark_partition_id())
+    rows = stored(dealt.groupBy("x", "p").agg(F.sort_array(F.collect_list("guest")).alias("a")), "guest_rows")
+    both = found.filter("NOT same OR guest_a = guest_b").select(F.col("guest_a").alias("x"), F.col("guest_b").alias("y"), "topics", "shared")
+    met = both.join(rows, "x").join(rows.toDF("y", "q", "b"), "y").filter("x <> y OR p <= q")
+    met = stored(met.select("topics", "shared", F.expr("x = y AND p = q").alias("twice"), "a", "b"), "guest_rows")
+    pairs = met.agg(F.sum(F.size("a").cast("long") * F.size("b"))).first()[0] or 0
+    tasks = max(int(vault.spark.conf.get("spark.sql.shuffle.partitions")), min(-(-pairs // TASK_PAIRS), 4_000))
+    one = met.repartition(tasks).select("topics", "shared", "twice", F.explode("a").alias("g"), "b")
+    pair = one.select("topics", "shared", "twice", "g", F.explode("b").alias("h")).filter("NOT twice OR g < h")
+    return pair.select(F.least("g", "h").alias("guest_a"), F.greatest("g", "h").alias("guest_b"), "topics", "shared")
+
+
 def topic_cooccurrence(vault: Vault) -> DataFrame:
     """(topic_a, topic_b, n): pairs of topics by the number of videos that discuss both. Pairs are made inside each set of topics, once for all videos that have it."""
     topics = chunk_topics(vault).select("video_id", "name").distinct()

@@ -93,10 +93,7 @@ _CT = "(SELECT v.channel_id, t.name, count(*) AS n FROM (SELECT DISTINCT video_i
 _GT = "(SELECT g.guest_id, t.name, count(*) AS n FROM guest_appearances g JOIN (SELECT DISTINCT video_id, name FROM chunk_topics) t USING (video_id) GROUP BY 1, 2)"
 query("cross_channel_topics", f"SELECT a.name, a.channel_id AS channel_a, b.channel_id AS channel_b, a.n * b.n AS strength FROM {_CT} a JOIN {_CT} b ON a.name = b.name AND a.channel_id <> b.channel_id")(lambda v: G.cross_channel_topics(v, None))
 query("echo_chambers", f"SELECT a.channel_id AS channel_a, b.channel_id AS channel_b, count(*) AS shared FROM {_CT} a JOIN {_CT} b ON a.name = b.name AND a.channel_id < b.channel_id GROUP BY 1, 2 HAVING count(*) >= 3")(lambda v: G.echo_chambers(v, 3, None))
-query("guest_network", f"""SELECT * FROM (WITH g AS (SELECT guest_id, list(name ORDER BY name) AS names FROM {_GT} WHERE name IS NOT NULL GROUP BY guest_id), c AS (SELECT names, min(guest_id) AS guest_a FROM g GROUP BY names),
-    r AS (SELECT guest_a AS guest_id, unnest(names) AS name FROM c)
-    SELECT guest_a, guest_id AS guest_b, array_to_string(names, ',') AS topics, len(names) AS shared, true AS same FROM g JOIN c USING (names)
-    UNION ALL SELECT a.guest_id, b.guest_id, string_agg(a.name, ',' ORDER BY a.name), count(*), false FROM r a JOIN r b ON a.name = b.name AND a.guest_id < b.guest_id GROUP BY 1, 2)""")(G.guest_network)
+query("guest_network", f"SELECT a.guest_id AS guest_a, b.guest_id AS guest_b, string_agg(a.name, ',' ORDER BY a.name) AS topics, count(*) AS shared FROM {_GT} a JOIN {_GT} b ON a.name = b.name AND a.guest_id < b.guest_id GROUP BY 1, 2")(G.guest_pairs)
 query("guest_topics", f"SELECT guest_id, name, n AS videos FROM {_GT}")(G.guest_topics)
 query("topic_cooccurrence", "SELECT a.name AS topic_a, b.name AS topic_b, count(*) AS n FROM (SELECT DISTINCT video_id, name FROM chunk_topics) a JOIN (SELECT DISTINCT video_id, name FROM chunk_topics) b ON a.video_id = b.video_id AND a.name < b.name GROUP BY 1, 2")(G.topic_cooccurrence)
 query("central_authorities", f"SELECT c.channel_id, count(t.name) AS topics FROM channels c LEFT JOIN {_CT} t USING (channel_id) GROUP BY 1")(lambda v: G.central_authorities(v, None))

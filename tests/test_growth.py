@@ -40,6 +40,26 @@ def test_guest_network_by_classes(spark):
     assert {p: t for p, t in pairs.items() if t} == {(x, y): ",".join(sorted(set(topics[x]) & set(topics[y]))) for x in topics for y in topics if x < y and set(topics[x]) & set(topics[y])}
 
 
+def test_guest_network_has_every_pair(spark, monkeypatch):
+    """The query gives each pair of guests, over classes of several rows, with nulls; a class stands in as many rows as its ids fill."""
+    from lodestone import fixtures, registry
+    from lodestone.operators import graph as G
+    from lodestone.vault import Vault
+
+    topics = {g: ("ab", "bc", "d", "", "abz")[g * g % 7 % 5] for g in range(1, 40)} | {40: "q"}
+    said = [(f"v{g}", f"c{g}", n, 1.0) for g, t in topics.items() for n in [*t, None]] + [("v0", "c0", "a", 1.0)]
+    seen = [(g, f"v{g}") for g in topics] + [(None, "v0"), (1, "v1")]
+    v = Vault(spark, {"chunk_topics": spark.createDataFrame(said, "video_id string, chunk_id string, name string, relevance double"), "guest_appearances": spark.createDataFrame(seen, "guest_id long, video_id string")})
+    monkeypatch.setattr(fixtures, "vault", lambda *a: v)
+    common = {(x, y): sorted(set(topics[x]) & set(topics[y])) for x in topics for y in topics if x < y}
+    want = sorted((x, y, ",".join(t), len(t)) for (x, y), t in common.items() if t)
+    for least in (1_000, 3):
+        monkeypatch.setattr(G, "MEMBERS", least)
+        got = registry.QUERIES["guest_network"](spark, "/none")
+        assert got.columns == ["guest_a", "guest_b", "topics", "shared"]
+        assert sorted(tuple(r) for r in got.collect()) == want
+
+
 def test_search_copies_equals_search_of_rows(spark, monkeypatch):
     """Copies of texts, nulls and ties: the same rows as without classes, with one vector for each distinct text."""
     from lodestone import registry_index as I
