@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import bisect
-import difflib
 from collections.abc import Callable
 
 import numpy as np
@@ -12,7 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.cut import stored
-from lodestone.operators import corroboration
+from lodestone.operators import corroboration, names as N
+from lodestone.operators.names import similarity
 from lodestone.ship import ship
 from lodestone.vault import Vault
 
@@ -40,10 +40,6 @@ def purge_noise(vault: Vault) -> Vault:
     return vault.delete("guests", bad).delete("guest_appearances", bad)
 
 
-def similarity(a: str, b: str) -> float:
-    return difflib.SequenceMatcher(None, a, b).ratio()
-
-
 def _occurrences(name: str) -> list[str]:
     """Pairs of neighbouring characters, each with how often it stood before."""
     seen: dict[str, int] = {}
@@ -97,85 +93,8 @@ def fuzzy_pairs(guests: DataFrame, cutoff: float = 0.85) -> DataFrame:
     return pairs.withColumn("ratio", ratio("n", "n2")).filter(F.col("ratio") >= cutoff).select("guest_id", "mention_count", "other_id", "ratio")
 
 
-#: Names of a block, cells of a chunk's arrays, and classes of letters for the bound by counts.
-BLOCK, CELLS, LETTERS = 1_000, 20_000_000, 64
-#: Most patterns that a worker keeps, and those it has: a worker meets the same ones in many blocks.
-PATTERNS = 400_000
-_KNOWN: dict[tuple[float, bytes], bool] = {}
-
-
-def _patterns(codes: np.ndarray) -> np.ndarray:
-    """Rows of codes with each code replaced by the place where its row has it first: what a ratio depends on."""
-    out = np.empty(codes.shape, np.uint16)
-    for t in range(codes.shape[1]):
-        out[:, t] = (codes[:, : t + 1] == codes[:, t : t + 1]).argmax(1)
-    return out
-
-
-def _alike(names: list[str], first: np.ndarray, second: np.ndarray, cutoff: float) -> np.ndarray:
-    """Whether similarity(names[first], names[second]) >= cutoff; equal patterns (see _patterns) are compared once and kept."""
-    letters = {c: i + 1 for i, c in enumerate(sorted(set("".join(names))))}
-    width = max(map(len, names)) + 1
-    codes = np.zeros((len(names), width), np.int32)  # 0 ends a name
-    for i, name in enumerate(names):
-        codes[i, : len(name)] = [letters[c] for c in name]
-    out = np.zeros(len(first), bool)
-    step = max(1, CELLS // (4 * width * width))
-    for at in range(0, len(first), step):
-        a, b = first[at : at + step], second[at : at + step]
-        # the leading 0 gives the end of a name the pattern 0 everywhere
-        rows = _patterns(np.concatenate([np.zeros((len(a), 1), np.int32), codes[a], codes[b]], axis=1))
-        kinds, one, of = np.unique(np.ascontiguousarray(rows).view(f"V{2 * rows.shape[1]}").ravel(), return_index=True, return_inverse=True)
-        verdict = np.zeros(len(kinds), bool)
-        for k, (kind, i) in enumerate(zip(kinds, one)):
-            key = cutoff, kind.tobytes()
-            if key not in _KNOWN:
-                if len(_KNOWN) >= PATTERNS:
-                    _KNOWN.clear()
-                _KNOWN[key] = similarity(names[a[i]], names[b[i]]) >= cutoff
-            verdict[k] = _KNOWN[key]
-        out[at : at + step] = verdict[of.ravel()]
-    return out
-
-
-def _linked(names: list[str], blocks: tuple[np.ndarray, np.ndarray], cutoff: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places of all pairs of names alike, one of each block (two of a block where both are the same); names stand in order of place."""
-    lengths = np.array([len(n) for n in names])
-    letters = {c: i for i, c in enumerate(sorted(set("".join(names))))}
-    counts = np.zeros((min(LETTERS, max(1, len(letters))), len(names)), np.int16)
-    for i, name in enumerate(names):
-        for c in name:
-            counts[letters[c] % LETTERS, i] += 1
-    left, right = blocks
-    found = []
-    for row in np.array_split(left, max(1, len(left) * len(right) * 8 // CELLS)):
-        shared = np.zeros((len(row), len(right)), np.int16)
-        for letter in counts:
-            shared += np.minimum(letter[row][:, None], letter[right][None, :])
-        both = lengths[row][:, None] + lengths[right][None, :]
-        # as the ratio, with all letters in common matched
-        may = np.where(both > 0, 2.0 * shared / np.maximum(both, 1), 1.0) >= cutoff
-        if left is right:
-            may &= row[:, None] < right[None, :]
-        x, y = np.nonzero(may)
-        x, y = row[x], right[y]
-        first, second = np.minimum(x, y), np.maximum(x, y)
-        kept = _alike(names, first, second, cutoff) if len(first) else np.zeros(0, bool)
-        found.append((first[kept], second[kept]))
-    return np.concatenate([f for f, _ in found]), np.concatenate([t for _, t in found])
-
-
-def _lowest(count: int, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """The least place that each of count places reaches along links."""
-    low = np.arange(count)
-    while True:
-        new = low.copy()
-        np.minimum.at(new, second, low[first])
-        np.minimum.at(new, first, low[second])
-        new = new[new]
-        if (new == low).all():
-            return low
-        low = new
+#: Names of a block at least, and blocks at most: each block meets all others, so that names move as often as there are blocks.
+BLOCK, BLOCKS = 1_000, 24
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -199,17 +118,17 @@ def fuzzy_links(guests: DataFrame, cutoff: float = 0.85) -> DataFrame:
     """(guest_id, class_id, links): of every guest with a name the least guest that it reaches over names alike, and how many others its name is alike to.
 
     The pairs are those of fuzzy_pairs, counted instead of listed; a name that several guests have is compared once, in the place of its first guest
-    (the most mentioned, then by id), and all of them link to one another. Names meet in pairs of blocks, each a group of its own; there a bound by counts
-    of letters comes first, and a pair of names is compared once for each pattern of equal letters, on which alone a ratio depends. No link is lost.
-    A block sends sums and a spanning forest on, never pairs. The time is quadratic in the distinct names.
+    (the most mentioned, then by id), and all of them link to one another. Names are dealt to blocks by their order, BLOCKS at most, so that none moves more often
+    than that; each pair of blocks is a group of its own, which `names.linked` compares. No link is lost. A group sends sums on, and for each name the least
+    guest that it reaches there, never pairs. The time is quadratic in the distinct names; where many have their beginnings in common it is so in groups of them.
     """
     spark = ship(guests.sparkSession)
     flipped = F.regexp_replace("canonical_name", r"^([^,]+),\s*(.+)$", "$2 $1")
     clean = guests.select("guest_id", F.coalesce("mention_count", F.lit(0)).cast("long").alias("mentions"), F.lower(F.trim(flipped)).alias("n")).filter("n IS NOT NULL")
     named = stored(clean.groupBy("n").agg(F.min("guest_id").alias("id"), F.min(F.struct((-F.col("mentions")).alias("m"), F.col("guest_id").alias("g"))).alias("place"), F.count("*").alias("weight")), "names")
-    blocks = max(1, -(-named.count() // BLOCK))
-    own = F.pmod(F.xxhash64("n"), F.lit(blocks)).cast("int")
-    dealt = named.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    blocks = max(1, min(BLOCKS, -(-named.count() // BLOCK)))
+    dealt = named.repartitionByRange(blocks, "n").withColumn("own", F.spark_partition_id() % blocks)
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     dealt = dealt.select("n", "id", F.col("place.m").alias("m"), F.col("place.g").alias("g"), "weight", "own", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"))
     key = named.schema["id"].dataType.simpleString()
 
@@ -218,19 +137,18 @@ def fuzzy_links(guests: DataFrame, cutoff: float = 0.85) -> DataFrame:
         own, i, j = pdf["own"].to_numpy(), pdf["i"].iloc[0], pdf["j"].iloc[0]
         left = np.flatnonzero(own == i)
         right = left if i == j else np.flatnonzero(own == j)
-        first, second = _linked(pdf["n"].tolist(), (left, right), cutoff)
-        weight = pdf["weight"].to_numpy()
-        sums = np.bincount(first, weight[second], len(pdf)) + np.bincount(second, weight[first], len(pdf))
-        ids, low = pdf["id"].to_numpy(), _lowest(len(pdf), first, second)
-        some = sums > 0
-        return pd.DataFrame({"id": ids[some], "other": ids[low[some]], "links": sums[some].astype(np.int64)})
+        sums, low = N.linked(pdf["n"].tolist(), left, right, pdf["weight"].to_numpy(), cutoff)
+        out = pd.DataFrame({"id": pdf["id"], "other": pdf["id"].groupby(low).transform("min"), "links": sums.astype(np.int64)})
+        return out[sums > 0]
 
     # few rows but much work: a stated number of partitions isn't merged by size
-    dealt = dealt.repartition(min(2 * blocks * (blocks + 1), 4_000), "i", "j")
+    dealt = dealt.repartition(2 * blocks * (blocks + 1), "i", "j")
     met = stored(dealt.groupBy("i", "j").applyInPandas(run, f"id {key}, other {key}, links long"), "name_links")
-    sums = met.groupBy("id").agg(F.sum("links").alias("links"))
-    out = named.join(sums, "id", "left").join(components(met.select("id", "other")), "id", "left")
-    known = out.select("n", F.coalesce("root", "id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"))
+    found = stored(met.groupBy("id").agg(F.sum("links").alias("links"), F.collect_set("other").alias("others")).withColumn("lead", F.array_min("others")), "name_sums")
+    # names of one lead are one class; what else they reach links leads, which are few where names reach far
+    roots = components(found.select(F.explode("others").alias("id"), F.col("lead").alias("other"))).toDF("lead", "root")
+    out = named.join(found.drop("others"), "id", "left").join(roots, "lead", "left")
+    known = out.select("n", F.coalesce("root", "lead", "id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"))
     return clean.join(known, "n").select("guest_id", "class_id", "links")
 
 

@@ -321,3 +321,64 @@ def test_upsert_of_edges_by_their_number(spark, monkeypatch):
     want = {("a", "b", "t", 7.0, "x"), ("a", "c", "t", 1.0, "x"), ("d", "e", "t", 1.0, "y")}
     for parts in (None, 7):
         assert {tuple(r) for r in L.save(V.Vault(spark, {"edges": old}), "edges", new, parts).edges.collect()} == want
+
+
+def test_fuzzy_links_move_a_name_a_bounded_number_of_times(spark, monkeypatch):
+    """More blocks than BLOCKS are not made, however many names there are; links and classes are those of all pairs."""
+    from lodestone.operators import entities as E
+
+    monkeypatch.setattr(E, "BLOCK", 4)
+    monkeypatch.setattr(E, "BLOCKS", 6, raising=False)
+    written, keep = {}, E.stored
+
+    def stored(df, name):
+        written[name] = keep(df, name)
+        return written[name]
+
+    monkeypatch.setattr(E, "stored", stored)
+    names = [f"Customer#{i * 37 % 1000:09d}" for i in range(160)]
+    guests = spark.createDataFrame([(i, n, 1) for i, n in enumerate(names)], "guest_id long, canonical_name string, mention_count long")
+    got = E.fuzzy_links(guests).collect()
+    assert written["name_links"].groupBy("id").count().agg(F.max("count")).first()[0] <= 6
+    links = {i: sum(E.similarity(*(n.lower() for n in (names[min(i, j)], names[max(i, j)]))) >= 0.85 for j in range(160) if j != i) for i in range(160)}
+    assert {r.guest_id: r.links for r in got} == links and {r.class_id for r in got} == {0}
+
+
+def test_linked_by_groups_equals_all_pairs(monkeypatch):
+    """Groups of common beginnings, names one by one, and difflib pair by pair agree: endings short and missing, places in and out of order, several weights."""
+    import random
+
+    import numpy as np
+
+    from lodestone.operators import names as N
+
+    rng = random.Random(5)
+    grouped = 0
+    for turn in range(16):
+        letters = rng.choice(["ab", "abc01", "0123456789", "abcdefgh é"])
+        heads = ["".join(rng.choices(letters, k=rng.randrange(9))) for _ in range(6)] + ["x" * 210] * (turn == 3)
+        names = sorted({rng.choice(heads) + "".join(rng.choices(letters, k=rng.randrange(4))) for _ in range(60)})
+        cutoff = rng.choice([0.5, 0.7, 0.85, 0.97])
+        half = len(names) // 2
+        if turn % 2:
+            rng.shuffle(names)
+        weight = np.array([rng.randrange(1, 4) for _ in names])
+        order = np.argsort(names, kind="stable")
+        every = np.arange(len(names))
+        for left, right in ((every, every), (np.sort(order[:half]), np.sort(order[half:]))):
+            sums, low = np.zeros(len(names)), {int(i): int(i) for i in every}
+            pairs = {(min(x, y), max(x, y)) for x in left.tolist() for y in right.tolist() if x != y}
+            alike = [(x, y) for x, y in pairs if N.similarity(names[x], names[y]) >= cutoff]
+            for x, y in alike:
+                sums[x], sums[y] = sums[x] + weight[y], sums[y] + weight[x]
+            while any(low[x] != low[y] for x, y in alike):
+                for x, y in alike:
+                    low[x] = low[y] = min(low[x], low[y])
+            if left is every:
+                right = left
+            for dense in (0, 1 << 40):
+                monkeypatch.setattr(N, "DENSE", dense)
+                found = N.linked(names, left, right, weight, cutoff)
+                assert found[0].tolist() == sums.tolist() and found[1].tolist() == list(low.values())
+            grouped += len(alike)
+    assert grouped > 100 and N._TABLES
